@@ -18,6 +18,9 @@ from gridverify.schema import CELL, dimension_columns, require
 # bounds the table of range ends, which is the only part one task sees whole.
 AXIS_RANGES = 1024
 
+# Axis tables with at most this many rows (some tens of MB in memory) are broadcast.
+BROADCAST_AXIS = 500_000
+
 
 def grid_cells(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Cell table of data that carry their two-dimensional geolocation row by row."""
@@ -43,6 +46,26 @@ def rectilinear(cells: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFra
     return joined.drop(lat, lon)
 
 
+# --- sizes --------------------------------------------------------------------
+
+
+def axes_fit_broadcast(cells: DataFrame) -> bool:
+    """Whether tables as long as the grid's axes may be broadcast.
+
+    Spark cannot tell from the plan: its estimate for a table made by joins and
+    windows is far too high, and data would then be shuffled on a grid row. So
+    the axes are counted, by one small job over the cell table.
+    """
+    rows, columns = cells.agg(
+        F.approx_count_distinct("iy"), F.approx_count_distinct("ix")
+    ).first()
+    return max(rows, columns) <= BROADCAST_AXIS
+
+
+def hinted(df: DataFrame, fits: bool) -> DataFrame:
+    return F.broadcast(df) if fits else df
+
+
 # --- neighbour search on one axis --------------------------------------------
 
 
@@ -57,55 +80,46 @@ def axis_neighbours(source: DataFrame, target: DataFrame) -> DataFrame:
     own; a target with no neighbour inside its range takes the nearest one
     from the ranges around it.
     """
-    source = source.where(F.col("c").isNotNull())
-    low, high = source.agg(F.min("c")).scalar(), source.agg(F.max("c")).scalar()
-    place = F.try_divide(F.col("c") - low, high - low) * AXIS_RANGES
-    inside = F.least(F.greatest(F.floor(place), F.lit(0)), F.lit(AXIS_RANGES - 1))
-    ranges = F.coalesce(inside, F.lit(0)).cast("int")
-
-    neighbour = F.struct("c", "i")
-    points = (
-        source.select(F.lit(True).alias("is_source"), "c", "i")
-        .unionByName(target.select(F.lit(False).alias("is_source"), "c", "i"))
-        .withColumn("source", F.when(F.col("is_source"), neighbour))
-        .withColumn("range", ranges)
-    )
-
-    # Ends of each range, and the nearest end beyond it: at most AXIS_RANGES rows.
-    whole = W.partitionBy(F.lit(0)).orderBy("range")
-    earlier = whole.rowsBetween(W.unboundedPreceding, -1)
-    later = W.partitionBy(F.lit(0)).orderBy(F.desc("range")).rowsBetween(W.unboundedPreceding, -1)
-    ends = points.groupBy("range").agg(
-        F.min("source").alias("first"), F.max("source").alias("last")
+    source = source.where("c IS NOT NULL")
+    span = source.agg(F.struct(F.min("c").alias("low"), F.max("c").alias("high"))).scalar()
+    place = F.try_divide(F.col("c") - span["low"], span["high"] - span["low"]) * AXIS_RANGES
+    within = F.least(F.greatest(F.floor(place), F.lit(0)), F.lit(AXIS_RANGES - 1))
+    points = source.selectExpr("true AS is_source", "c", "i").unionByName(
+        target.selectExpr("false AS is_source", "c", "i")
     )
-    ends = ends.select(
-        "range",
-        F.last("last", ignorenulls=True).over(earlier).alias("before"),
-        F.last("first", ignorenulls=True).over(later).alias("after"),
+    points = points.withColumns({
+        "source": F.expr("CASE WHEN is_source THEN struct(c, i) END"),
+        "range": F.coalesce(within, F.lit(0)).cast("int"),
+    })
+
+    # Ends of the ranges that hold sources: one list of at most AXIS_RANGES entries.
+    ends = (
+        points.where("is_source")
+        .groupBy("range")
+        .agg(F.min("source").alias("first"), F.max("source").alias("last"))
+        .agg(F.array_sort(F.collect_list(F.struct("range", "first", "last"))))
+        .scalar()
     )
+    earlier = F.filter("ends", lambda e: e["range"] < F.col("range"))
+    later = F.filter("ends", lambda e: e["range"] > F.col("range"))
 
     # Running neighbour from either end. At equal coordinates the targets come
     # first going up (so "below" is strict) and last going down.
-    upward = W.partitionBy("range").orderBy("c", "is_source")
-    downward = W.partitionBy("range").orderBy(F.desc("c"), F.desc("is_source"))
     running = (W.unboundedPreceding, W.currentRow)
+    upward = W.partitionBy("range").orderBy("c", "is_source").rowsBetween(*running)
+    downward = (
+        W.partitionBy("range").orderBy(F.desc("c"), F.desc("is_source")).rowsBetween(*running)
+    )
     found = points.select(
-        "range",
-        "is_source",
-        "c",
+        "*",
+        F.last("source", ignorenulls=True).over(upward).alias("below"),
+        F.last("source", ignorenulls=True).over(downward).alias("above"),
+    ).where("NOT is_source")
+    return found.withColumn("ends", ends).select(
         "i",
-        F.last("source", ignorenulls=True).over(upward.rowsBetween(*running)).alias("below"),
-        F.last("source", ignorenulls=True).over(downward.rowsBetween(*running)).alias("above"),
-    )
-    return (
-        found.where(~F.col("is_source"))
-        .join(F.broadcast(ends), "range")
-        .select(
-            "i",
-            "c",
-            F.coalesce("below", "before").alias("below"),
-            F.coalesce("above", "after").alias("above"),
-        )
+        "c",
+        F.coalesce("below", F.try_element_at(earlier, F.lit(-1))["last"]).alias("below"),
+        F.coalesce("above", F.try_element_at(later, F.lit(1))["first"]).alias("above"),
     )
 
 
@@ -149,10 +163,8 @@ def linear_axis(source: DataFrame, target: DataFrame) -> DataFrame:
     corners = F.when(
         single, F.array(F.struct(ends["i"].alias("source_i"), one.alias("weight")))
     ).otherwise(F.array(corner("below", 1 - share), corner("above", share)))
-    rows = n.select(F.col("i").alias("target_i"), F.explode(corners).alias("corner"), single.alias("s"))
-    return rows.select(
-        "target_i", "corner.source_i", "corner.weight", F.when(F.col("s"), 1).otherwise(2).alias("corners")
-    )
+    rows = n.select(F.col("i").alias("target_i"), F.explode(corners), F.size(corners).alias("corners"))
+    return rows.select("target_i", "col.source_i", "col.weight", "corners")
 
 
 def _axis(axis: DataFrame, index: str, coordinate: str) -> DataFrame:
@@ -160,12 +172,22 @@ def _axis(axis: DataFrame, index: str, coordinate: str) -> DataFrame:
 
 
 def axis_maps(
-    source_cells: DataFrame, target_cells: DataFrame, method: str = "nearest"
+    source_cells: DataFrame,
+    target_cells: DataFrame,
+    method: str = "nearest",
+    *,
+    fits: bool | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Latitude and longitude maps from one grid to another."""
+    """Latitude and longitude maps from one grid to another.
+
+    They are marked for broadcast if the target's axes are short enough, which
+    is counted here unless ``fits`` says so; longer ones are joined by sort-merge.
+    """
     if method not in ("nearest", "linear"):
         raise ValueError(f"unknown regrid method {method!r}; choose 'nearest' or 'linear'")
     find = nearest_axis if method == "nearest" else linear_axis
+    if fits is None:
+        fits = axes_fit_broadcast(target_cells)
     lat_map = find(
         _axis(lat_axis(source_cells), "iy", "lat_coord"),
         _axis(lat_axis(target_cells), "iy", "lat_coord"),
@@ -174,7 +196,7 @@ def axis_maps(
         _axis(lon_axis(source_cells), "ix", "lon_coord"),
         _axis(lon_axis(target_cells), "ix", "lon_coord"),
     )
-    return lat_map, lon_map
+    return hinted(lat_map, fits), hinted(lon_map, fits)
 
 
 # --- regridding ----------------------------------------------------------------

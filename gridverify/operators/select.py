@@ -10,6 +10,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridverify.operators.grid import axes_fit_broadcast, hinted
 from gridverify.schema import CELL, require, value_columns
 
 
@@ -35,15 +36,18 @@ def mark_bounds(
     return cells.withColumn("in_bounds", F.coalesce(inside, F.lit(False)))
 
 
-def crop_to_box(df: DataFrame, marked: DataFrame) -> DataFrame:
+def crop_to_box(df: DataFrame, marked: DataFrame, *, fits: bool | None = None) -> DataFrame:
     """Keep the grid rows and grid columns that hold at least one cell in bounds.
 
-    The two lists are as long as the grid's axes, so Spark can broadcast them
-    however many cells or data rows there are.
+    The two lists are no longer than the grid's axes. They are broadcast if
+    those are short enough (counted here unless ``fits`` says so), so that the
+    data are not shuffled.
     """
+    if fits is None:
+        fits = axes_fit_broadcast(marked)
     inside = marked.where("in_bounds")
     for axis in CELL:
-        df = df.join(inside.select(axis).distinct(), axis, "left_semi")
+        df = df.join(hinted(inside.select(axis).distinct(), fits), axis, "left_semi")
     return df
 
 

@@ -21,10 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cell_index(cell: str) -> list[Column]:
-    c = F.col(cell)
     return [
-        F.floor(c / ROW).cast("int").alias("iy"),
-        (c % ROW).cast("int").alias("ix"),
+        F.expr(f"CAST({cell} DIV {ROW} AS INT) AS iy"),
+        F.expr(f"CAST({cell} % {ROW} AS INT) AS ix"),
     ]
 
 

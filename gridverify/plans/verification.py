@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 
 from gridverify.operators.bands import RUN_EDGES, altitude_bands, mark_bands
 from gridverify.operators.distribution import HISTOGRAM_BINS, line_distribution
-from gridverify.operators.grid import attach_altitude, axis_maps, grid_cells, regrid_nearest
+from gridverify.operators.grid import (
+    attach_altitude,
+    axes_fit_broadcast,
+    axis_maps,
+    grid_cells,
+    regrid_nearest,
+)
 from gridverify.operators.lines import build_cycle_lines, build_lines
 from gridverify.operators.maps import band_panels, member_panels, single_map
 from gridverify.operators.masks import (
@@ -96,8 +102,9 @@ def _side(
         if cells is None:
             raise ValueError("a latitude/longitude crop needs the cell table of the grid")
         marked = mark_bounds(cells, s.lat_bounds, s.lon_bounds)
-        df = crop_to_box(df, marked)
-        cells = crop_to_box(marked, marked)
+        fits = axes_fit_broadcast(marked)
+        df = crop_to_box(df, marked, fits=fits)
+        cells = crop_to_box(marked, marked, fits=fits)
     if weather is not None:
         df = filter_weather(df, weather, s.include_types)
     if s.ensemble_mean:
