@@ -299,14 +299,17 @@ class RunResult:
     figures: dict[str, DataFrame] = field(default_factory=dict)
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """Checkpoint folder named by the cluster, reachable from every executor."""
+    return spark.conf.get("spark.checkpoint.dir", None)
+
+
 def reuse(df: DataFrame) -> DataFrame:
     """Compute a table once if the session names a shared checkpoint folder.
 
     Otherwise the table stays a plan, and is computed for each result made of it.
     """
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    return df
+    return df.checkpoint() if shared_folder(df.sparkSession) else df
 
 
 def selection_from(config: Mapping) -> Selection:

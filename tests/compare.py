@@ -17,6 +17,10 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def _normal(v):
     if isinstance(v, float):
         if math.isnan(v):

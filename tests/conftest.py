@@ -2,6 +2,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parent
@@ -10,11 +11,15 @@ sys.path[:0] = [str(ROOT.parent), str(ROOT)]
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
+    builder = SparkSession.builder
+    if "spark.checkpoint.dir" not in SparkConf().toDebugString():
+        builder = builder.config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
     session = (
-        SparkSession.builder.master("local[8]")
+        builder.master("local[8]")
         .appName("tests")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.maxMetadataStringLength", "1000")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g")
         .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
