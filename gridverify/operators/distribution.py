@@ -10,9 +10,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridverify.functions.values import clean
 from gridverify.operators.lines import Line, line_values
 from gridverify.operators.series import area_mean
-from gridverify.schema import present, require
+from gridverify.schema import require
 
 # Default number of histogram bins and of points of a curve.
 HISTOGRAM_BINS = 20
@@ -30,8 +31,6 @@ SPREAD = 16
 # 0.25**16 / sqrt(16!) = 5e-17 of a kernel's peak, less than a rounding error.
 CELL_WIDTH = 0.5
 MOMENTS = 16
-# exp(-z*z/2) is exactly 0 in double precision from here on.
-UNDERFLOW = 39.0
 
 
 def _with_parameters(
@@ -40,8 +39,10 @@ def _with_parameters(
     """Give each row its group's parameters without gathering a group in one task.
 
     With a known, small number of groups the parameters are broadcast.
-    Otherwise every group is spread over ``SPREAD`` sub-keys, so that one which
-    holds much of the data is joined in many tasks.
+    Otherwise the rows of a group are spread over ``SPREAD`` sub-keys by the
+    partition they come from (which a repeated task keeps), each with a copy of
+    the parameters. As the aggregation that follows does not use the sub-keys,
+    Spark may also split a partition that is still too large.
     """
     if not keys:
         # One group: its parameters are scalar subqueries, there is nothing to join.
@@ -54,9 +55,8 @@ def _with_parameters(
     if group_bound is not None and group_bound <= BROADCAST_GROUPS:
         joined = rows.join(F.broadcast(right), same)
     else:
-        spread = F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD)).cast("int")
         copies = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
-        joined = rows.withColumn("_part", spread).join(
+        joined = rows.withColumn("_part", F.spark_partition_id() % SPREAD).join(
             right.withColumn("_copy", copies), same & (F.col("_part") == F.col("_copy"))
         )
     return joined.drop(*[f"_{k}" for k in keys], "_part", "_copy")
@@ -76,22 +76,18 @@ def histogram(
     with a single distinct value gets a range of one unit around it.
     """
     require(df, value, *by)
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), *_spread_by(df, by, value))
+    rows = df.select(*by, clean(value).alias("_v")).where("_v IS NOT NULL")
     flat = F.col("_lo") == F.col("_hi")
     limits = rows.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     limits = limits.select(
         *by,
         F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("_lo"),
         F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"),
-    ).withColumn("_step", (F.col("_hi") - F.col("_lo")) / bins)
-    if not by:
-        # Without a group the table still is one row, unless there are no values.
-        limits = limits.where(F.col("_lo").isNotNull())
+    )
+    step = (F.col("_hi") - F.col("_lo")) / bins
 
     def edge(index: Column) -> Column:
-        return F.when(index == bins, F.col("_hi")).otherwise(
-            index * F.col("_step") + F.col("_lo")
-        )
+        return F.when(index == bins, F.col("_hi")).otherwise(index * step + F.col("_lo"))
 
     guess = F.least(
         F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins),
@@ -108,29 +104,30 @@ def histogram(
         _with_parameters(rows, limits, by, group_bound)
         .withColumn("_guess", guess)
         .groupBy(*by, settled.alias("bin"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(
+            F.count(F.lit(1)).alias("count"),
+            F.first("_lo").alias("_lo"),
+            F.first("_hi").alias("_hi"),
+        )
     )
-    every = limits.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    right = counts.select(*[F.col(k).alias(f"_{k}") for k in by], F.col("bin").alias("_bin"), "_n")
-    same = reduce(
-        Column.__and__,
-        [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by],
-        F.col("bin") == F.col("_bin"),
+    # At most ``bins`` counts per group come together to list the empty bins too.
+    filled = counts.groupBy(*by).agg(
+        F.first("_lo").alias("_lo"),
+        F.first("_hi").alias("_hi"),
+        F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("_counts"),
     )
-    return every.join(right, same, "left").select(
+    if not by:
+        filled = filled.where("_lo IS NOT NULL")
+    every = filled.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    return every.select(
         *by,
         "bin",
         edge(F.col("bin")).alias("bin_left"),
         edge(F.col("bin") + 1).alias("bin_right"),
-        F.coalesce("_n", F.lit(0).cast("bigint")).alias("count"),
+        F.coalesce(F.col("_counts")[F.col("bin")], F.lit(0).cast("bigint")).alias("count"),
     )
 
 
-def _spread_by(df: DataFrame, by: Sequence[str], value: str) -> list[str]:
-    """Columns that tell the rows of a group apart, for spreading it."""
-    return [c for c in present(df, ("time", "member", "iy", "ix")) if c not in (*by, value)]
-
-
 def density_curve(
     df: DataFrame,
     by: Sequence[str] = (),
@@ -152,7 +149,7 @@ def density_curve(
     the expansion behind the fast Gauss transform.
     """
     require(df, value, *by)
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), *_spread_by(df, by, value))
+    rows = df.select(*by, clean(value).alias("_v")).where("_v IS NOT NULL")
     shape = (
         rows.groupBy(*by)
         .agg(
@@ -161,63 +158,51 @@ def density_curve(
             F.count("_v").alias("_size"),
             F.stddev_samp("_v").alias("_sd"),
         )
-        .where((F.col("_size") >= 2) & (F.col("_sd") > 0))
-        .withColumn("_h", F.col("_sd") * F.pow(F.col("_size").cast("double"), F.lit(-0.2)))
-        .withColumn("_step", (F.col("_hi") - F.col("_lo")) / F.col("_h") / (points - 1))
+        .where("_size >= 2 AND _sd > 0")
+        .select(
+            *by,
+            "_lo",
+            "_hi",
+            "_size",
+            (F.col("_sd") * F.pow(F.col("_size").cast("double"), F.lit(-0.2))).alias("_h"),
+        )
     )
+    fixed = [F.first(c).alias(c) for c in ("_lo", "_hi", "_size", "_h")]
 
     # Distances are in bandwidths from the group's smallest value.
-    place = (F.col("_v") - F.col("_lo")) / F.col("_h")
-    scale = ["_lo", "_hi", "_h", "_step", "_size"]
+    centre = (F.col("_cell") + 0.5) * CELL_WIDTH
     placed = (
-        _with_parameters(rows, shape.select(*by, "_lo", "_h"), by, group_bound)
-        .select(*by, place.alias("_u"))
+        _with_parameters(rows, shape, by, group_bound)
+        .where("_h IS NOT NULL")
+        .withColumn("_u", (F.col("_v") - F.col("_lo")) / F.col("_h"))
         .withColumn("_cell", F.floor(F.col("_u") / CELL_WIDTH))
-        .withColumn("_r", F.col("_u") - (F.col("_cell") + 0.5) * CELL_WIDTH)
-        .withColumn("_w", F.exp(F.col("_r") * F.col("_r") * -0.5))
+        .withColumn("_r", F.col("_u") - centre)
     )
-    powers = [F.col("_w")]
+    powers = [F.exp(F.col("_r") * F.col("_r") * -0.5)]
     for _ in range(MOMENTS - 1):
         powers.append(powers[-1] * F.col("_r"))
     moments = placed.groupBy(*by, "_cell").agg(
-        *[F.sum(p).alias(f"_m{k}") for k, p in enumerate(powers)]
+        *fixed, *[F.sum(p).alias(f"_m{k}") for k, p in enumerate(powers)]
     )
 
-    # Each cell's contribution to the points it reaches.
-    centre = (F.col("_cell") + 0.5) * CELL_WIDTH
-    first = F.greatest(F.ceil((centre - UNDERFLOW) / F.col("_step")), F.lit(0))
-    last = F.least(F.floor((centre + UNDERFLOW) / F.col("_step")), F.lit(points - 1))
-    reached = (
-        _with_parameters(moments, shape.select(*by, *scale), by, group_bound)
-        .where(first <= last)
-        .withColumn("_centre", centre)
-        .withColumn("point", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
-        .withColumn("_d", F.col("point") * F.col("_step") - F.col("_centre"))
-    )
+    # What each cell adds to every point; far ones get exp(-large) = 0.
+    step = (F.col("_hi") - F.col("_lo")) / (points - 1)
+    distance = F.col("point") * step / F.col("_h") - centre
     series = F.col(f"_m{MOMENTS - 1}")
     for k in range(MOMENTS - 2, -1, -1):
         series = F.col(f"_m{k}") + F.col("_d") / (k + 1) * series
     kernel = F.exp(F.col("_d") * F.col("_d") * -0.5) * series
-    sums = reached.groupBy(*by, "point").agg(F.sum(kernel).alias("_sum"))
-
-    # Points no cell reaches have density 0.
-    every = shape.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    right = sums.select(*[F.col(k).alias(f"_{k}") for k in by], F.col("point").alias("_p"), "_sum")
-    same = reduce(
-        Column.__and__,
-        [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by],
-        F.col("point") == F.col("_p"),
+    curve = (
+        moments.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+        .withColumn("_d", distance)
+        .groupBy(*by, "point")
+        .agg(*fixed, F.sum(kernel).alias("_sum"))
     )
-    norm = F.col("_size") * F.col("_h") * math.sqrt(2 * math.pi)
     x = F.when(F.col("point") == points - 1, F.col("_hi")).otherwise(
-        F.col("_lo") + F.col("point") * (F.col("_hi") - F.col("_lo")) / (points - 1)
-    )
-    return every.join(right, same, "left").select(
-        *by,
-        "point",
-        x.alias("x"),
-        F.coalesce(F.col("_sum") / norm, F.lit(0.0)).alias("density"),
+        F.col("_lo") + F.col("point") * step
     )
+    norm = F.col("_size") * F.col("_h") * math.sqrt(2 * math.pi)
+    return curve.select(*by, "point", x.alias("x"), (F.col("_sum") / norm).alias("density"))
 
 
 def line_distribution(

@@ -7,6 +7,9 @@ things up in are as long as an axis, not as the grid.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,9 +17,10 @@ from pyspark.sql import functions as F
 from gridverify.operators.masks import drop_projection
 from gridverify.schema import CELL, dimension_columns, require
 
-# Number of value ranges an axis is split into for the neighbour search. It
-# bounds the table of range ends, which is the only part one task sees whole.
-AXIS_RANGES = 1024
+# Axes with more rows than RANGE_ROWS are searched in up to AXIS_RANGES ranges of
+# about the same number of coordinates.
+AXIS_RANGES = 128
+RANGE_ROWS = 4096
 
 # Axis tables with at most this many rows (some tens of MB in memory) are broadcast.
 BROADCAST_AXIS = 500_000
@@ -66,42 +70,63 @@ def hinted(df: DataFrame, fits: bool) -> DataFrame:
     return F.broadcast(df) if fits else df
 
 
+def axis_summaries(axes: dict[str, DataFrame]) -> dict[str, tuple[int, list[float]]]:
+    """Length of each axis, and at most ``AXIS_RANGES + 1`` of its coordinates that cut it evenly.
+
+    The coordinates include the first and the last; a short axis has only these.
+    """
+    named = [df.select(F.lit(name).alias("name"), "c") for name, df in axes.items()]
+    cuts = [k / AXIS_RANGES for k in range(1, AXIS_RANGES)]
+    summary = (
+        reduce(DataFrame.unionByName, named)
+        .where("c IS NOT NULL")
+        .groupBy("name")
+        .agg(
+            F.count("c").alias("n"),
+            F.min("c").alias("first"),
+            F.max("c").alias("last"),
+            F.percentile_approx("c", cuts).alias("cuts"),
+        )
+    )
+    found = {name: (0, []) for name in axes}
+    for row in summary.collect():
+        inner = row["cuts"] if row["n"] > RANGE_ROWS else []
+        found[row["name"]] = (row["n"], sorted({row["first"], *inner, row["last"]}))
+    return found
+
+
 # --- neighbour search on one axis --------------------------------------------
 
 
-def axis_neighbours(source: DataFrame, target: DataFrame) -> DataFrame:
+def axis_neighbours(
+    source: DataFrame, target: DataFrame, bounds: Sequence[float] | None = None
+) -> DataFrame:
     """Source coordinates on either side of each target coordinate.
 
     Both inputs have columns ``i, c`` (index, coordinate). The result has, per
     target, ``below`` (largest source coordinate < c) and ``above`` (smallest
     one >= c) as structs ``c, i``, NULL where there is none.
 
-    The coordinates are split into value ranges which are searched on their
-    own; a target with no neighbour inside its range takes the nearest one
-    from the ranges around it.
+    A long axis is searched in ranges between ``bounds``, which are source
+    coordinates: range k holds the targets in (bounds[k], bounds[k+1]] and the
+    sources from bounds[k] to bounds[k+1], both included, so that either
+    neighbour of a target is in the target's own range.
     """
+    if bounds is None:
+        bounds = axis_summaries({"source": source})["source"][1]
     source = source.where("c IS NOT NULL")
-    span = source.agg(F.struct(F.min("c").alias("low"), F.max("c").alias("high"))).scalar()
-    place = F.try_divide(F.col("c") - span["low"], span["high"] - span["low"]) * AXIS_RANGES
-    within = F.least(F.greatest(F.floor(place), F.lit(0)), F.lit(AXIS_RANGES - 1))
-    points = source.selectExpr("true AS is_source", "c", "i").unionByName(
-        target.selectExpr("false AS is_source", "c", "i")
-    )
-    points = points.withColumns({
-        "source": F.expr("CASE WHEN is_source THEN struct(c, i) END"),
-        "range": F.coalesce(within, F.lit(0)).cast("int"),
-    })
-
-    # Ends of the ranges that hold sources: one list of at most AXIS_RANGES entries.
-    ends = (
-        points.where("is_source")
-        .groupBy("range")
-        .agg(F.min("source").alias("first"), F.max("source").alias("last"))
-        .agg(F.array_sort(F.collect_list(F.struct("range", "first", "last"))))
-        .scalar()
-    )
-    earlier = F.filter("ends", lambda e: e["range"] < F.col("range"))
-    later = F.filter("ends", lambda e: e["range"] > F.col("range"))
+    inner = bounds[1:-1]
+    if inner:
+        cuts = F.expr("array(" + ", ".join(f"{b!r}D" for b in inner) + ")")
+        own = F.size(F.filter(cuts, lambda b: b < F.col("c")))
+        both = F.when(F.array_contains(cuts, F.col("c")), F.array(own, own + 1))
+        source = source.withColumn("range", F.explode(F.coalesce(both, F.array(own))))
+        target = target.withColumn("range", own)
+    else:
+        source, target = (df.withColumn("range", F.lit(0)) for df in (source, target))
+    points = source.selectExpr(
+        "range", "true AS is_source", "c", "i", "struct(c, i) AS source"
+    ).unionByName(target.selectExpr("range", "false AS is_source", "c", "i"), True)
 
     # Running neighbour from either end. At equal coordinates the targets come
     # first going up (so "below" is strict) and last going down.
@@ -110,16 +135,16 @@ def axis_neighbours(source: DataFrame, target: DataFrame) -> DataFrame:
     downward = (
         W.partitionBy("range").orderBy(F.desc("c"), F.desc("is_source")).rowsBetween(*running)
     )
-    found = points.select(
-        "*",
-        F.last("source", ignorenulls=True).over(upward).alias("below"),
-        F.last("source", ignorenulls=True).over(downward).alias("above"),
-    ).where("NOT is_source")
-    return found.withColumn("ends", ends).select(
-        "i",
-        "c",
-        F.coalesce("below", F.try_element_at(earlier, F.lit(-1))["last"]).alias("below"),
-        F.coalesce("above", F.try_element_at(later, F.lit(1))["first"]).alias("above"),
+    return (
+        points.select(
+            "i",
+            "c",
+            "is_source",
+            F.last("source", ignorenulls=True).over(upward).alias("below"),
+            F.last("source", ignorenulls=True).over(downward).alias("above"),
+        )
+        .where("NOT is_source")
+        .drop("is_source")
     )
 
 
@@ -129,13 +154,15 @@ def _in_range() -> Column:
     return F.col("above").isNotNull() & (F.col("below").isNotNull() | on_first)
 
 
-def nearest_axis(source: DataFrame, target: DataFrame) -> DataFrame:
+def nearest_axis(
+    source: DataFrame, target: DataFrame, bounds: Sequence[float] | None = None
+) -> DataFrame:
     """Nearest source index per target index: ``target_i, source_i, inside``.
 
     A tie goes to the lower coordinate. Targets beyond the source's ends get
     the end next to them and ``inside`` false.
     """
-    n = axis_neighbours(source, target)
+    n = axis_neighbours(source, target, bounds)
     middle = F.col("below.c") / 2 + F.col("above.c") / 2
     nearest = F.when(F.col("c") <= middle, F.col("below.i")).otherwise(
         F.coalesce("above.i", "below.i")
@@ -145,14 +172,16 @@ def nearest_axis(source: DataFrame, target: DataFrame) -> DataFrame:
     )
 
 
-def linear_axis(source: DataFrame, target: DataFrame) -> DataFrame:
+def linear_axis(
+    source: DataFrame, target: DataFrame, bounds: Sequence[float] | None = None
+) -> DataFrame:
     """Weighted source indices per target index: one or two rows per target.
 
     Columns ``target_i, source_i, weight, corners``; ``weight`` is NULL beyond
     the source's ends. A target on the first source coordinate needs that one
     alone; elsewhere both neighbours count, also where one has weight 0.
     """
-    n = axis_neighbours(source, target).withColumn("inside", _in_range())
+    n = axis_neighbours(source, target, bounds).withColumn("inside", _in_range())
     share = (F.col("c") - F.col("below.c")) / (F.col("above.c") - F.col("below.c"))
     single = F.col("below").isNull() | F.col("above").isNull()
     corner = lambda side, weight: F.struct(
@@ -172,31 +201,34 @@ def _axis(axis: DataFrame, index: str, coordinate: str) -> DataFrame:
 
 
 def axis_maps(
-    source_cells: DataFrame,
-    target_cells: DataFrame,
-    method: str = "nearest",
-    *,
-    fits: bool | None = None,
+    source_cells: DataFrame, target_cells: DataFrame, method: str = "nearest"
 ) -> tuple[DataFrame, DataFrame]:
     """Latitude and longitude maps from one grid to another.
 
-    They are marked for broadcast if the target's axes are short enough, which
-    is counted here unless ``fits`` says so; longer ones are joined by sort-merge.
+    One small job over the cell tables measures the axes. The maps are marked
+    for broadcast if the target's axes are short enough; longer ones are joined
+    by sort-merge.
     """
     if method not in ("nearest", "linear"):
         raise ValueError(f"unknown regrid method {method!r}; choose 'nearest' or 'linear'")
     find = nearest_axis if method == "nearest" else linear_axis
-    if fits is None:
-        fits = axes_fit_broadcast(target_cells)
-    lat_map = find(
-        _axis(lat_axis(source_cells), "iy", "lat_coord"),
-        _axis(lat_axis(target_cells), "iy", "lat_coord"),
-    )
-    lon_map = find(
-        _axis(lon_axis(source_cells), "ix", "lon_coord"),
-        _axis(lon_axis(target_cells), "ix", "lon_coord"),
+    axes = {
+        f"{side} {index}": _axis(axis(cells), index, coordinate)
+        for side, cells in (("source", source_cells), ("target", target_cells))
+        for axis, index, coordinate in (
+            (lat_axis, "iy", "lat_coord"),
+            (lon_axis, "ix", "lon_coord"),
+        )
+    }
+    known = axis_summaries(axes)
+    fits = max(known[f"target {index}"][0] for index in CELL) <= BROADCAST_AXIS
+    lat_map, lon_map = (
+        hinted(
+            find(axes[f"source {i}"], axes[f"target {i}"], known[f"source {i}"][1]), fits
+        )
+        for i in CELL
     )
-    return hinted(lat_map, fits), hinted(lon_map, fits)
+    return lat_map, lon_map
 
 
 # --- regridding ----------------------------------------------------------------

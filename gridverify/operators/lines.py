@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridverify.functions.values import in_half_open
+from gridverify.functions.values import clean, in_half_open
 from gridverify.operators.temporal import ensemble_mean
 from gridverify.schema import CELL, present, require
 
@@ -140,4 +140,4 @@ def _mean_over_members(df: DataFrame, value: str) -> DataFrame:
     if "member" not in df.columns:
         return df
     keys = present(df, ("time", "season", *CELL))
-    return df.groupBy(*keys).agg(F.avg(value).alias(value), F.first("altitude").alias("altitude"))
+    return df.groupBy(*keys).agg(F.avg(clean(value)).alias(value), F.first("altitude").alias("altitude"))

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridverify.operators.temporal import _reduce
+from gridverify.functions.values import clean
+from gridverify.operators.temporal import reduced
 from gridverify.schema import CELL, dimension_columns, require
 
 
@@ -16,7 +17,7 @@ def time_map(
 ) -> DataFrame:
     """Sum or mean over time, per cell and member."""
     keys = [d for d in dimension_columns(df) if d not in (time, "season")]
-    return df.groupBy(*keys).agg(_reduce(value, method, 0).alias(value))
+    return df.groupBy(*keys).agg(reduced(clean(value), method).alias(value))
 
 
 def map_difference(first: DataFrame, second: DataFrame, value: str = "value") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridverify.functions.values import clean
 from gridverify.schema import DIMENSIONS, dimension_columns, dimension_list, require
 
 # Score name -> aggregate of the error column.
@@ -34,9 +35,9 @@ def pair(
     require(reference, reference_value)
     shared = [d for d in dimension_columns(model) if d in reference.columns]
     right = reference.select(
-        *dimension_columns(reference), F.col(reference_value).alias("_reference")
+        *dimension_columns(reference), clean(reference_value).alias("_reference")
     )
-    error = (F.col(value) - F.col("_reference")).alias("error")
+    error = (clean(value) - F.col("_reference")).alias("error")
     kept = [c for c in model.columns if c != value]
     extra = [d for d in dimension_columns(reference) if d not in shared]
     return model.join(right, shared).select(*kept, *extra, error)

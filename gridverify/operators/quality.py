@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridverify.functions.values import clean
 from gridverify.schema import CELL, require, value_columns
 
 # Fixed value: values above this count as outliers unless told otherwise.
@@ -15,14 +16,14 @@ OUTLIER_THRESHOLD = 500
 
 def missing_count(df: DataFrame, value: str = "value") -> DataFrame:
     require(df, value, error=KeyError)
-    return df.agg(F.count_if(F.col(value).isNull()).alias("missing"))
+    return df.agg(F.count_if(clean(value).isNull()).alias("missing"))
 
 
 def outlier_count(
     df: DataFrame, value: str = "value", threshold: float = OUTLIER_THRESHOLD
 ) -> DataFrame:
     require(df, value, error=KeyError)
-    return df.agg(F.count_if(F.col(value) > F.lit(float(threshold))).alias("outliers"))
+    return df.agg(F.count_if(clean(value) > F.lit(float(threshold))).alias("outliers"))
 
 
 def quality_counts(
@@ -30,7 +31,7 @@ def quality_counts(
 ) -> DataFrame:
     """Both counts in one scan."""
     require(df, value, error=KeyError)
-    v = F.col(value)
+    v = clean(value)
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(v.isNull()).alias("missing"),
@@ -60,8 +61,8 @@ def profile(
         counts.append(F.count_distinct(member).alias("n_members"))
     for v in values if values is not None else value_columns(df):
         counts += [
-            F.count(v).alias(f"n_{v}"),
-            F.min(v).alias(f"min_{v}"),
-            F.max(v).alias(f"max_{v}"),
+            F.count(clean(v)).alias(f"n_{v}"),
+            F.min(clean(v)).alias(f"min_{v}"),
+            F.max(clean(v)).alias(f"max_{v}"),
         ]
     return df.agg(*counts)

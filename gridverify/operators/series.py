@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridverify.functions.calendar import CYCLE_STEPS, cycle_step
+from gridverify.functions.values import clean
 from gridverify.operators.lines import Line, line_values
 from gridverify.schema import CELL, dimension_columns, dimension_list, present, require
 
@@ -26,7 +27,7 @@ def area_mean(
     require(df, value)
     dropped = dimension_list(reduce_dims) or list(CELL)
     keys = [*by, *(d for d in dimension_columns(df) if d not in dropped)]
-    return df.groupBy(*keys).agg(F.avg(value).alias(value))
+    return df.groupBy(*keys).agg(F.avg(clean(value)).alias(value))
 
 
 def line_series(

@@ -20,7 +20,7 @@ METHODS = ("sum", "mean")
 PASS_THROUGH = ("none", "hourly")
 
 
-def _reduce(value: str, method: str, min_count: int) -> Column:
+def reduced(value: str | Column, method: str, min_count: int = 0) -> Column:
     """Skip-NULL sum or mean. A sum of nothing is 0 unless ``min_count`` asks for more."""
     if method not in METHODS:
         raise ValueError(f"unsupported aggregation method {method!r}; choose 'sum' or 'mean'")
@@ -37,7 +37,7 @@ def ensemble_mean(df: DataFrame, value: str = "value", member: str = "member") -
     if member not in df.columns:
         return df
     keys = [c for c in dimension_columns(df) if c != member]
-    return df.groupBy(*keys).agg(F.avg(value).alias(value))
+    return df.groupBy(*keys).agg(F.avg(clean(value)).alias(value))
 
 
 def aggregate_time(
@@ -58,7 +58,7 @@ def aggregate_time(
     time. "none", "hourly" and unknown periods only repair missing values.
     """
     require(df, value, time)
-    reduced = _reduce(value, method, min_count)
+    aggregate = reduced(value, method, min_count)
     df = df.withColumn(value, clean(value, missing_value))
     if compute_ens_mean:
         df = ensemble_mean(df, value)
@@ -69,7 +69,7 @@ def aggregate_time(
         return df
     name, expression = label
     keys = [c for c in dimension_columns(df) if c not in (time, name)]
-    return df.groupBy(expression.alias(name), *keys).agg(reduced.alias(value))
+    return df.groupBy(expression.alias(name), *keys).agg(aggregate.alias(value))
 
 
 def weather_type_mean(
@@ -93,7 +93,7 @@ def weather_type_mean(
         df = ensemble_mean(df, value)
     keys = [c for c in dimension_columns(df) if c != time]
     daily = df.groupBy(F.to_date(time).alias("day"), *keys).agg(
-        F.sum(value).alias("_sum"), F.count(value).alias("_n")
+        F.sum(clean(value)).alias("_sum"), F.count(clean(value)).alias("_n")
     )
     types = weather.select(
         F.to_date(weather_time).alias("day"), F.col(weather_type).alias("slwt")

@@ -16,8 +16,17 @@ ROW = 10
 LAT0, LON0, SPACING = 46.0, 10.0, 0.25
 
 
+# Columns the roles use; a given schema spares a look into the files.
+SCHEMAS = {
+    "lineitem": "l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_shipdate TIMESTAMP_NTZ",
+    "supplier": "s_suppkey BIGINT, s_acctbal DOUBLE",
+    "orders": "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cell_index(cell: str) -> list[Column]:

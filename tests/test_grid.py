@@ -44,8 +44,8 @@ def test_nearest_on_an_unsorted_axis(spark):
     assert nearest_found(spark, source, target) == {0: 1, 1: 1, 2: 2, 3: 0}
 
 
-def test_nearest_across_empty_ranges(spark):
-    # Two clusters far apart leave most of the value ranges without a source.
+def test_nearest_between_far_clusters(spark, monkeypatch):
+    monkeypatch.setattr(grid, "RANGE_ROWS", 1)
     source = [0.0, 1e-6, 2e-6, 1e6, 1e6 + 0.5]
     target = [1.0, 499_999.0, 500_001.0, 999_999.0, 1e6 + 0.2, 0.4e-6]
     assert nearest_found(spark, source, target) == nearest_by_hand(source, target)
@@ -62,7 +62,23 @@ def test_single_source_coordinate(spark):
 )
 def test_nearest_equals_comparing_all_pairs(spark, source, target):
     source, target = [s / 2 for s in source], [t / 8 for t in target]
-    assert nearest_found(spark, source, target) == nearest_by_hand(source, target)
+    expected = nearest_by_hand(source, target)
+    assert nearest_found(spark, source, target) == expected
+    with pytest.MonkeyPatch.context() as patch:
+        # As on a long axis: searched in several ranges.
+        patch.setattr(grid, "RANGE_ROWS", 1)
+        patch.setattr(grid, "AXIS_RANGES", 7)
+        assert nearest_found(spark, source, target) == expected
+
+
+def test_linear_in_ranges(spark, monkeypatch):
+    source, target = [float(v * v) for v in range(12)], [v / 2 for v in range(-2, 246)]
+    rows = lambda: sorted(map(tuple, grid.linear_axis(axis(spark, source), axis(spark, target)).collect()))
+    whole = rows()
+    monkeypatch.setattr(grid, "RANGE_ROWS", 1)
+    monkeypatch.setattr(grid, "AXIS_RANGES", 5)
+    assert len(grid.axis_summaries({"s": axis(spark, source)})["s"][1]) == 6
+    assert rows() == whole
 
 
 def test_regrid_on_its_own_grid_changes_nothing(spark):

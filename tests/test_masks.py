@@ -66,3 +66,19 @@ def test_drop_projection(spark):
     df = frames.field(spark, [[1.0]]).withColumn("lambert_conformal_conic", F.lit(0))
     assert masks.drop_projection(df).columns == ["iy", "ix", "value"]
     assert masks.drop_missing(frames.field(spark, [[1.0, math.nan]])).count() == 1
+
+
+def test_nan_counts_as_missing_everywhere(spark):
+    from gridverify.operators import maps, metrics, quality, series, temporal
+
+    df = frames.field(spark, [[1.0, 2.0, 900.0]])
+    raw = df.withColumn("value", F.when(F.col("ix") == 1, F.lit(math.nan)).otherwise(F.col("value")))
+    assert quality.missing_count(raw).first().missing == 1
+    assert quality.outlier_count(raw).first().outliers == 1
+    row = quality.profile(raw).first()
+    assert (row.n_rows, row.n_value, row.max_value) == (3, 2, 900.0)
+    assert series.area_mean(raw).first().value == 450.5
+    assert metrics.mean_error(raw, df).first().ME == 0.0
+    members = raw.withColumn("member", F.lit("00"))
+    assert values(temporal.ensemble_mean(members)) == [1.0, None, 900.0]
+    assert values(maps.time_map(raw)) == [1.0, 0.0, 900.0]
