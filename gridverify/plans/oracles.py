@@ -252,10 +252,11 @@ SELECT {text(MONTH)}, member, iy, ix,
     sql["range_filter"] = f"""WITH {M}
 SELECT {text(MONTH)}, member, iy, ix, {r('avg(value) FILTER (value >= 10 AND value < 40)', 'value')}
 FROM m GROUP BY ALL"""
+    sql["flattened_values"] = f"WITH {M} SELECT value FROM m WHERE value <> 50"
     sql["member_from_name"] = f"""WITH {M}
 SELECT 'total_' || strftime(time, '%Y%m%d') || '_' || member || '.parquet' AS file_name, member,
        count(*) AS n_rows FROM m GROUP BY ALL"""
-    sql["merged_blocks"] = f"""WITH {E}, {H}
+    sql["merge_by_coords"] = f"""WITH {E}, {H}
 SELECT {text(DAY)}, member, iy, ix, {r('sum(value)', 'value')}, CAST(NULL AS DOUBLE) AS observed
 FROM e GROUP BY ALL
 UNION ALL
@@ -287,6 +288,9 @@ SELECT 'reference' AS source, {summary % 'CAST(NULL AS BIGINT)'} FROM r"""
 SELECT iy, ix, {r('lat', 'lat_coord')}, {r('lon', 'lon_coord')} FROM cells"""
     sql["cells_from_data"] = f"""WITH {M}, {cells()}
 SELECT DISTINCT iy, ix, lat, lon FROM m JOIN cells USING (iy, ix)"""
+    sql["dem_prepared"] = f"""WITH {DEM}, {cells()}
+SELECT iy, ix, altitude, lat AS lat_coord, lon AS lon_coord FROM dem JOIN cells USING (iy, ix)
+WHERE lat BETWEEN 46.25 AND 1e9 AND lon BETWEEN 10.25 AND 12"""
     sql["dem_attach"] = f"""WITH {H}, {DEM},
 a AS ({summed('h', 'daily', 'member, iy, ix')})
 SELECT {text('time')}, member, a.iy, a.ix, {r('value', 'value')}, altitude
@@ -296,7 +300,7 @@ FROM a LEFT JOIN dem ON a.iy = dem.iy AND a.ix = dem.ix"""
 a AS ({summed('m', 'seasonal', 'iy, ix', 'mean')})
 SELECT season, t_iy AS iy, t_ix AS ix, {r('CASE WHEN in_iy AND in_ix THEN value END', 'value')}
 FROM a JOIN ymap USING (iy) JOIN xmap USING (ix)"""
-    sql["regrid_linear"] = f"""WITH {M}, {cells()}, {FINE},
+    sql["regrid_bilinear"] = f"""WITH {M}, {cells()}, {FINE},
 {linear_map('yl', 'iy', 'lat')},
 {linear_map('xl', 'ix', 'lon')},
 a AS (SELECT iy, ix, avg(value) AS value FROM m GROUP BY ALL)
@@ -366,6 +370,9 @@ SELECT bin_min, bin_max, iy, ix, {r('avg(mae)', 'MAE')} FROM s GROUP BY ALL"""
 a AS ({summed('m', 'daily', 'member, iy, ix')}),
 s AS (SELECT time, member, avg(value) AS value FROM a GROUP BY ALL)"""
     sql["area_mean_series"] = f"{daily} SELECT {text('time')}, member, {r('value', 'value')} FROM s"
+    sql["grid_row_series"] = f"""WITH {M},
+a AS ({summed('m', 'monthly', 'member, iy, ix')})
+SELECT {text('time')}, member, iy, {r('avg(value)', 'value')} FROM a GROUP BY ALL"""
     sql["series_trend"] = f"""WITH {M},
 a AS ({summed('m', 'monthly', 'member, iy, ix')}),
 s AS (

@@ -29,7 +29,7 @@ from gridverify.operators import (
     temporal,
 )
 from gridverify.plans import roles, verification
-from gridverify.sources.readers import duplicate_labels, merge_by_coords
+from gridverify.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -215,6 +215,12 @@ def range_filter(spark, sf_dir):
     return temporal.aggregate_time(ranged, "monthly", method="mean")
 
 
+@_query
+def flattened_values(spark, sf_dir):
+    """All values that are not missing."""
+    return masks.drop_missing(_with_gaps(spark, sf_dir)).select("value")
+
+
 @_query
 def member_from_name(spark, sf_dir):
     name = F.concat(
@@ -233,17 +239,17 @@ def member_from_name(spark, sf_dir):
 
 
 @_query
-def merged_blocks(spark, sf_dir):
+def merge_by_coords(spark, sf_dir):
     """Daily sums of the members and of the hourly data, put together by coordinates."""
     model = temporal.aggregate_time(roles.ensemble(spark, sf_dir), "daily")
     observed = temporal.aggregate_time(roles.hourly(spark, sf_dir), "daily")
     observed = observed.withColumnRenamed("value", "observed")
-    return merge_by_coords([model, observed], check_duplicates=True)
+    return readers.merge_by_coords([model, observed], check_duplicates=True)
 
 
 @_query
 def repeated_labels(spark, sf_dir):
-    return duplicate_labels(roles.everything(spark, sf_dir))
+    return readers.duplicate_labels(roles.everything(spark, sf_dir))
 
 
 # --- quality -------------------------------------------------------------------------
@@ -295,6 +301,14 @@ def cells_from_data(spark, sf_dir):
     return grid.grid_cells(located)
 
 
+@_query
+def dem_prepared(spark, sf_dir):
+    located = roles.terrain(spark, sf_dir).join(roles.cells(spark, sf_dir), ["iy", "ix"])
+    return readers.prepare_dem(
+        located.withColumnRenamed("altitude", "ZH"), lat_bounds=LAT_BOUNDS, lon_bounds=LON_BOUNDS
+    )
+
+
 @_query
 def dem_attach(spark, sf_dir):
     daily = temporal.aggregate_time(roles.hourly(spark, sf_dir), "daily")
@@ -310,7 +324,7 @@ def regrid_nearest(spark, sf_dir):
 
 
 @_query
-def regrid_linear(spark, sf_dir):
+def regrid_bilinear(spark, sf_dir):
     mean = maps.time_map(roles.everything(spark, sf_dir).drop("member"), "mean")
     return grid.regrid(
         mean, roles.cells(spark, sf_dir), roles.fine_cells(spark, sf_dir), method="linear"
@@ -452,6 +466,13 @@ def area_mean_series(spark, sf_dir):
     return series.area_mean(daily)
 
 
+@_query
+def grid_row_series(spark, sf_dir):
+    """Mean over the grid columns only: one series per grid row and member."""
+    monthly = temporal.aggregate_time(roles.everything(spark, sf_dir), "monthly")
+    return series.area_mean(monthly, reduce_dims=["lon_coord"])
+
+
 @_query
 def series_trend(spark, sf_dir):
     monthly = temporal.aggregate_time(roles.everything(spark, sf_dir), "monthly")
