@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from gridverify.operators.masks import drop_projection
 from gridverify.schema import CELL, dimension_columns, require
 
-# Axes with more rows than RANGE_ROWS are searched in up to AXIS_RANGES ranges of
-# about the same number of coordinates.
+# If an axis has more rows than RANGE_ROWS, the search is split into up to
+# AXIS_RANGES ranges of about the same number of source coordinates.
 AXIS_RANGES = 128
 RANGE_ROWS = 4096
 
@@ -73,7 +73,8 @@ def hinted(df: DataFrame, fits: bool) -> DataFrame:
 def axis_summaries(axes: dict[str, DataFrame]) -> dict[str, tuple[int, list[float]]]:
     """Length of each axis, and at most ``AXIS_RANGES + 1`` of its coordinates that cut it evenly.
 
-    The coordinates include the first and the last; a short axis has only these.
+    The coordinates include the first and the last. If all axes are short
+    there are only these.
     """
     named = [df.select(F.lit(name).alias("name"), "c") for name, df in axes.items()]
     cuts = [k / AXIS_RANGES for k in range(1, AXIS_RANGES)]
@@ -89,8 +90,10 @@ def axis_summaries(axes: dict[str, DataFrame]) -> dict[str, tuple[int, list[floa
         )
     )
     found = {name: (0, []) for name in axes}
-    for row in summary.collect():
-        inner = row["cuts"] if row["n"] > RANGE_ROWS else []
+    rows = summary.collect()  # one per axis
+    long = any(row["n"] > RANGE_ROWS for row in rows)
+    for row in rows:
+        inner = row["cuts"] if long else []
         found[row["name"]] = (row["n"], sorted({row["first"], *inner, row["last"]}))
     return found
 
