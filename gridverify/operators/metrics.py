@@ -24,23 +24,28 @@ def pair(
     *,
     value: str = "value",
     reference_value: str = "value",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Match both sides on the dimensions they share and add ``error``.
 
     A dimension only one side has (usually ``member``) is kept. Both sides
     carry one row per label once aggregated, so a label matches at most one
     reference row and the join does not multiply rows.
+
+    ``carry`` names reference columns to keep, such as the band of the cell:
+    the reference has a row per cell where the model has one per member, so
+    whatever depends on the cell alone is looked up for the reference.
     """
     require(model, value)
     require(reference, reference_value)
     shared = [d for d in dimension_columns(model) if d in reference.columns]
     right = reference.select(
-        *dimension_columns(reference), clean(reference_value).alias("_reference")
+        *dimension_columns(reference), *carry, clean(reference_value).alias("_reference")
     )
     error = (clean(value) - F.col("_reference")).alias("error")
     kept = [c for c in model.columns if c != value]
     extra = [d for d in dimension_columns(reference) if d not in shared]
-    return model.join(right, shared).select(*kept, *extra, error)
+    return model.join(right, shared).select(*kept, *extra, *carry, error)
 
 
 def _score_columns(metrics: Iterable[str]) -> list[Column]:

@@ -384,21 +384,24 @@ def bias_by_year(spark, sf_dir):
 
 
 def _band_errors(spark, sf_dir, period="monthly"):
-    errors = metrics.pair(*_sides(spark, sf_dir, period))
-    return grid.attach_altitude(errors, roles.terrain(spark, sf_dir))
+    model, observed = _sides(spark, sf_dir, period)
+    observed = grid.attach_altitude(observed, roles.terrain(spark, sf_dir))
+    return metrics.pair(
+        model, bands.mark_bands(observed, EDGES), carry=("bin_min", "bin_max")
+    )
 
 
 @_query
 def band_bias_monthly(spark, sf_dir):
     """Monthly scores per altitude band and member: the flagship."""
-    banded = bands.altitude_bands(_band_errors(spark, sf_dir), EDGES)
+    banded = _band_errors(spark, sf_dir).where("bin_min IS NOT NULL")
     return metrics.score(banded, ["time", "iy", "ix"], by=["bin_min", "bin_max"])
 
 
 @_query
 def band_and_domain_bias(spark, sf_dir):
-    banded = bands.mark_bands(_band_errors(spark, sf_dir, "seasonal"), EDGES)
-    scores = metrics.score_with_bands(banded, ["season", "member", "iy", "ix"])
+    errors = _band_errors(spark, sf_dir, "seasonal")
+    scores = metrics.score_with_bands(errors, ["season", "member", "iy", "ix"])
     return metrics.to_long(scores)
 
 

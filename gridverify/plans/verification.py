@@ -178,15 +178,17 @@ def score_run(
 ) -> DataFrame:
     """Scores of prepared data in long form, domain-wide and, with edges, per band.
 
-    The altitude is looked up for the paired errors only, once for both sides.
+    The band of a cell is looked up for the reference, which has fewer rows
+    than the ensemble, and reaches the errors with it.
     """
-    errors = pair(ensemble, reference)
     if edges is None:
+        errors = pair(ensemble, reference)
         return to_long(score(errors, collapse, metrics=metrics), metrics)
     if terrain is None:
         raise ValueError("altitude bands need a terrain model")
-    banded = mark_bands(attach_altitude(errors.drop("altitude"), terrain), edges)
-    return to_long(score_with_bands(banded, collapse, metrics=metrics), metrics)
+    banded = mark_bands(attach_altitude(reference.drop("altitude"), terrain), edges)
+    errors = pair(ensemble, banded, carry=("bin_min", "bin_max"))
+    return to_long(score_with_bands(errors, collapse, metrics=metrics), metrics)
 
 
 def verify(
@@ -305,11 +307,11 @@ def shared_folder(spark: SparkSession) -> str | None:
 
 
 def reuse(df: DataFrame) -> DataFrame:
-    """Compute a table once if the session names a shared checkpoint folder.
+    """Compute a table once: a checkpoint if the session names a shared folder for it.
 
-    Otherwise the table stays a plan, and is computed for each result made of it.
+    Otherwise the table is cached, and recomputed where an executor is lost.
     """
-    return df.checkpoint() if shared_folder(df.sparkSession) else df
+    return df.checkpoint() if shared_folder(df.sparkSession) else df.persist()
 
 
 def selection_from(config: Mapping) -> Selection:
@@ -341,21 +343,33 @@ def selection_from(config: Mapping) -> Selection:
 
 
 def run_config(spark: SparkSession, config: Mapping) -> RunResult:
-    """Run a configuration over tables whose rows carry their geolocation.
+    """Run a configuration over stored tables.
 
-    The input tables have ``time, iy, ix``, the variable and the latitude and
-    longitude columns named in the configuration; the ensemble's members come
-    from a ``member`` column or the file names.
+    The input tables have ``time, iy, ix`` and the variable; the ensemble's
+    members come from a ``member`` column or the file names. Geolocation comes
+    from the cell tables ``input.ensemble_cells`` and ``input.reference_cells``
+    if given, else from latitude and longitude columns of the data, which are
+    then read once more for it.
     """
     inputs = config["input"]
     selection = selection_from(config)
     ensemble = read_ensemble(spark, inputs["ensemble_pattern"])
     reference = read_grid(spark, inputs["reference_file"])
-    ensemble_cells = grid_cells(
-        ensemble, inputs.get("lat_name", "latitude"), inputs.get("lon_name", "longitude")
+
+    def cell_table(data: DataFrame, path: str | None, lat: str, lon: str) -> DataFrame:
+        return reuse(grid_cells(read_grid(spark, path) if path else data, lat, lon))
+
+    ensemble_cells = cell_table(
+        ensemble,
+        inputs.get("ensemble_cells"),
+        inputs.get("lat_name", "latitude"),
+        inputs.get("lon_name", "longitude"),
     )
-    reference_cells = grid_cells(
-        reference, inputs.get("ref_lat_name", "lat"), inputs.get("ref_lon_name", "lon")
+    reference_cells = cell_table(
+        reference,
+        inputs.get("reference_cells"),
+        inputs.get("ref_lat_name", "lat"),
+        inputs.get("ref_lon_name", "lon"),
     )
 
     weather = None
@@ -390,6 +404,7 @@ def run_config(spark: SparkSession, config: Mapping) -> RunResult:
         terrain = dem
         if dem_config.get("regrid_to_reference", False):
             terrain = terrain_on(dem, cells, lat="lat_coord", lon="lon_coord")
+        terrain = reuse(terrain.select(*CELL, "altitude"))
 
     banding = config.get("altitude_binning", {})
     edges = banding.get("bins") or dem_config.get("bins") or RUN_EDGES

@@ -5,6 +5,7 @@ import datetime as dt
 import frames
 import numpy as np
 import pytest
+from compare import plan
 from pyspark.sql import functions as F
 
 from gridverify.plans import verification as v
@@ -214,6 +215,8 @@ def test_disabled_sections(spark, inputs, tmp_path):
         c[name] = {}
     c["plot"] = {"enabled": False}
     c["ensemble"] = {"mean": True}
+    inputs[4].write.parquet(f"{tmp_path}/cells")
+    c["input"] |= {"ensemble_cells": f"{tmp_path}/cells", "lat_name": "lat", "lon_name": "lon"}
     result = v.run_config(spark, c)
     assert result.figures == {}
     assert set(result.scores.columns) == {"iy", "ix", "metric", "score"}
@@ -224,6 +227,9 @@ def test_reuse_follows_the_session(spark, inputs, monkeypatch):
     df = inputs[2]
     assert v.shared_folder(spark)
     kept = v.reuse(df)
-    assert kept is not df and kept.count() == df.count()
+    assert "Scan ExistingRDD" in plan(kept)
+    assert kept.count() == df.count()
     monkeypatch.setattr(v, "shared_folder", lambda _: None)
-    assert v.reuse(df) is df
+    cached = v.reuse(df.where("iy >= 0"))
+    assert cached.is_cached and cached.count() == df.count()
+    cached.unpersist()
