@@ -22,8 +22,10 @@ from gridverify.schema import CELL, dimension_columns, require
 AXIS_RANGES = 128
 RANGE_ROWS = 4096
 
-# Axis tables with at most this many rows (some tens of MB in memory) are broadcast.
+# Axis tables with at most this many rows (some tens of MB in memory) are broadcast,
+# and so are tables of cells with at most this many rows.
 BROADCAST_AXIS = 500_000
+BROADCAST_CELLS = 1_000_000
 
 
 def grid_cells(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -53,17 +55,17 @@ def rectilinear(cells: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFra
 # --- sizes --------------------------------------------------------------------
 
 
-def axes_fit_broadcast(cells: DataFrame) -> bool:
-    """Whether tables as long as the grid's axes may be broadcast.
+def fits_broadcast(cells: DataFrame) -> tuple[bool, bool]:
+    """Whether tables as long as the grid's axes, and tables of its cells, may be broadcast.
 
     Spark cannot tell from the plan: its estimate for a table made by joins and
     windows is far too high, and data would then be shuffled on a grid row. So
-    the axes are counted, by one small job over the cell table.
+    axes and cells are counted, by one small job over the cell table.
     """
-    rows, columns = cells.agg(
-        F.approx_count_distinct("iy"), F.approx_count_distinct("ix")
+    rows, columns, n = cells.agg(
+        F.approx_count_distinct("iy"), F.approx_count_distinct("ix"), F.count(F.lit(1))
     ).first()
-    return max(rows, columns) <= BROADCAST_AXIS
+    return max(rows, columns) <= BROADCAST_AXIS, n <= BROADCAST_CELLS
 
 
 def hinted(df: DataFrame, fits: bool) -> DataFrame:
@@ -77,7 +79,7 @@ def axis_summaries(axes: dict[str, DataFrame]) -> dict[str, tuple[int, list[floa
     there are only these.
     """
     named = [df.select(F.lit(name).alias("name"), "c") for name, df in axes.items()]
-    cuts = [k / AXIS_RANGES for k in range(1, AXIS_RANGES)]
+    shares = ", ".join(f"{k / AXIS_RANGES!r}D" for k in range(1, AXIS_RANGES))
     summary = (
         reduce(DataFrame.unionByName, named)
         .where("c IS NOT NULL")
@@ -86,7 +88,7 @@ def axis_summaries(axes: dict[str, DataFrame]) -> dict[str, tuple[int, list[floa
             F.count("c").alias("n"),
             F.min("c").alias("first"),
             F.max("c").alias("last"),
-            F.percentile_approx("c", cuts).alias("cuts"),
+            F.expr(f"percentile_approx(c, array({shares}))").alias("cuts"),
         )
     )
     found = {name: (0, []) for name in axes}

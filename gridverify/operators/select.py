@@ -10,7 +10,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridverify.operators.grid import axes_fit_broadcast, hinted
+from gridverify.operators.grid import fits_broadcast, hinted
 from gridverify.schema import CELL, require, value_columns
 
 
@@ -44,7 +44,7 @@ def crop_to_box(df: DataFrame, marked: DataFrame, *, fits: bool | None = None) -
     data are not shuffled.
     """
     if fits is None:
-        fits = axes_fit_broadcast(marked)
+        fits, _ = fits_broadcast(marked)
     inside = marked.where("in_bounds")
     for axis in CELL:
         df = df.join(hinted(inside.select(axis).distinct(), fits), axis, "left_semi")
@@ -67,13 +67,15 @@ def subset_box(
     values of those outside the bounds to NULL, as a grid must stay
     rectangular; ``crop="cells"`` keeps only the cells in bounds.
     """
+    if crop not in ("box", "cells"):
+        raise ValueError("crop must be 'box' or 'cells'")
     marked = mark_bounds(cells, lat_bounds, lon_bounds, lat=lat, lon=lon)
+    axes_fit, cells_fit = fits_broadcast(marked)
     if crop == "cells":
-        return df.join(marked.where("in_bounds").select(*CELL), list(CELL), "left_semi")
-    if crop != "box":
-        raise ValueError("crop must be 'box' or 'cells'")
-    flags = crop_to_box(marked, marked).select(*CELL, "in_bounds")
-    joined = df.join(flags, list(CELL))
+        wanted = hinted(marked.where("in_bounds").select(*CELL), cells_fit)
+        return df.join(wanted, list(CELL), "left_semi")
+    flags = crop_to_box(marked, marked, fits=axes_fit).select(*CELL, "in_bounds")
+    joined = df.join(hinted(flags, cells_fit), list(CELL))
     masked = {c: F.when(F.col("in_bounds"), F.col(c)) for c in value_columns(df)}
     return joined.withColumns(masked).select(*df.columns)
 

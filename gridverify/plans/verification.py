@@ -12,9 +12,10 @@ from gridverify.operators.bands import RUN_EDGES, altitude_bands, mark_bands
 from gridverify.operators.distribution import HISTOGRAM_BINS, line_distribution
 from gridverify.operators.grid import (
     attach_altitude,
-    axes_fit_broadcast,
     axis_maps,
+    fits_broadcast,
     grid_cells,
+    hinted,
     regrid_nearest,
 )
 from gridverify.operators.lines import build_cycle_lines, build_lines
@@ -102,9 +103,9 @@ def _side(
         if cells is None:
             raise ValueError("a latitude/longitude crop needs the cell table of the grid")
         marked = mark_bounds(cells, s.lat_bounds, s.lon_bounds)
-        fits = axes_fit_broadcast(marked)
-        df = crop_to_box(df, marked, fits=fits)
-        cells = crop_to_box(marked, marked, fits=fits)
+        axes_fit, cells_fit = fits_broadcast(marked)
+        df = crop_to_box(df, marked, fits=axes_fit)
+        cells = crop_to_box(marked, marked, fits=axes_fit)
     if weather is not None:
         df = filter_weather(df, weather, s.include_types)
     if s.ensemble_mean:
@@ -118,7 +119,7 @@ def _side(
     df = aggregate_time(df, s.period, method=s.method, min_count=s.min_count)
     if crop:
         blank = F.lit(_empty_value(s)).cast("double")
-        flags = cells.select(*CELL, "in_bounds")
+        flags = hinted(cells.select(*CELL, "in_bounds"), cells_fit)
         df = df.join(flags, list(CELL))
         df = df.withColumn("value", F.when(F.col("in_bounds"), F.col("value")).otherwise(blank))
         df = df.drop("in_bounds")
@@ -405,6 +406,7 @@ def run_config(spark: SparkSession, config: Mapping) -> RunResult:
         if dem_config.get("regrid_to_reference", False):
             terrain = terrain_on(dem, cells, lat="lat_coord", lon="lon_coord")
         terrain = reuse(terrain.select(*CELL, "altitude"))
+        terrain = hinted(terrain, fits_broadcast(terrain)[1])
 
     banding = config.get("altitude_binning", {})
     edges = banding.get("bins") or dem_config.get("bins") or RUN_EDGES
