@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridverify.functions.values import clean
-from gridverify.schema import DIMENSIONS, dimension_columns, dimension_list, require
+from gridverify.schema import dimension_columns, dimension_list, require
 
 # Score name -> aggregate of the error column.
 SCORES = {
@@ -128,7 +128,6 @@ def all_metrics(model: DataFrame, reference: DataFrame, dim=None, **columns) ->
 
 
 __all__ = [
-    "DIMENSIONS",
     "SCORES",
     "all_metrics",
     "kept_dimensions",

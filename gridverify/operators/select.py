@@ -9,6 +9,7 @@ from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridverify.operators.grid import fits_broadcast, hinted
 from gridverify.schema import CELL, require, value_columns
@@ -186,13 +187,17 @@ def included_days(
     time: str = "time",
     weather_type: str = "slwt",
 ) -> DataFrame:
-    """Days (column ``day``) with at least one row of a wanted weather type."""
-    wanted = sorted({str(t) for t in include_types})
-    return (
-        weather.where(F.col(weather_type).cast("string").isin(wanted))
-        .select(F.to_date(time).alias("day"))
-        .distinct()
-    )
+    """Days (column ``day``) with at least one row of a wanted weather type.
+
+    Types are given as numbers or as texts; a text matches a type written like it.
+    """
+    kind = F.col(weather_type)
+    texts = [t for t in include_types if isinstance(t, str)]
+    numbers = [t for t in include_types if not isinstance(t, str)]
+    if not isinstance(weather.schema[weather_type].dataType, T.NumericType):
+        texts, numbers = [str(t) for t in include_types], []
+    wanted = kind.cast("string").isin(texts) | kind.isin(numbers)
+    return weather.where(wanted).select(F.to_date(time).alias("day")).distinct()
 
 
 def filter_weather(

@@ -448,6 +448,12 @@ s AS (
   UNION ALL
   SELECT member, bin_min, bin_max, {SCORES} FROM b WHERE bin_min IS NOT NULL GROUP BY ALL)
 SELECT member, bin_min, bin_max, metric, score FROM s UNPIVOT (score FOR metric IN (ME, MAE, RMSE))"""
+    sql["temperature_run"] = f"""WITH {ER},
+ea AS ({summed('e', 'daily', 'member, iy, ix', 'mean', '(value - 273.15e0)')}),
+ra AS ({summed('r', 'daily', 'iy, ix', 'mean')}),
+p AS (SELECT member, ea.value - ra.value AS d FROM ea JOIN ra USING (time, iy, ix)),
+s AS (SELECT member, {ME} AS ME, {RMSE} AS RMSE FROM p GROUP BY ALL)
+SELECT member, metric, score FROM s UNPIVOT (score FOR metric IN (ME, RMSE))"""
     box = "lat BETWEEN 46.25 AND 1e9 AND lon BETWEEN 10.25 AND 12"
     kept = "CASE WHEN value >= 10 AND value < 40 THEN value END"
     sql["full_run"] = f"""WITH {ER}, {W}, {DEM}, {BANDS}, {cells('all_cells')},

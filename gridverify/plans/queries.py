@@ -628,6 +628,24 @@ def verification_run(spark, sf_dir):
     )
 
 
+@_query
+def temperature_run(spark, sf_dir):
+    """The values as temperatures: the forecast in Kelvin, the observation in Celsius."""
+    return verification.verify(
+        roles.ensemble(spark, sf_dir),
+        roles.reference(spark, sf_dir),
+        verification.Selection(
+            variable="T2M",
+            units="K",
+            reference_units="degC",
+            period="daily",
+            method="mean",
+        ),
+        metrics=["ME", "RMSE"],
+        collapse=["time", "lat", "lon"],
+    )
+
+
 @_query
 def full_run(spark, sf_dir):
     return verification.verify(

@@ -123,5 +123,5 @@ def read_weather_types(
     require(raw, date_col, weather_type, error=KeyError)
     return raw.select(
         F.col(date_col).cast("timestamp_ntz").alias("time"),
-        F.col(weather_type).cast("int").alias("slwt"),
+        F.col(weather_type).cast("double").cast("int").alias("slwt"),
     )

@@ -112,3 +112,7 @@ def test_weather_days(spark):
     assert kept([1, "3"]) == [3.0, 4.0]
     assert kept([9]) == []
     assert kept([]) == kept(None) == [1.0, 2.0, 3.0, 4.0, 5.0]
+    for as_type in ("double", "string"):
+        other = weather.withColumn("slwt", weather["slwt"].cast(as_type))
+        days = select.included_days(other, [3]).collect()
+        assert [r.day for r in days] == [date(2017, 10, 2)]

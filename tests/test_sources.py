@@ -96,7 +96,7 @@ def test_dem(spark, tmp_path):
 
 def test_weather_csv(spark, tmp_path):
     path = tmp_path / "types.csv"
-    path.write_text("date,slwt,note\n2017-10-02 11:00:00,3,x\n2017-10-01 11:00:00,6,y\n2017-10-03,1,z\n")
+    path.write_text("date,slwt,note\n2017-10-02 11:00:00,3.0,x\n2017-10-01 11:00:00,6,y\n2017-10-03,1,z\n")
     found = readers.read_weather_types(spark, str(path))
     assert found.dtypes == [("time", "timestamp_ntz"), ("slwt", "int")]
     assert sorted(r.slwt for r in found.collect()) == [1, 3, 6]
