@@ -7,8 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridverify.llm import decontaminate, simhash, warc
-from gridverify.llm.common import table
+from gridverify.llm import (
+    context_mixing,
+    decontaminate,
+    html_extract,
+    language,
+    neighbours,
+    pfair,
+    quality,
+    sharding,
+    simhash,
+    warc,
+)
+from gridverify.llm.common import id_remainder, table
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,12 +33,74 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = id_remainder(F.col("doc_id"), 3) == 1
+    model = quality.train(docs.where(~held_out), labels.select("doc_id", "quality"))
+    return quality.with_quality(docs, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        F.col("__score").alias("score"),
+        (F.col("__score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.clusters(table(spark, sf_dir, "documents"))
 
 
+def op5_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = context_mixing.scored(docs, id_remainder(F.col("doc_id"), 7) == 2)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op6_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's block, its release time and deadline, its slot, and whether the mix has it."""
+    return pfair.scheduled(table(spark, sf_dir, "documents").select("doc_id", "source")).select(
+        "row.doc_id", "row.source", "block", "release", "deadline", "slot", "place", "in_mix"
+    )
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        F.col("id").alias("doc_id"),
+        "size",
+        F.col("crc").alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder(F.col("doc_id"), 5) == 0
+    found = language.with_language(docs.select("doc_id", "text"), docs.where(~held_out))
+    return found.select(
+        "doc_id", held_out.alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score")
+    )
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.with_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select(
+        "page_id", "url", F.col("__text").alias("text"), F.char_length("__text").cast("long").alias("n_chars")
+    )
+
+
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(
+        table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_warc, op2_decontamination, op4_simhash]
+    found = [
+        op1_warc, op2_decontamination, op3_quality, op4_simhash, op5_context_mixing, op6_pfair, op7_sharding,
+        op8_language, op9_main_text, op10_neighbours,
+    ]
     return {f.__name__: f for f in found}
 
 
