@@ -75,6 +75,17 @@ def utf8(text: Column) -> Column:
     return text.cast("binary")
 
 
+def free_names(taken: list[str], names: list[str]) -> list[str]:
+    """The names, with underscores appended to those that are taken, whatever their case."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def buffers(column: pa.Array) -> list[bytes]:
     """The values of a binary column; null is empty."""
     return [v or b"" for v in column.to_pylist()]

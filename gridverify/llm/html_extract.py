@@ -45,7 +45,7 @@ LEFT_OUT_WORDS = frozenset(
 BLOCK = frozenset(
     "address article blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-CONTAINER = frozenset("article blockquote body center div dl figure main ol section table td ul".split())
+CONTAINER = frozenset("article center div main section td".split())
 #: Start tags that end an open element of the second kind.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("article div dl main ol section table td th ul".split())

@@ -57,7 +57,7 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         dot += x * y
         aa += x * x
         bb += y * y
-    return np.clip(dot / (np.sqrt(aa) * np.sqrt(bb)), -1, 1)
+    return np.clip(dot / np.sqrt(aa * bb), -1, 1)
 
 
 def _pack(batches):

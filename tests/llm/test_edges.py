@@ -1,0 +1,359 @@
+"""Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import base64
+import hashlib
+
+import corpus_pipeline
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gridverify.llm import (
+    components,
+    context_mixing,
+    decontaminate,
+    html_extract,
+    language,
+    neighbours,
+    pfair,
+    quality,
+    sharding,
+    simhash,
+    warc,
+)
+from plain import contamination, fingerprint, groups
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, row int, id int, shard string"
+LONG = "Lorem ipsum dolor " * 20_000
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+
+
+def rows_of(*texts):
+    """Documents with columns whose names operators use themselves."""
+    return [(i, t, "en", "s", 0, 0.5, 1, 2, "x") for i, t in texts]
+
+
+@pytest.fixture
+def docs(spark):
+    odd = rows_of((1, WORDS), (2, None), (3, ""), (None, "some words"), (4, " \n\t"), (5, "12 34"), (6, LONG), (1, WORDS), (7, WORDS + " x"))
+    return spark.createDataFrame([*odd, (8, "no labels", None, None, None, None, None, None, None)], DOCS)
+
+
+@pytest.fixture
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture
+def benchmark(spark):
+    return spark.createDataFrame([(1, "BETA gamma, delta epsilon zeta eta theta iota kappa lambda mu nu"), (2, None), (3, ""), (4, "some words"), (4, "some words"), (None, "34")], "item_id long, text string")
+
+
+def test_warc(spark, tmp_path):
+    pages = [(1, "http://a/ b\nc", "<p>x"), (2, None, "<p>x"), (2, "u", "<p>x"), (3, "u", None), (4, "u", ""), (None, "u", "y" * 300_000), (5, "u", "é")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit(1))
+    index, folder = warc.write_archives(df, str(tmp_path / "w"))
+    found = sorted(((r.id or 0, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_records(index, folder).collect()), key=str)
+    assert found == sorted(
+        [(0, "response", None, 300_000), (1, "revisit", 2, 4), (2, "response", None, 4), (2, "revisit", 2, 4), (3, "revisit", 4, 0), (4, "response", None, 0), (5, "response", None, 2)], key=str
+    )
+    digests = {r.id: (r.payload_digest, bytes(r.payload)) for r in warc.read_records(index, folder).collect()}
+    assert digests[5] == (base64.b32encode(hashlib.sha1("é".encode()).digest()).decode(), "é".encode())
+    one = warc.read_records(index.where("id = 5"), folder).collect()
+    assert [r.id for r in one] == [5]
+    index, folder = warc.write_archives(df.where("false"), str(tmp_path / "e"))
+    assert warc.read_records(index, folder).collect() == []
+
+
+def test_warc_small_payloads_are_not_revisited(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id long, url string, html string")
+    index, folder = warc.write_archives(df, str(tmp_path / "w"), min_revisit_bytes=3)
+    assert {r.id: r.refers_to for r in warc.read_records(index, folder).collect()} == {1: None, 2: None, 3: 4, 4: None}
+
+
+def test_contamination(spark, docs, none, benchmark, monkeypatch):
+    plain = lambda df: [tuple(r) for r in df.select("doc_id", "text").collect()]
+    items = [tuple(r) for r in benchmark.collect()]
+    expected = sorted(map(repr, ((i, *e) for (i, _), e in zip(plain(docs), contamination(plain(docs), items)))))
+    found = lambda: sorted(map(repr, map(tuple, decontaminate.contamination(docs, benchmark).collect())))
+    assert found() == expected
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 5)
+    assert found() == expected
+    monkeypatch.setattr(decontaminate, "PASS_WORDS", 8)
+    assert found() == expected
+    assert decontaminate.contamination(none, benchmark).count() == 0
+    assert decontaminate.contamination(docs, benchmark.where("false")).where("contaminated").count() == 0
+
+
+def test_contaminated_spans_are_cut(spark, benchmark):
+    text = "Before it all came many clean words, and then: " + WORDS + " -- and after"
+    df = spark.createDataFrame([(1, text, 7), (2, "clean", 8), (3, "Some words", 9), (4, None, 10)], "doc_id long, text string, spans int")
+    kept = decontaminate.remove_contamination(df, benchmark, max_coverage=0.9)
+    assert sorted(map(tuple, kept.collect()), key=str) == [(1, "Before it all came many clean words, and then: alpha  -- and after", 7), (2, "clean", 8), (4, None, 10)]
+    assert [r.doc_id for r in decontaminate.remove_contamination(df, benchmark).orderBy("doc_id").collect()] == [2, 4]
+
+
+def test_automaton_on_random_texts():
+    draw = np.random.default_rng(1)
+    words = [bytes([97 + k]) for k in range(4)]
+    text = lambda n: b" ".join(words[k] for k in draw.integers(0, 4, n))
+    items = [(str(k), text(n)) for k, n in enumerate(draw.integers(0, 12, 30))]
+    machine = decontaminate.Automaton([(i, decontaminate.words(t)) for i, t in items], 5)
+    docs = [(k, text(n)) for k, n in enumerate(draw.integers(0, 40, 60))]
+    expected = contamination([(d, t.decode()) for d, t in docs], [(i, t.decode()) for i, t in items], 5)
+    for (_, t), (_, hit, n, _, _) in zip(docs, expected):
+        spans, found = machine.hits(decontaminate.words(t))
+        assert (sum(b - a + 1 for a, b in decontaminate.merged(spans)), len(found)) == (hit, n)
+
+
+def test_quality(spark, docs, none):
+    texts = [(k, "good plain words here" if k % 2 else "BAD!! BAD!! TEXT!!") for k in range(40)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(None, 1), (0, None), (41, 5), (99, 0)], "doc_id long, quality int")
+    train = spark.createDataFrame(rows_of(*texts), DOCS)
+    model = quality.train(train, labels)
+    found = {r.doc_id: r["__score"] for r in quality.with_quality(train, model).collect()}
+    assert all((found[k] >= 0.5) == bool(k % 2) for k in range(40))
+    scores = quality.with_quality(docs, model)
+    assert scores.columns == [c for c in docs.columns if c != "text"] + ["__score"]
+    assert scores.count() == docs.count() and scores.where("__score < 0 or __score > 1 or __score is null").count() == 0
+    blank = [r["__score"] for r in scores.where("doc_id in (2, 3)").collect()]
+    assert blank[0] == blank[1]
+    for few in (quality.train(none, labels), quality.train(train, labels.where("quality = 1"))):
+        assert quality.with_quality(none, few).count() == 0
+        assert quality.with_quality(docs, few).where("__score between 0 and 1").count() == docs.count()
+
+
+def test_quality_features_do_not_depend_on_pieces(monkeypatch):
+    text = ("ein zwei drei vier " * 50).encode()
+    whole = quality.features(text)
+    monkeypatch.setattr(quality, "PIECE", 64)
+    pieces = quality.features(text)
+    assert pieces.sum() <= whole.sum() and (whole > 0).sum() == (pieces > 0).sum()
+
+
+def test_simhash(spark, docs, none):
+    found = sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in simhash.clusters(docs).collect())
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    codes = [fingerprint(t) for _, t in rows]
+    expected = groups(codes, [i for i, _ in rows])
+    assert found == sorted((str(i), f"{c:016x}", str(g)) for (i, _), c, g in zip(rows, codes, expected))
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted({str(g) for g in expected})
+    assert simhash.clusters(none).count() == 0 and simhash.one_of_each(none).count() == 0
+
+
+@pytest.mark.parametrize("block", [8192, 32])
+def test_links_of_crowded_fingerprints(spark, monkeypatch, block):
+    """Close codes, and one part value that many share, whole and cut into blocks."""
+    monkeypatch.setattr(simhash, "BLOCK_CODES", block)
+    draw = np.random.default_rng(3)
+    centres = draw.integers(0, 1 << 63, 12, dtype=np.uint64)
+    near = [int(c) ^ sum(1 << int(b) for b in draw.integers(0, 64, k % 6)) for c in centres for k in range(20)]
+    shared = [0xABCD | int(x) << 16 for x in draw.integers(0, 1 << 40, 150)]
+    codes = sorted({c & (1 << 64) - 1 for c in [*near, *shared, 0, 7, (1 << 64) - 1]})
+    signed = [c - (1 << 64) if c >> 63 else c for c in codes]
+    links = simhash.near_links(spark.createDataFrame([(c,) for c in signed], "fp long"))
+    found = {r.node: r.root for r in components.components(links).collect()}
+    expected = groups(codes, signed)
+    assert [found.get(c, c) for c in signed] == expected
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    chain = [(k, k + 1) for k in range(1, 60)]
+    star = [(1000 + k, 100) for k in range(50)]
+    df = spark.createDataFrame([*chain, *star, (5, 5), (2, 1), (7000, 6999)], "a long, b long")
+    found = {r.node: r.root for r in components.components(df).collect()}
+    assert {found[k] for k in range(1, 61)} == {1} and found[1049] == 100 and found[7000] == 6999
+    assert len(found) == 60 + 51 + 2
+    assert components.components(df.where("false")).count() == 0
+
+
+def test_language_model(spark, docs, none):
+    found = {}
+    for r in context_mixing.scored(docs, F.col("doc_id") == 7).collect():
+        found.setdefault(r.id, []).append(r)
+    assert sum(map(len, found.values())) == docs.count()
+    assert found[2][0].n_tokens == found[3][0].n_tokens == found[4][0].n_tokens == 1
+    assert found[6][0].n_tokens == 60_001 and found[1][0].score == found[1][1].score
+    assert all(r.score < 0 and np.isfinite(r.score) for rs in found.values() for r in rs)
+    assert context_mixing.scored(none, F.lit(False)).count() == 0
+    untaught = context_mixing.scored(docs, F.lit(True)).collect()
+    assert all(r.train_tokens == 0 and r.n_known == 0 and r.score < 0 for r in untaught)
+
+
+def test_language_model_blocks_do_not_matter(spark, docs, monkeypatch):
+    one = sorted((str(r.id), r.n_tokens, round(r.base_score, 6), round(r.score, 3)) for r in context_mixing.scored(docs, F.lit(False), buckets=3).collect())
+    monkeypatch.setattr(context_mixing, "BLOCK_DOCS", 2)
+    two = sorted((str(r.id), r.n_tokens, round(r.base_score, 6), round(r.score, 3)) for r in context_mixing.scored(docs, F.lit(False), buckets=3).collect())
+    assert one == two
+
+
+def test_bits_make_a_distribution():
+    """Of all tokens that go on from a prefix, the probabilities add up to the prefix's."""
+    size, nodes, bits = codes = context_mixing.byte_codes(np.bincount([97, 98, 98, 32], minlength=256))
+    assert sum(0.5**n for n in size.tolist()) == 1
+    table = np.random.default_rng(1).integers(0, 9, (2, context_mixing.SLOTS)).astype(np.float32)
+    weights = np.full((context_mixing.GATES, context_mixing.PREDICTORS), 0.3)
+    cells = np.zeros((2, context_mixing.GATES * context_mixing.CELLS))
+    inside = [bytes([c]) for c in range(256) if c not in b" \n"]
+    score = lambda words: 10 ** context_mixing.token_scores(words, codes, table, weights, cells)
+    # "a" + any byte, then the gap: with all second bytes, at most the chance of an "a" not ended at once.
+    assert score([b"a", *(b"a" + c for c in inside)]).sum() <= 1
+    context, = (score([w])[0] for w in [b"\n"])
+    assert 0 < context < 1
+
+
+def test_segments_adapt():
+    new = context_mixing.segment_scores(np.full(6, -20.0), np.ones(6), np.arange(6) == 0, np.zeros(6), np.zeros(6, bool), np.zeros(6), np.zeros(6, bool), 100)
+    copied = context_mixing.segment_scores(np.full(6, -20.0), np.ones(6), np.arange(6) == 0, np.ones(6), np.ones(6, bool), np.ones(6), np.ones(6, bool), 100)
+    assert (new < -20).all() and (new > -20.3).all() and (copied[1:] > -0.2).all()
+
+
+def test_pfair_lag_is_less_than_a_block():
+    quota = pfair.quotas({"a": 5, "b": 3, "c": 1.5, "d": 0.01, "e": 0})
+    assert sum(quota.values()) == pfair.PERIOD and "e" not in quota and quota["d"] >= 1
+    done, period = dict.fromkeys(quota, 0), pfair.PERIOD
+    for slot, (s, k, at, release, due) in enumerate(pfair.schedule(quota)):
+        assert at == slot and release <= slot < due and k == done[s]
+        done[s] += 1
+        assert all(abs(done[x] - (slot + 1) * quota[x] / period) < 1 for x in quota)
+    assert pfair.quotas({"a": 4, "b": 2}) == {"a": 2, "b": 1}
+    assert pfair.quotas({}) == {}
+
+
+def test_mixing(spark, docs, none):
+    found = pfair.scheduled(docs, {"s": 3, None: 1, "unknown": 5}, block_rows=2)
+    rows = found.select("row.doc_id", "row.source", "slot", "in_mix").collect()
+    assert len(rows) == docs.count()
+    assert sorted(r.slot for r in rows if r.source == "s") == [0, 0, 1, 1, 3, 3, 4, 4, 5]
+    assert [r.slot for r in rows if r.source is None] == [2]
+    assert pfair.scheduled(docs, {"s": 1}).where("slot is null").count() == 1
+    assert pfair.mixed(docs).columns == docs.columns
+    assert pfair.scheduled(none).count() == 0 and pfair.mixed(none).count() == 0
+
+
+def test_mix_follows_the_weights(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, "b").otherwise("a").alias("source"))
+    kept = pfair.mixed(df, {"a": 1, "b": 1}, block_rows=4).groupBy("source").count().collect()
+    found = {r.source: r["count"] for r in kept}
+    assert found["b"] == 1000 and abs(found["a"] - 1000) <= 4
+
+
+def test_sharding(spark, docs, none):
+    rows = sharding.sharded(docs).collect()
+    assert len(rows) == docs.count() and all(r.size == len((r.row.text or "").encode()) + 1 for r in rows)
+    for s in {r.shard for r in rows}:
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+    assert sharding.sharded(none).count() == 0
+
+
+def test_hot_text_is_split_and_others_stay_whole(spark):
+    """A text with half of all bytes goes to several shards, one with 5 % to one."""
+    df = spark.range(4000).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 2 == 0, F.lit("hot " * 25)).when(F.col("id") % 20 == 1, F.lit("warm" * 25)).otherwise(F.concat(F.lit("x" * 94), F.format_string("%06d", "id"))).alias("text"),
+    )
+    rows = sharding.sharded(df).collect()
+    sizes = [sum(r.size for r in rows if r.shard == s) for s in range(8)]
+    assert max(sizes) <= 1.02 * min(sizes)
+    assert len({r.shard for r in rows if r.row.text.startswith("hot")}) >= 4
+    assert len({r.shard for r in rows if r.row.text.startswith("warm")}) == 1
+
+
+def test_languages(spark, docs, none):
+    texts = [("der hund und die katze", "de"), ("the dog and the cat", "en"), ("le chien et le chat", "fr"), ("", "xx"), (None, "yy"), ("words", None)]
+    train = spark.createDataFrame(texts * 5, "text string, lang string")
+    ask = spark.createDataFrame([("und die", 1), ("the", 2), ("chien", 3), (None, 4), ("", 5), ("123 !", 6), ("日本 𝒳", 7), (LONG, 8)], "text string, lang_pred int")
+    found = {r.lang_pred: (r["__lang"], r["__score"]) for r in language.with_language(ask, train).collect()}
+    assert [found[k][0] for k in (1, 2, 3, 4, 5, 6)] == ["de", "en", "fr", "und", "und", "und"]
+    assert found[4][1] == 0 and found[7][1] < 0.2 and all(0 <= s <= 1 for _, s in found.values())
+    assert {r["__lang"] for r in language.with_language(ask, none).collect()} == {"und"}
+    assert language.with_language(none, train).count() == 0
+    assert language.with_language(docs, train).count() == docs.count()
+
+
+def test_kept_vectors_may_be_few(monkeypatch):
+    letters, text = language.Letters(), "the quick brown fox jumps over the lazy dog " * 3
+    names = ["a", "b"]
+    prototype = np.random.default_rng(2).normal(size=(2, 64)).astype(np.float32)
+    many = language.predict([text, "x"], names, prototype, letters, language.Vectors(64))
+    monkeypatch.setattr(language, "KEPT_VECTORS", 5)
+    few = language.predict([text, "x"], names, prototype, letters, language.Vectors(64))
+    assert many[0] == few[0] and np.allclose(many[1], few[1])
+
+
+PAGES = [
+    ("<html><body><nav><p>menu menu menu menu</p></nav><div class='post 12'><h1>Title</h1><p>First &amp; long enough paragraph<p>Second&nbsp;one<br>here, <b>bold</b>er</div><div class=comments><p>I say so too, at some length</p></div><footer>f</footer>", "Title\nFirst & long enough paragraph\nSecond one here, bolder"),
+    ("<div class='post 7'><p>Short</p></div><div class='other'><p>something much longer than the short post of this page</p></div>", "Short"),
+    ("plain text only", "plain text only"),
+    ("", ""),
+    (None, ""),
+    ("<article><script>var x = '</p>';</script><ul><li>one<li>two</ul><table><tr><td>a<td>b</table><!-- no --></article><aside>x</aside>", "one\ntwo\na\nb"),
+    ("<p>5 < 6 and &lt;b&gt; &#233; &bogus;</p></div></p>", "5 < 6 and <b> é &bogus;"),
+]
+
+
+def test_main_text(spark):
+    rows = [(k, "http://h.example/x", h, 1) for k, (h, _) in enumerate(PAGES)]
+    rows[2:] = [(k, None if k % 2 else f"https://u@h{k}.example:80/", h, 1) for k, (h, _) in enumerate(PAGES)][2:]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    votes = [(100 + k, "http://h.example/y", PAGES[0][0], 1) for k in range(3)]
+    df = df.union(spark.createDataFrame(votes, df.schema))
+    found = {r.page_id: r["__text"] for r in html_extract.with_main_text(df).collect()}
+    assert [found[k] for k in range(len(PAGES))] == [t for _, t in PAGES]
+    assert html_extract.with_main_text(df.where("false")).count() == 0
+
+
+def test_main_text_by_salted_join(spark, monkeypatch):
+    df = spark.createDataFrame([(k, "http://h/x", PAGES[0][0]) for k in range(9)] + [(9, None, None)], "page_id long, url string, html string")
+    one = sorted(map(str, html_extract.with_main_text(df).collect()))
+    monkeypatch.setattr(html_extract, "BROADCAST_HOSTS", 0)
+    assert sorted(map(str, html_extract.with_main_text(df).collect())) == one
+
+
+def test_neighbours(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    rows = [(k, draw.integers(-3, 4, 8).astype(float).tolist()) for k in range(120)]
+    rows += [(200, None), (201, []), (202, [0.0] * 8), (203, [float("nan")] * 8), (204, [float("inf")] + [1.0] * 7), (205, [None] + [1.0] * 7), (0, rows[0][1]), (None, rows[0][1]), (50, [1.0, 2.0])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, score int")
+    good = [(n, i, np.array(v)) for n, (i, v) in enumerate(rows) if v and None not in v and np.isfinite(v).all() and any(v)]
+
+    def plain(nearest):
+        out = []
+        for n, q, v in good:
+            if q is not None and q % 50 == 0:
+                scored = [(-float(neighbours.cosine(v[None], w[None])[0]), i is None, i or 0, m) for m, i, w in good if m != n and len(w) == len(v)]
+                out += [(q, r + 1, None if none else i, -s) for r, (s, none, i, _) in enumerate(sorted(scored)[:nearest])]
+        return sorted(map(repr, out))
+
+    for rows_of_block in (2048, 16):
+        monkeypatch.setattr(neighbours, "BLOCK_ROWS", rows_of_block)
+        found = neighbours.nearest_neighbours(df, F.col("vec_id") % 50 == 0).collect()
+        assert sorted(repr(tuple(r)) for r in found) == plain(5)
+    assert neighbours.nearest_neighbours(df.where("false"), F.lit(True)).count() == 0
+
+
+def test_int8_bounds_hold():
+    draw = np.random.default_rng(5)
+    a, b = draw.normal(size=(50, 30)), draw.normal(size=(60, 30)) ** 3
+    blocks = []
+    for v in (a, b):
+        codes, scale, lost = neighbours.quantised(v)
+        block = neighbours._Block.__new__(neighbours._Block)
+        block.dim, block.rows, block.codes, block.scales, block.errors = 30, np.arange(len(v)), codes.astype(np.float32), scale, lost
+        blocks.append(block)
+    about, off = neighbours._bounds(*blocks)
+    exact = (a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T
+    assert (np.abs(about - exact) <= off).all() and off.max() < 0.2
+
+
+def test_pipeline_stages(spark, docs, none, benchmark, tmp_path):
+    benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
+    for df in (docs, none):
+        for name, stage in corpus_pipeline.STAGES:
+            df = stage(spark, df, str(tmp_path))
+            if name != "sharding":
+                assert df.columns == docs.columns, name
+        assert df.columns == [*docs.columns, "shard_bytes", "shard_", "shard_slot"]
+        df.count()
