@@ -86,12 +86,17 @@ def _mask(
     df: DataFrame,
     keep: Column,
     variables: Sequence[str] | None,
-    otherwise: float | None = None,
+    zero: Column | None = None,
 ) -> DataFrame:
+    """Values where ``keep`` holds, 0 where ``zero`` does, else NULL."""
     names = value_columns(df) if variables is None else present(df, variables)
-    fill = F.lit(otherwise).cast("double")
+
+    def masked(name: str) -> Column:
+        kept = F.when(keep, F.col(name))
+        return kept if zero is None else kept.when(zero, F.lit(0.0))
+
     # One projection, so that every variable sees the mask of the unmasked one.
-    return df.withColumns({n: F.when(keep, F.col(n)).otherwise(fill) for n in names})
+    return df.withColumns({n: masked(n) for n in names})
 
 
 def wet_filter(
@@ -102,12 +107,16 @@ def wet_filter(
     variables: Sequence[str] | None = None,
     mask_as_zero: bool = False,
 ) -> DataFrame:
-    """Mask every variable where ``value`` is below the threshold."""
+    """Mask every variable where ``value`` is below the threshold or missing.
+
+    With ``mask_as_zero`` values below the threshold become 0; where ``value`` is
+    missing nothing is known, and the result is missing too.
+    """
     if value not in df.columns:
         warnings.warn(f"{value} not found; wet filter skipped")
         return df
-    wet = F.coalesce(F.col(value) >= F.lit(float(threshold)), F.lit(False))
-    return _mask(df, wet, variables, 0.0 if mask_as_zero else None)
+    known, limit = clean(value), F.lit(float(threshold))
+    return _mask(df, known >= limit, variables, known < limit if mask_as_zero else None)
 
 
 def value_range(

@@ -7,7 +7,7 @@ import re
 from collections.abc import Sequence
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,6 +95,8 @@ def time_span(when: str | date | datetime) -> tuple[datetime, datetime]:
     the whole day, "2017-10-02T23:00:00" that second. Other values are instants.
     """
     if isinstance(when, datetime):
+        if when.tzinfo is not None:
+            raise ValueError(f"{when!r} has a time zone; times of the data have none")
         return when, when + timedelta(microseconds=1)
     if isinstance(when, date):
         first = datetime(when.year, when.month, when.day)
@@ -124,6 +126,11 @@ def time_span(when: str | date | datetime) -> tuple[datetime, datetime]:
     return first, first + step
 
 
+def _instant(when: datetime) -> Column:
+    """Literal from text: through a datetime, two time zones would move it."""
+    return F.lit(when.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def slice_time(
     df: DataFrame,
     start: str | date | datetime | None = None,
@@ -134,22 +141,23 @@ def slice_time(
     """Keep ``start <= time <= end``; either end may be left open.
 
     If the table is partitioned by ``year`` and ``month``, the same bounds are
-    also put on those columns, so that other months are never listed or read.
+    also put on those columns, so that other months are not read (a table given
+    by its path still lists all its folders; a catalogue can prune them first).
     """
     require(df, time, error=KeyError)
     partitioned = {"year", "month"} <= set(df.columns)
-    months = F.col("year") * 12 + F.col("month") if partitioned else None
+    year, month = F.col("year"), F.col("month")
     if start is not None:
         first = time_span(start)[0]
-        df = df.where(F.col(time) >= F.lit(first).cast("timestamp_ntz"))
+        df = df.where(F.col(time) >= _instant(first))
         if partitioned:
-            df = df.where(months >= first.year * 12 + first.month)
+            df = df.where((year > first.year) | ((year == first.year) & (month >= first.month)))
     if end is not None:
         after = time_span(end)[1]
-        df = df.where(F.col(time) < F.lit(after).cast("timestamp_ntz"))
+        df = df.where(F.col(time) < _instant(after))
         if partitioned:
             last = after - timedelta(microseconds=1)
-            df = df.where(months <= last.year * 12 + last.month)
+            df = df.where((year < last.year) | ((year == last.year) & (month <= last.month)))
     return df
 
 
@@ -161,8 +169,10 @@ def select_members(
 ) -> DataFrame:
     """Keep the given members; no ids keeps all of them.
 
-    With ``check`` the query fails if an id does not occur. That costs one scan
-    of the member column alone; a table partitioned by member does not need it.
+    With ``check`` the query fails if an id does not occur, also where no row is
+    kept or the result is aggregated. That costs one scan of the member column
+    alone; a table partitioned by member does not need it. Select in time and
+    space first, as the check scans the table it is given.
     """
     if not ids:
         return df
@@ -170,11 +180,17 @@ def select_members(
     wanted = sorted({ids} if isinstance(ids, str) else set(ids))
     chosen = F.col(member).isin(wanted)
     kept = df.where(chosen)
-    if check:
-        found = df.agg(F.count_distinct(F.when(chosen, F.col(member)))).scalar()
-        message = f"not every member of {wanted} occurs in the data"
-        kept = kept.where(F.assert_true(found == len(wanted), message).isNull())
-    return kept
+    if not check:
+        return kept
+    message = f"not every member of {wanted} occurs in the data"
+    found = df.agg(F.count_distinct(F.when(chosen, F.col(member))).alias("n"))
+    # A part without rows, which fails when it is read.
+    checked = found.where(
+        F.when(F.col("n") == len(wanted), F.lit(False)).otherwise(F.raise_error(message).cast("boolean"))
+    )
+    return kept.unionByName(
+        checked.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema])
+    )
 
 
 # --- weather type ----------------------------------------------------------

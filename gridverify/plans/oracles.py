@@ -248,7 +248,8 @@ SELECT {text(DAY)}, member, iy, ix, coalesce(sum(value) FILTER (value >= 5), 0)
 FROM m GROUP BY ALL"""
     sql["wet_filter_zero"] = f"""WITH {M}
 SELECT {text(MONTH)}, member, iy, ix,
-       {r('avg(CASE WHEN value >= 5 THEN value ELSE 0 END)', 'value')} FROM m GROUP BY ALL"""
+       {r('avg(CASE WHEN value = 50 THEN NULL WHEN value >= 5 THEN value ELSE 0 END)', 'value')}
+FROM m GROUP BY ALL"""
     sql["range_filter"] = f"""WITH {M}
 SELECT {text(MONTH)}, member, iy, ix, {r('avg(value) FILTER (value >= 10 AND value < 40)', 'value')}
 FROM m GROUP BY ALL"""
@@ -256,11 +257,16 @@ FROM m GROUP BY ALL"""
     sql["member_from_name"] = f"""WITH {M}
 SELECT 'total_' || strftime(time, '%Y%m%d') || '_' || member || '.parquet' AS file_name, member,
        count(*) AS n_rows FROM m GROUP BY ALL"""
-    sql["merge_by_coords"] = f"""WITH {E}, {H}
-SELECT {text(DAY)}, member, iy, ix, {r('sum(value)', 'value')}, CAST(NULL AS DOUBLE) AS observed
-FROM e GROUP BY ALL
-UNION ALL
-SELECT {text(DAY)}, member, iy, ix, NULL, {r('sum(value)', 'observed')} FROM h GROUP BY ALL"""
+    sql["merge_by_coords"] = f"""WITH {M},
+q AS (SELECT {DAY} AS time, member, iy, ix, sum(value) AS value FROM m
+  WHERE member <= '04' GROUP BY ALL),
+d AS (
+  SELECT CAST(l_shipdate AS DATE) AS time, lpad(CAST(l_linenumber AS VARCHAR), 2, '0') AS member,
+         CAST(l_suppkey // 10 AS INT) AS iy, CAST(l_suppkey % 10 AS INT) AS ix,
+         avg(l_discount) AS discount
+  FROM lineitem WHERE l_linenumber >= 3 GROUP BY ALL)
+SELECT {text('time')}, member, iy, ix, {r('value', 'value')}, {r('discount', 'discount')}
+FROM q FULL JOIN d USING (time, member, iy, ix)"""
     sql["repeated_labels"] = f"""WITH {M}
 SELECT {text('time')}, member, iy, ix, count(*) AS n_rows FROM m GROUP BY ALL HAVING count(*) > 1"""
 

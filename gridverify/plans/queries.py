@@ -205,7 +205,7 @@ def wet_filter_daily(spark, sf_dir):
 
 @_query
 def wet_filter_zero(spark, sf_dir):
-    wet = masks.wet_filter(roles.everything(spark, sf_dir), WET, mask_as_zero=True)
+    wet = masks.wet_filter(_with_gaps(spark, sf_dir), WET, mask_as_zero=True)
     return temporal.aggregate_time(wet, "monthly", method="mean")
 
 
@@ -240,11 +240,18 @@ def member_from_name(spark, sf_dir):
 
 @_query
 def merge_by_coords(spark, sf_dir):
-    """Daily sums of the members and of the hourly data, put together by coordinates."""
-    model = temporal.aggregate_time(roles.ensemble(spark, sf_dir), "daily")
-    observed = temporal.aggregate_time(roles.hourly(spark, sf_dir), "daily")
-    observed = observed.withColumnRenamed("value", "observed")
-    return readers.merge_by_coords([model, observed], check_duplicates=True)
+    """Daily quantity and discount of some members each, which share some coordinates."""
+    quantity = temporal.aggregate_time(
+        roles.everything(spark, sf_dir).where("member <= '04'"), "daily"
+    )
+    lines = roles.table(spark, sf_dir, "lineitem").select(
+        F.col("l_shipdate").alias("time"),
+        F.lpad(F.col("l_linenumber").cast("string"), 2, "0").alias("member"),
+        *roles.cell_index("l_suppkey"),
+        F.col("l_discount").alias("value"),
+    )
+    discount = temporal.aggregate_time(lines.where("member >= '03'"), "daily", method="mean")
+    return readers.merge_by_coords([quantity, discount.withColumnRenamed("value", "discount")])
 
 
 @_query

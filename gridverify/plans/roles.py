@@ -10,6 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gridverify.sources.readers import read_grid
 
 # Cells per grid row, and the geometry of the grid.
 ROW = 10
@@ -18,7 +21,7 @@ LAT0, LON0, SPACING = 46.0, 10.0, 0.25
 
 # Columns the roles use; a given schema spares a look into the files.
 SCHEMAS = {
-    "lineitem": "l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_shipdate TIMESTAMP_NTZ",
+    "lineitem": "l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_discount DOUBLE, l_shipdate TIMESTAMP_NTZ",
     "supplier": "s_suppkey BIGINT, s_acctbal DOUBLE",
     "orders": "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
     "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE",
@@ -26,7 +29,8 @@ SCHEMAS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    schema = T.StructType.fromDDL(SCHEMAS[name])
+    return read_grid(spark, f"{sf_dir}/{name}.parquet", schema=schema)
 
 
 def cell_index(cell: str) -> list[Column]:

@@ -6,11 +6,12 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridverify.functions.names import member_id
+from gridverify.functions.values import clean
 from gridverify.operators.grid import rectilinear
 from gridverify.operators.select import subset_box
 from gridverify.schema import dimension_columns, require
@@ -60,25 +61,28 @@ def read_ensemble(
 
 
 def merge_by_coords(
-    parts: Sequence[DataFrame], *, check_duplicates: bool = False
+    parts: Sequence[DataFrame], *, check_duplicates: bool = True
 ) -> DataFrame:
-    """Put blocks of rows together by their coordinates.
+    """Merge blocks of rows by their coordinates: one row per label, with all variables.
 
-    A variable a block lacks is NULL in its rows. With ``check_duplicates`` the
-    query fails if two rows carry the same coordinates.
+    A variable that no block has at a label is NULL there. A duplicate is a label
+    at which a variable has two values that are not missing: the query fails, or
+    takes the larger one without ``check_duplicates``.
     """
-    merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    if not check_duplicates:
-        return merged
-    keys = dimension_columns(merged)
-    values = [c for c in merged.columns if c not in keys]
-    unique = F.assert_true(F.col("_n") == 1, "two rows carry the same coordinates")
-    return (
-        merged.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), *[F.max(v).alias(v) for v in values])
-        .where(unique.isNull())
-        .drop("_n")
-    )
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    keys = dimension_columns(stacked)
+    values = [c for c in stacked.columns if c not in keys]
+
+    def one(name: str) -> Column:
+        kind = stacked.schema[name].dataType
+        value = clean(name) if isinstance(kind, (T.FloatType, T.DoubleType)) else F.col(name)
+        largest = F.max(value)
+        if not check_duplicates:
+            return largest.alias(name)
+        twice = F.raise_error(f"two values of {name} carry the same coordinates")
+        return F.when(F.count(value) > 1, twice.cast(kind)).otherwise(largest).alias(name)
+
+    return stacked.groupBy(*keys).agg(*[one(v) for v in values])
 
 
 def duplicate_labels(df: DataFrame) -> DataFrame:

@@ -21,13 +21,16 @@ def write_grid(
     *,
     time: str | None = "time",
     files_per_month: int | None = None,
+    gather: bool = True,
     mode: str = "overwrite",
 ) -> None:
     """Save gridded data in one folder per year and month, which time slices then skip.
 
-    Tasks write the rows they hold. For data out of time order give
-    ``files_per_month``: rows are then gathered by month, and each month is
-    spread over that many tasks by time and cell, however uneven the months are.
+    Rows are gathered by month, so that a month has as many files as its size
+    asks for: Spark splits large months and puts small ones together, by its
+    advisory partition size. ``files_per_month`` sets the number of tasks that
+    write a month, spread by time and cell. ``gather=False`` writes each task's
+    rows where they are, for data that already are in time order.
     """
     if time is None:
         df.write.mode(mode).parquet(path)
@@ -37,4 +40,6 @@ def write_grid(
     if files_per_month:
         spread = F.pmod(F.xxhash64(*present(df, (time, *CELL))), F.lit(files_per_month))
         df = df.repartition("year", "month", spread)
+    elif gather:
+        df = df.hint("rebalance", "year", "month")
     df.write.mode(mode).partitionBy("year", "month").parquet(path)

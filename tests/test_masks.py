@@ -25,7 +25,8 @@ def test_wet_filter_masks_every_variable(spark):
     assert values(wet) == [None, 0.1, 3.0, None]
     assert values(wet, "other") == [None, 11.0, 12.0, None]
     assert values(masks.wet_filter(df, 0.1, variables=["value"]), "other") == [10.0, 11.0, 12.0, 13.0]
-    assert values(masks.wet_filter(df, 0.1, mask_as_zero=True)) == [0.0, 0.1, 3.0, 0.0]
+    assert values(masks.wet_filter(df, 0.1, mask_as_zero=True)) == [0.0, 0.1, 3.0, None]
+    assert values(masks.wet_filter(df, 0.1, mask_as_zero=True), "other") == [0.0, 11.0, 12.0, None]
     with pytest.warns(UserWarning):
         assert masks.wet_filter(df, 0.1, "rain") is df
 

@@ -1,10 +1,16 @@
-from datetime import date, datetime
+import os
+import subprocess
+import sys
+from datetime import date, datetime, timezone
+from pathlib import Path
 
+import compare
 import frames
 import pytest
 from pyspark.errors import PySparkException
 
 from gridverify.operators import select
+from gridverify.operators.temporal import aggregate_time
 
 
 @pytest.mark.parametrize(
@@ -90,6 +96,56 @@ def test_members(spark):
     assert ids(select.select_members(df, ["00", "77"], check=False)) == ["00"]
     with pytest.raises(PySparkException, match="77"):
         select.select_members(df, ["00", "77"]).collect()
+    with pytest.raises(PySparkException, match="77"):
+        select.select_members(df, ["77"]).collect()
+    for ids in (["77"], ["00", "77"]):
+        with pytest.raises(PySparkException, match="77"):
+            aggregate_time(select.select_members(df, ids), "daily").collect()
+
+
+def test_member_check_scans_the_time_slice_only(spark, tmp_path):
+    frames.ensemble(spark, [("2017-01-01", "00", 0, 0, 1.0)]).write.parquet(str(tmp_path / "e"))
+    df = select.slice_time(spark.read.parquet(str(tmp_path / "e")), "2017-01")
+    plan = compare.plan(select.select_members(df, ["00"]))
+    scans = [x for x in plan.split("FileScan")[1:]]
+    assert len(scans) == 2 and all("GreaterThanOrEqual(time" in x for x in scans)
+
+
+ZONES = """
+import sys
+sys.path[:0] = [{root!r}, {tests!r}]
+import compare
+from pyspark.sql import SparkSession
+import __spark_entry__ as entry_module
+from gridverify.operators import select
+from gridverify.operators.temporal import aggregate_time
+spark = (
+    SparkSession.builder.master("local[2]").config("spark.sql.session.timeZone", {session!r})
+    .config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+)
+spark.sparkContext.setLogLevel("OFF")
+con = compare.connect({sf_dir!r})
+for name in ("time_slice", "full_run"):
+    found = entry_module.queries()[name](spark, {sf_dir!r})
+    assert compare.differences(found, con, entry_module.oracle_sql()[name]) == [], name
+plan = compare.plan(entry_module.queries()["time_slice"](spark, {sf_dir!r}))
+assert "PushedFilters: [" in plan and "GreaterThanOrEqual(l_shipdate,1995-03-01T00:00" in plan, plan
+"""
+
+
+@pytest.mark.parametrize(
+    "machine, session", [("America/New_York", "UTC"), ("UTC", "America/New_York"), ("Asia/Tokyo", "America/New_York")]
+)
+def test_time_bounds_do_not_depend_on_time_zones(machine, session):
+    here = Path(__file__).resolve().parent
+    code = ZONES.format(root=str(here.parent), tests=str(here), session=session, sf_dir="/root/testdata/sf0.001")
+    run = subprocess.run([sys.executable, "-c", code], env=os.environ | {"TZ": machine}, capture_output=True, text=True)
+    assert run.returncode == 0, run.stderr[-2000:]
+
+
+def test_times_with_a_zone_are_refused():
+    with pytest.raises(ValueError, match="time zone"):
+        select.time_span(datetime(2017, 1, 1, tzinfo=timezone.utc))
 
 
 def test_weather_days(spark):

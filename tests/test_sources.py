@@ -58,8 +58,13 @@ def test_merge(spark, blocks):
     first = blocks["08"]
     second = blocks["09"].withColumnRenamed("value", "other")
     merged = readers.merge_by_coords([first, second])
-    assert merged.where("value IS NULL").count() == merged.where("other IS NULL").count() == 3
-    assert readers.duplicate_labels(merged).count() == 3
+    assert merged.count() == 3 and merged.where("value IS NULL OR other IS NULL").count() == 0
+    part = readers.merge_by_coords([first, slice_time(second, "2017-11")])
+    assert part.count() == 3 and part.where("value IS NULL").count() == 0
+    assert part.where("other IS NULL").count() == slice_time(second, end="2017-10").count() > 0
+    gap = first.withColumn("value", F.lit(None).cast("double"))
+    assert readers.merge_by_coords([first, gap]).where("value IS NULL").count() == 0
+    assert readers.merge_by_coords([first, first], check_duplicates=False).count() == 3
     with pytest.raises(PySparkException, match="same coordinates"):
         readers.merge_by_coords([first, first], check_duplicates=True).collect()
     later = slice_time(first, "2017-11")
@@ -114,3 +119,17 @@ def test_scores_round_trip(spark, tmp_path):
     writers.write_scores(scores, path)
     found = readers.read_grid(spark, path)
     assert {(r.metric, r.score) for r in found.collect()} == {("ME", 1.0), ("MAE", 2.0), ("RMSE", 3.0)}
+
+
+def test_months_are_gathered_into_few_files(spark, tmp_path):
+    path = tmp_path / "grid"
+    hours = spark.range(20_000, numPartitions=8).select(
+        F.expr("timestamp_ntz'2016-01-01 00:00:00' + make_dt_interval(0, id)").alias("time"),
+        F.lit(0).alias("iy"), F.lit(0).alias("ix"), F.col("id").cast("double").alias("value"),
+    )
+    writers.write_grid(hours.repartition(8), str(path))
+    months = hours.select(F.trunc("time", "month")).distinct().count()
+    assert len(list(path.rglob("*.parquet"))) <= 2 * months
+    writers.write_grid(hours.repartition(8), str(path), gather=False)
+    assert len(list(path.rglob("*.parquet"))) > 4 * months
+    assert readers.read_grid(spark, str(path)).count() == 20_000
