@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridverify.functions.values import clean
-from gridverify.operators.lines import Line, line_values
-from gridverify.operators.series import area_mean
+from gridverify.operators.lines import Line
+from gridverify.operators.reuse import reuse
+from gridverify.operators.series import LINE_KEYS, reduced_lines
 from gridverify.schema import require
 
 # Default number of histogram bins and of points of a curve.
@@ -22,8 +23,12 @@ CURVE_POINTS = 200
 # A group table with at most this many rows (a few MB) may be broadcast.
 BROADCAST_GROUPS = 100_000
 
-# Copies of a group's parameters when its rows are spread over several keys.
-SPREAD = 16
+# In a longer one, a group with more than one in so many of all rows is heavy; there are
+# at most that many heavy groups.
+HEAVY_SHARE = 1000
+
+# Beyond so many bandwidths a kernel is 0 in double precision.
+KERNEL_REACH = 39
 
 # Density curve: values are summed up in cells half a bandwidth wide, each
 # described by this many moments. A value is at most 1/4 bandwidth from its
@@ -33,33 +38,33 @@ CELL_WIDTH = 0.5
 MOMENTS = 16
 
 
-def _with_parameters(
-    rows: DataFrame, parameters: DataFrame, keys: Sequence[str], group_bound: int | None
-) -> DataFrame:
-    """Give each row its group's parameters without gathering a group in one task.
+def _with_parameters(rows: DataFrame, parameters: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Give each row its group's parameters, which include its number of rows ``_size``.
 
-    With a known, small number of groups the parameters are broadcast.
-    Otherwise the rows of a group are spread over ``SPREAD`` sub-keys by the
-    partition they come from (which a repeated task keeps), each with a copy of
-    the parameters. As the aggregation that follows does not use the sub-keys,
-    Spark may also split a partition that is still too large.
+    The parameters are computed once and counted. Those of few groups are
+    broadcast and the rows stay where they are. Of many groups, those of the heavy
+    ones are broadcast, of which there cannot be many, and the others are joined by
+    key.
     """
     if not keys:
         # One group: its parameters are scalar subqueries, there is nothing to join.
         return rows.withColumns({c: parameters.select(c).scalar() for c in parameters.columns})
-    right = parameters.select(
-        *[F.col(k).alias(f"_{k}") for k in keys],
-        *[c for c in parameters.columns if c not in keys],
+    known = reuse(
+        parameters.select(
+            *[F.col(k).alias(f"_{k}") for k in keys],
+            *[c for c in parameters.columns if c not in keys],
+        )
     )
+    groups, total = known.agg(F.count(F.lit(1)), F.sum("_size")).first()
     same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    if group_bound is not None and group_bound <= BROADCAST_GROUPS:
-        joined = rows.join(F.broadcast(right), same)
+    if groups <= BROADCAST_GROUPS:
+        joined = rows.join(F.broadcast(known), same)
     else:
-        copies = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
-        joined = rows.withColumn("_part", F.spark_partition_id() % SPREAD).join(
-            right.withColumn("_copy", copies), same & (F.col("_part") == F.col("_copy"))
-        )
-    return joined.drop(*[f"_{k}" for k in keys], "_part", "_copy")
+        heavy = F.col("_size") > total / HEAVY_SHARE
+        often = F.broadcast(known.where(heavy))
+        rest = rows.join(often, same, "left_anti").join(known.where(~heavy), same)
+        joined = rows.join(often, same).unionByName(rest)
+    return joined.drop(*[f"_{k}" for k in keys])
 
 
 def histogram(
@@ -68,7 +73,6 @@ def histogram(
     *,
     bins: int = HISTOGRAM_BINS,
     value: str = "value",
-    group_bound: int | None = None,
 ) -> DataFrame:
     """Counts in ``bins`` equal-width bins between each group's extremes.
 
@@ -78,9 +82,12 @@ def histogram(
     require(df, value, *by)
     rows = df.select(*by, clean(value).alias("_v")).where("_v IS NOT NULL")
     flat = F.col("_lo") == F.col("_hi")
-    limits = rows.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    limits = rows.groupBy(*by).agg(
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("_v").alias("_size")
+    )
     limits = limits.select(
         *by,
+        "_size",
         F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("_lo"),
         F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"),
     )
@@ -101,7 +108,7 @@ def histogram(
         .otherwise(at)
     )
     counts = (
-        _with_parameters(rows, limits, by, group_bound)
+        _with_parameters(rows, limits, by)
         .withColumn("_guess", guess)
         .groupBy(*by, settled.alias("bin"))
         .agg(
@@ -134,7 +141,6 @@ def density_curve(
     *,
     points: int = CURVE_POINTS,
     value: str = "value",
-    group_bound: int | None = None,
 ) -> DataFrame:
     """Gaussian kernel density of each group at ``points`` even steps over its range.
 
@@ -172,7 +178,7 @@ def density_curve(
     # Distances are in bandwidths from the group's smallest value.
     centre = (F.col("_cell") + 0.5) * CELL_WIDTH
     placed = (
-        _with_parameters(rows, shape, by, group_bound)
+        _with_parameters(rows, shape, by)
         .where("_h IS NOT NULL")
         .withColumn("_u", (F.col("_v") - F.col("_lo")) / F.col("_h"))
         .withColumn("_cell", F.floor(F.col("_u") / CELL_WIDTH))
@@ -185,18 +191,31 @@ def density_curve(
         *fixed, *[F.sum(p).alias(f"_m{k}") for k, p in enumerate(powers)]
     )
 
-    # What each cell adds to every point; far ones get exp(-large) = 0.
+    # What each cell adds to the points that its kernels reach, and 0 at every point.
     step = (F.col("_hi") - F.col("_lo")) / (points - 1)
     distance = F.col("point") * step / F.col("_h") - centre
     series = F.col(f"_m{MOMENTS - 1}")
     for k in range(MOMENTS - 2, -1, -1):
         series = F.col(f"_m{k}") + F.col("_d") / (k + 1) * series
     kernel = F.exp(F.col("_d") * F.col("_d") * -0.5) * series
-    curve = (
-        moments.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+
+    def reached(side: int) -> Column:
+        return (centre + side * KERNEL_REACH) * F.col("_h") / step
+
+    first = F.greatest(F.ceil(reached(-1)), F.lit(0)).cast("int")
+    last = F.least(F.floor(reached(1)), F.lit(points - 1)).cast("int")
+    near = F.when(first <= last, F.sequence(first, last))
+    shown = [*by, "point", "_lo", "_hi", "_size", "_h"]
+    added = (
+        moments.withColumn("point", F.explode(near))
         .withColumn("_d", distance)
+        .select(*shown, kernel.alias("_part"))
+    )
+    every = shape.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    curve = (
+        added.unionByName(every.select(*shown, F.lit(0.0).alias("_part")))
         .groupBy(*by, "point")
-        .agg(*fixed, F.sum(kernel).alias("_sum"))
+        .agg(*fixed, F.sum("_part").alias("_sum"))
     )
     x = F.when(F.col("point") == points - 1, F.col("_hi")).otherwise(
         F.col("_lo") + F.col("point") * step
@@ -217,13 +236,10 @@ def line_distribution(
     **values: str,
 ) -> DataFrame | None:
     """Histogram ("hist") or density curve ("kde") per line over all its values."""
-    rows = line_values(ensemble, reference, lines, **values)
-    by = ["line", "source"]
-    if reduce_dims:
-        rows = area_mean(rows, by=by, reduce_dims=reduce_dims)
+    rows = reduced_lines(ensemble, reference, lines, reduce_dims, **values)
     if kind == "hist":
-        return histogram(rows, by, bins=bins, group_bound=len(lines))
+        return histogram(rows, LINE_KEYS, bins=bins)
     if kind == "kde":
-        return density_curve(rows, by, points=points, group_bound=len(lines))
+        return density_curve(rows, LINE_KEYS, points=points)
     warnings.warn(f"unknown distribution kind {kind!r}; choose 'hist' or 'kde'")
     return None

@@ -7,7 +7,8 @@ things up in are as long as an axis, not as the grid.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from gridverify.operators.masks import drop_projection
 from gridverify.schema import CELL, dimension_columns, require
 
-# If an axis has more rows than RANGE_ROWS, the search is split into up to
-# AXIS_RANGES ranges of about the same number of source coordinates.
+# If an axis of either grid has more rows than RANGE_ROWS, the search is split into
+# ranges of at most 1 / AXIS_RANGES of its coordinates each.
 AXIS_RANGES = 128
 RANGE_ROWS = 4096
 
@@ -55,49 +56,75 @@ def rectilinear(cells: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFra
 # --- sizes --------------------------------------------------------------------
 
 
-def fits_broadcast(cells: DataFrame) -> tuple[bool, bool]:
-    """Whether tables as long as the grid's axes, and tables of its cells, may be broadcast.
+def hinted(df: DataFrame, fits: bool) -> DataFrame:
+    return F.broadcast(df) if fits else df
+
 
-    Spark cannot tell from the plan: its estimate for a table made by joins and
-    windows is far too high, and data would then be shuffled on a grid row. So
-    axes and cells are counted, by one small job over the cell table.
+@dataclass(frozen=True)
+class GridSize:
+    """What a plan needs to know of a grid: how many cells, how long its axes are, where to cut them.
+
+    ``cuts`` are at most ``AXIS_RANGES + 1`` coordinates of each axis, the first
+    and the last included, that cut it evenly; a short axis has only these.
     """
-    rows, columns, n = cells.agg(
-        F.approx_count_distinct("iy"), F.approx_count_distinct("ix"), F.count(F.lit(1))
-    ).first()
-    return max(rows, columns) <= BROADCAST_AXIS, n <= BROADCAST_CELLS
 
+    cells: int
+    lengths: Mapping[str, int]
+    cuts: Mapping[str, list[float]]
 
-def hinted(df: DataFrame, fits: bool) -> DataFrame:
-    return F.broadcast(df) if fits else df
+    @property
+    def axes_fit(self) -> bool:
+        """Whether tables as long as an axis may be broadcast."""
+        return max(self.lengths.values()) <= BROADCAST_AXIS
 
+    @property
+    def cells_fit(self) -> bool:
+        """Whether a table of the cells may be broadcast."""
+        return self.cells <= BROADCAST_CELLS
 
-def axis_summaries(axes: dict[str, DataFrame]) -> dict[str, tuple[int, list[float]]]:
-    """Length of each axis, and at most ``AXIS_RANGES + 1`` of its coordinates that cut it evenly.
 
-    The coordinates include the first and the last. If all axes are short
-    there are only these.
+def _coordinates(cells: DataFrame) -> dict[str, DataFrame]:
+    """Index and coordinate of each axis, as ``i, c``."""
+    return {"iy": _axis(lat_axis(cells), "iy", "lat_coord"), "ix": _axis(lon_axis(cells), "ix", "lon_coord")}
+
+
+def measure(grids: Mapping[str, DataFrame]) -> dict[str, GridSize]:
+    """Sizes of some cell tables, by one job over all of them.
+
+    Spark cannot tell them from the plan: its estimate for a table made by joins
+    and windows is far too high, and data would then be shuffled on a grid row.
     """
-    named = [df.select(F.lit(name).alias("name"), "c") for name, df in axes.items()]
+    parts = []
+    for name, cells in grids.items():
+        parts.append(cells.select(F.lit(name).alias("name"), F.lit("cells").alias("what"), F.lit(None).cast("double").alias("c")))
+        parts += [
+            df.select(F.lit(name).alias("name"), F.lit(axis).alias("what"), F.col("c").cast("double").alias("c"))
+            for axis, df in _coordinates(cells).items()
+        ]
     shares = ", ".join(f"{k / AXIS_RANGES!r}D" for k in range(1, AXIS_RANGES))
-    summary = (
-        reduce(DataFrame.unionByName, named)
-        .where("c IS NOT NULL")
-        .groupBy("name")
+    rows = (
+        reduce(DataFrame.unionByName, parts)
+        .groupBy("name", "what")
         .agg(
-            F.count("c").alias("n"),
+            F.count(F.lit(1)).alias("n"),
             F.min("c").alias("first"),
             F.max("c").alias("last"),
             F.expr(f"percentile_approx(c, array({shares}))").alias("cuts"),
         )
+        .collect()  # three rows per grid
     )
-    found = {name: (0, []) for name in axes}
-    rows = summary.collect()  # one per axis
-    long = any(row["n"] > RANGE_ROWS for row in rows)
-    for row in rows:
-        inner = row["cuts"] if long else []
-        found[row["name"]] = (row["n"], sorted({row["first"], *inner, row["last"]}))
-    return found
+    found = {(r["name"], r["what"]): r for r in rows}
+
+    def size(name: str) -> GridSize:
+        n = {what: found[name, what]["n"] if (name, what) in found else 0 for what in ("cells", *CELL)}
+        cuts: dict[str, list[float]] = {}
+        for axis in CELL:
+            r = found.get((name, axis))
+            inner = r["cuts"] if n[axis] > RANGE_ROWS else []
+            cuts[axis] = sorted({r["first"], *(inner or []), r["last"]}) if r and r["last"] is not None else []
+        return GridSize(n["cells"], {axis: n[axis] for axis in CELL}, cuts)
+
+    return {name: size(name) for name in grids}
 
 
 # --- neighbour search on one axis --------------------------------------------
@@ -112,23 +139,19 @@ def axis_neighbours(
     target, ``below`` (largest source coordinate < c) and ``above`` (smallest
     one >= c) as structs ``c, i``, NULL where there is none.
 
-    A long axis is searched in ranges between ``bounds``, which are source
-    coordinates: range k holds the targets in (bounds[k], bounds[k+1]] and the
-    sources from bounds[k] to bounds[k+1], both included, so that either
-    neighbour of a target is in the target's own range.
+    Long axes are searched in ranges between ``bounds``, ascending coordinates of
+    either side: range k holds what is in (bounds[k], bounds[k+1]]. A neighbour
+    beyond the own range is the last source of the ranges before it, or the
+    first of those after it. By default there is one range.
     """
-    if bounds is None:
-        bounds = axis_summaries({"source": source})["source"][1]
     source = source.where("c IS NOT NULL")
-    inner = bounds[1:-1]
+    inner = list(bounds or [])[1:-1]
     if inner:
         cuts = F.expr("array(" + ", ".join(f"{b!r}D" for b in inner) + ")")
         own = F.size(F.filter(cuts, lambda b: b < F.col("c")))
-        both = F.when(F.array_contains(cuts, F.col("c")), F.array(own, own + 1))
-        source = source.withColumn("range", F.explode(F.coalesce(both, F.array(own))))
-        target = target.withColumn("range", own)
     else:
-        source, target = (df.withColumn("range", F.lit(0)) for df in (source, target))
+        own = F.lit(0)
+    source, target = (df.withColumn("range", own) for df in (source, target))
     points = source.selectExpr(
         "range", "true AS is_source", "c", "i", "struct(c, i) AS source"
     ).unionByName(target.selectExpr("range", "false AS is_source", "c", "i"), True)
@@ -140,8 +163,9 @@ def axis_neighbours(
     downward = (
         W.partitionBy("range").orderBy(F.desc("c"), F.desc("is_source")).rowsBetween(*running)
     )
-    return (
+    found = (
         points.select(
+            "range",
             "i",
             "c",
             "is_source",
@@ -151,6 +175,22 @@ def axis_neighbours(
         .where("NOT is_source")
         .drop("is_source")
     )
+    if not inner:
+        return found.drop("range")
+    # One row per range, so at most one more than there are bounds.
+    ends = source.groupBy("range").agg(
+        F.min(F.struct("c", "i")).alias("first"), F.max(F.struct("c", "i")).alias("last")
+    )
+    every = source.sparkSession.range(len(inner) + 1).select(F.col("id").cast("int").alias("range"))
+    in_order = W.partitionBy(F.lit(0)).orderBy("range")
+    beyond = every.join(ends, "range", "left").select(
+        "range",
+        F.last("last", ignorenulls=True).over(in_order.rowsBetween(W.unboundedPreceding, -1)).alias("before"),
+        F.first("first", ignorenulls=True).over(in_order.rowsBetween(1, W.unboundedFollowing)).alias("after"),
+    )
+    return found.join(F.broadcast(beyond), "range").select(
+        "i", "c", F.coalesce("below", "before").alias("below"), F.coalesce("above", "after").alias("above")
+    )
 
 
 def _in_range() -> Column:
@@ -206,34 +246,31 @@ def _axis(axis: DataFrame, index: str, coordinate: str) -> DataFrame:
 
 
 def axis_maps(
-    source_cells: DataFrame, target_cells: DataFrame, method: str = "nearest"
+    source_cells: DataFrame,
+    target_cells: DataFrame,
+    method: str = "nearest",
+    *,
+    sizes: tuple[GridSize, GridSize] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Latitude and longitude maps from one grid to another.
 
-    One small job over the cell tables measures the axes. The maps are marked
-    for broadcast if the target's axes are short enough; longer ones are joined
-    by sort-merge.
+    ``sizes`` of the two grids are measured by one small job if not given. The
+    maps are marked for broadcast if the target's axes are short enough; longer
+    ones are joined by sort-merge.
     """
     if method not in ("nearest", "linear"):
         raise ValueError(f"unknown regrid method {method!r}; choose 'nearest' or 'linear'")
     find = nearest_axis if method == "nearest" else linear_axis
-    axes = {
-        f"{side} {index}": _axis(axis(cells), index, coordinate)
-        for side, cells in (("source", source_cells), ("target", target_cells))
-        for axis, index, coordinate in (
-            (lat_axis, "iy", "lat_coord"),
-            (lon_axis, "ix", "lon_coord"),
-        )
-    }
-    known = axis_summaries(axes)
-    fits = max(known[f"target {index}"][0] for index in CELL) <= BROADCAST_AXIS
-    lat_map, lon_map = (
-        hinted(
-            find(axes[f"source {i}"], axes[f"target {i}"], known[f"source {i}"][1]), fits
-        )
-        for i in CELL
-    )
-    return lat_map, lon_map
+    if sizes is None:
+        sizes = tuple(measure({"source": source_cells, "target": target_cells}).values())
+    source, target = (_coordinates(cells) for cells in (source_cells, target_cells))
+
+    def one(axis: str) -> DataFrame:
+        bounds = sorted({*sizes[0].cuts[axis], *sizes[1].cuts[axis]})
+        split = max(size.lengths[axis] for size in sizes) > RANGE_ROWS
+        return hinted(find(source[axis], target[axis], bounds if split else None), sizes[1].axes_fit)
+
+    return one("iy"), one("ix")
 
 
 # --- regridding ----------------------------------------------------------------

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridverify.functions.values import clean, in_half_open
 from gridverify.operators.temporal import ensemble_mean
-from gridverify.schema import CELL, present, require
+from gridverify.schema import CELL, dimension_list, present, require
 
 # Default label templates, and the member shown for reference lines.
 SERIES_LABEL = "{source}_{member}_{alt_min}-{alt_max}"
@@ -22,19 +22,21 @@ NO_MEMBER = "na"
 
 @dataclass(frozen=True)
 class Line:
-    """One line: a source, a choice of members and an altitude range."""
+    """One line: a source, a choice of members, an altitude range, and what to average over."""
 
     label: str
     source: str = "ensemble"
     members: str | tuple[str, ...] | None = None
     altitude: tuple[float, float] | None = None
+    reduce_dims: tuple[str, ...] = ()
 
 
 def build_lines(config: Mapping, template: str = SERIES_LABEL) -> list[Line]:
     """Lines for every altitude range and member choice, then the reference's.
 
     ``config`` has ``alt_bin_ranges``, ``ensemble_members`` ("all", "mean", an
-    id or a list of these), ``include_reference`` and ``label_template``.
+    id or a list of these), ``include_reference``, ``label_template`` and
+    ``reduce_dims``.
     """
     ranges = [tuple(r) for r in config.get("alt_bin_ranges", [])]
     chosen = config.get("ensemble_members", "all")
@@ -42,16 +44,17 @@ def build_lines(config: Mapping, template: str = SERIES_LABEL) -> list[Line]:
         raise ValueError(f"ensemble_members must be a text or a list, got {chosen!r}")
     choices = [chosen] if isinstance(chosen, str) else chosen
     template = config.get("label_template", template)
+    dims = tuple(dimension_list(config.get("reduce_dims")))
 
     def label(source: str, member: str, span: tuple) -> str:
         return template.format(source=source, member=member, alt_min=span[0], alt_max=span[1])
 
     lines = [
-        Line(label("ens", m, span), "ensemble", m, span) for span in ranges for m in choices
+        Line(label("ens", m, span), "ensemble", m, span, dims) for span in ranges for m in choices
     ]
     if config.get("include_reference", True):
         lines += [
-            Line(label("ref", NO_MEMBER, span), "reference", None, span) for span in ranges
+            Line(label("ref", NO_MEMBER, span), "reference", None, span, dims) for span in ranges
         ]
     return lines
 
@@ -85,8 +88,7 @@ def _tag(df: DataFrame, lines: Sequence[Line]) -> DataFrame:
 
     labels = F.array(*[F.when(feeds(line), F.lit(line.label)) for line in lines])
     kept = present(df, ("time", "season", "member", *CELL))
-    tagged = df.select(F.explode(labels).alias("line"), *kept, "value")
-    return tagged.where(F.col("line").isNotNull())
+    return df.select(F.explode(F.array_compact(labels)).alias("line"), *kept, "value")
 
 
 def line_values(

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridverify.operators.grid import fits_broadcast, hinted
+from gridverify.operators.grid import GridSize, hinted, measure
 from gridverify.schema import CELL, require, value_columns
 
 
@@ -37,15 +37,12 @@ def mark_bounds(
     return cells.withColumn("in_bounds", F.coalesce(inside, F.lit(False)))
 
 
-def crop_to_box(df: DataFrame, marked: DataFrame, *, fits: bool | None = None) -> DataFrame:
+def crop_to_box(df: DataFrame, marked: DataFrame, *, fits: bool) -> DataFrame:
     """Keep the grid rows and grid columns that hold at least one cell in bounds.
 
     The two lists are no longer than the grid's axes. They are broadcast if
-    those are short enough (counted here unless ``fits`` says so), so that the
-    data are not shuffled.
+    those ``fits``, so that the data are not shuffled.
     """
-    if fits is None:
-        fits, _ = fits_broadcast(marked)
     inside = marked.where("in_bounds")
     for axis in CELL:
         df = df.join(hinted(inside.select(axis).distinct(), fits), axis, "left_semi")
@@ -61,22 +58,24 @@ def subset_box(
     lat: str = "lat",
     lon: str = "lon",
     crop: str = "box",
+    size: GridSize | None = None,
 ) -> DataFrame:
     """Crop data to a latitude/longitude box.
 
     ``crop="box"`` keeps every cell of the enclosing index box and sets the
     values of those outside the bounds to NULL, as a grid must stay
-    rectangular; ``crop="cells"`` keeps only the cells in bounds.
+    rectangular; ``crop="cells"`` keeps only the cells in bounds. The ``size`` of
+    the grid is measured by one small job if not given.
     """
     if crop not in ("box", "cells"):
         raise ValueError("crop must be 'box' or 'cells'")
     marked = mark_bounds(cells, lat_bounds, lon_bounds, lat=lat, lon=lon)
-    axes_fit, cells_fit = fits_broadcast(marked)
+    size = size or measure({"grid": marked.withColumnsRenamed({lat: "lat", lon: "lon"})})["grid"]
     if crop == "cells":
-        wanted = hinted(marked.where("in_bounds").select(*CELL), cells_fit)
+        wanted = hinted(marked.where("in_bounds").select(*CELL), size.cells_fit)
         return df.join(wanted, list(CELL), "left_semi")
-    flags = crop_to_box(marked, marked, fits=axes_fit).select(*CELL, "in_bounds")
-    joined = df.join(hinted(flags, cells_fit), list(CELL))
+    flags = crop_to_box(marked, marked, fits=size.axes_fit).select(*CELL, "in_bounds")
+    joined = df.join(hinted(flags, size.cells_fit), list(CELL))
     masked = {c: F.when(F.col("in_bounds"), F.col(c)) for c in value_columns(df)}
     return joined.withColumns(masked).select(*df.columns)
 

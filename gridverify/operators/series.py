@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,32 @@ def area_mean(
     return df.groupBy(*keys).agg(F.avg(clean(value)).alias(value))
 
 
+def reduced_lines(
+    ensemble: DataFrame | None,
+    reference: DataFrame | None,
+    lines: Sequence[Line],
+    reduce_dims: Sequence[str] | str | None = None,
+    *,
+    always: bool = False,
+    **values: str,
+) -> DataFrame:
+    """Rows of the lines, averaged over each line's ``reduce_dims``, or over those given for all.
+
+    Lines without any keep their rows, or with ``always`` are averaged over the cells.
+    """
+    by_dims: dict[tuple[str, ...], list[Line]] = {}
+    for line in lines:
+        dims = dimension_list(line.reduce_dims) or dimension_list(reduce_dims)
+        by_dims.setdefault(tuple(dims), []).append(line)
+    parts = []
+    for dims, wanted in by_dims.items():
+        rows = line_values(ensemble, reference, wanted, **values)
+        if dims or always:
+            rows = area_mean(rows, by=LINE_KEYS, reduce_dims=dims or None)
+        parts.append(rows)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def line_series(
     ensemble: DataFrame | None,
     reference: DataFrame | None,
@@ -39,8 +66,7 @@ def line_series(
     **values: str,
 ) -> DataFrame:
     """One area-mean series per line, and per member where a line keeps its members."""
-    rows = line_values(ensemble, reference, lines, **values)
-    return area_mean(rows, by=LINE_KEYS, reduce_dims=reduce_dims)
+    return reduced_lines(ensemble, reference, lines, reduce_dims, always=True, **values)
 
 
 def add_trend(

@@ -14,11 +14,17 @@ from pyspark.sql import functions as F
 
 from gridverify.functions.calendar import period_label
 from gridverify.functions.values import clean
+from gridverify.operators.reuse import reuse
 from gridverify.schema import dimension_columns, require
 
 METHODS = ("sum", "mean")
 PASS_THROUGH = ("none", "hourly")
 
+# A table of days and weather types with at most this many rows is broadcast; the keys
+# that a day is spread over otherwise.
+BROADCAST_DAYS = 1_000_000
+SPREAD = 64
+
 
 def reduced(value: str | Column, method: str, min_count: int = 0) -> Column:
     """Skip-NULL sum or mean. A sum of nothing is 0 unless ``min_count`` asks for more."""
@@ -86,7 +92,9 @@ def weather_type_mean(
 
     Data are first reduced to one sum and count per day, cell and member. Only
     those partial rows meet the weather table, so a busy day is not joined row
-    by row with each of its types.
+    by row with each of its types. The table of days and types is counted and
+    broadcast; if it is too long for that, a day's rows are spread over several
+    keys.
     """
     require(df, value, time)
     if compute_ens_mean:
@@ -98,5 +106,14 @@ def weather_type_mean(
     types = weather.select(
         F.to_date(weather_time).alias("day"), F.col(weather_type).alias("slwt")
     ).distinct()
+    types = reuse(types)
+    if types.count() <= BROADCAST_DAYS:
+        joined = daily.join(F.broadcast(types), "day")
+    else:
+        part = F.pmod(F.xxhash64(*keys), F.lit(SPREAD)).cast("int")
+        copies = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
+        joined = daily.withColumn("_part", part).join(
+            types.withColumn("_part", copies), ["day", "_part"]
+        )
     mean = F.try_divide(F.sum("_sum"), F.sum("_n"))
-    return daily.join(types, "day").groupBy("slwt", *keys).agg(mean.alias(value))
+    return joined.groupBy("slwt", *keys).agg(mean.alias(value))

@@ -37,6 +37,9 @@ def cells(name: str = "cells", lat0: str = "46e0", lon0: str = "10e0") -> str:
   FROM supplier)"""
 
 
+ROTATED = f"""{cells()},
+rotated AS (SELECT iy, ix, lat - 0.0625e0 * ix AS lat, lon - 0.03125e0 * iy AS lon FROM cells)"""
+
 FINE = """steps AS (SELECT * FROM (VALUES (0, 0e0), (1, 0.125e0), (2, 0.1875e0)) AS v(k, d)),
 fine AS (
   SELECT c.iy * 3 + sy.k AS iy, c.ix * 3 + sx.k AS ix, c.lat + sy.d AS lat, c.lon + sx.d AS lon
@@ -87,9 +90,10 @@ SCORES = f"{ME} AS ME, {MAE} AS MAE, {RMSE} AS RMSE"
 
 
 def axis_map(name: str, axis: str, coordinate: str, source: str, target: str) -> str:
-    """Nearest source index per target index by comparing every pair."""
-    return f"""{name}_s AS (SELECT DISTINCT {axis} AS i, {coordinate} AS c FROM {source}),
-{name}_t AS (SELECT DISTINCT {axis} AS i, {coordinate} AS c FROM {target}),
+    """Nearest source index per target index by comparing every pair; axes from the first column or row."""
+    other = "ix" if axis == "iy" else "iy"
+    return f"""{name}_s AS (SELECT {axis} AS i, arg_min({coordinate}, {other}) AS c FROM {source} GROUP BY {axis}),
+{name}_t AS (SELECT {axis} AS i, arg_min({coordinate}, {other}) AS c FROM {target} GROUP BY {axis}),
 {name} AS (
   SELECT t.i AS t_{axis}, s.i AS {axis},
          t.c BETWEEN (SELECT min(c) FROM {name}_s) AND (SELECT max(c) FROM {name}_s) AS in_{axis}
@@ -290,10 +294,13 @@ UNION ALL
 SELECT 'reference' AS source, {summary % 'CAST(NULL AS BIGINT)'} FROM r"""
 
     # grid
-    sql["axes_from_grid"] = f"""WITH {cells()}
-SELECT iy, ix, {r('lat', 'lat_coord')}, {r('lon', 'lon_coord')} FROM cells"""
-    sql["cells_from_data"] = f"""WITH {M}, {cells()}
-SELECT DISTINCT iy, ix, lat, lon FROM m JOIN cells USING (iy, ix)"""
+    sql["axes_from_grid"] = f"""WITH {ROTATED},
+y AS (SELECT iy, arg_min(lat, ix) AS lat FROM rotated GROUP BY iy),
+x AS (SELECT ix, arg_min(lon, iy) AS lon FROM rotated GROUP BY ix)
+SELECT c.iy, c.ix, {r('y.lat', 'lat_coord')}, {r('x.lon', 'lon_coord')}
+FROM rotated c JOIN y ON c.iy = y.iy JOIN x ON c.ix = x.ix"""
+    sql["cells_from_data"] = f"""WITH {M}, {ROTATED}
+SELECT DISTINCT iy, ix, {r('lat', 'lat')}, {r('lon', 'lon')} FROM m JOIN rotated USING (iy, ix)"""
     sql["dem_prepared"] = f"""WITH {DEM}, {cells()}
 SELECT iy, ix, altitude, lat AS lat_coord, lon AS lon_coord FROM dem JOIN cells USING (iy, ix)
 WHERE lat BETWEEN 46.25 AND 1e9 AND lon BETWEEN 10.25 AND 12"""
@@ -301,8 +308,8 @@ WHERE lat BETWEEN 46.25 AND 1e9 AND lon BETWEEN 10.25 AND 12"""
 a AS ({summed('h', 'daily', 'member, iy, ix')})
 SELECT {text('time')}, member, a.iy, a.ix, {r('value', 'value')}, altitude
 FROM a LEFT JOIN dem ON a.iy = dem.iy AND a.ix = dem.ix"""
-    sql["regrid_nearest"] = f"""WITH {M}, {cells()}, {FINE},
-{both_maps('cells', 'fine')},
+    sql["regrid_nearest"] = f"""WITH {M}, {ROTATED}, {FINE},
+{both_maps('rotated', 'fine')},
 a AS ({summed('m', 'seasonal', 'iy, ix', 'mean')})
 SELECT season, t_iy AS iy, t_ix AS ix, {r('CASE WHEN in_iy AND in_ix THEN value END', 'value')}
 FROM a JOIN ymap USING (iy) JOIN xmap USING (ix)"""
@@ -497,4 +504,48 @@ p AS (SELECT time, iy, ix, ea.value - ra.value AS d FROM ea JOIN ra USING (time,
 s AS (SELECT iy, ix, {RMSE} AS RMSE FROM p GROUP BY ALL)
 SELECT iy, ix, RMSE, bin_min, bin_max FROM s JOIN dem USING (iy, ix)
 JOIN bands ON altitude >= bin_min AND altitude < bin_max"""
+
+    # figures
+    sql["figure_spatial_map"] = sql["single_map"]
+    sql["figure_cycle"] = sql["line_cycle"]
+    sql["figure_member_subplots"] = sql["member_panels"]
+    sql["figure_altitude_bin_subplots"] = sql["band_panels"]
+    spec = ", ".join(
+        f"('ens_{name.replace(chr(39), chr(39) * 2)}_{low}-{high}', 'ensemble', '{kind}', {low}e0, {high}e0)"
+        for low, high in ((0, 2000), (1000, 6000))
+        for kind, name in (("all", "all"), ("two", "['02', '05']"))
+    )
+    spec += ", ('ref_na_0-2000', 'reference', NULL, 0e0, 2000e0), ('ref_na_1000-6000', 'reference', NULL, 1000e0, 6000e0)"
+    chosen = f"""WITH {ER}, {DEM}, spec AS (SELECT * FROM (VALUES {spec}) AS v(line, source, choice, lo, hi)),
+ea AS ({summed('e', 'monthly', 'member, iy, ix')}),
+ra AS ({summed('r', 'monthly', 'iy, ix')}),
+lv AS (
+  SELECT line, source, time, member, iy, ix, value FROM ea JOIN dem USING (iy, ix)
+  JOIN spec ON choice = 'all' OR choice = 'two' AND member IN ('02', '05')
+  WHERE source = 'ensemble' AND altitude >= lo AND altitude < hi
+  UNION ALL
+  SELECT line, source, time, NULL, iy, ix, value FROM ra JOIN dem USING (iy, ix)
+  JOIN spec ON source = 'reference' WHERE altitude >= lo AND altitude < hi)"""
+    sql["figure_time_series"] = f"""{chosen},
+s AS (
+  SELECT line, source, member, time, avg(value) AS value,
+         datediff('day', DATE '1970-01-01', time) AS day FROM lv GROUP BY ALL),
+f AS (
+  SELECT line, member, regr_slope(value, day) AS slope, regr_intercept(value, day) AS intercept
+  FROM s GROUP BY ALL HAVING count(*) >= 2)
+SELECT s.line, source, s.member, {text('time')}, {r('value', 'value')},
+       {r('slope * day + intercept', 'trend')}
+FROM s LEFT JOIN f ON s.line = f.line AND s.member IS NOT DISTINCT FROM f.member"""
+    sql["figure_distribution"] = f"""{chosen},
+cm AS (SELECT line, source, member, iy, ix, avg(value) AS value FROM lv GROUP BY ALL),
+{histogram('cm', 'line, source', 20)}"""
+    sql["banded_data"] = f"""{banded.format(sides('monthly'))},
+mp AS (SELECT member, iy, ix, bin_min, bin_max, avg(abs(d)) AS value FROM b GROUP BY ALL),
+parts AS (
+  SELECT 'ensemble' AS part, iy, ix, value FROM ea
+  UNION ALL SELECT 'reference', iy, ix, value FROM ra
+  UNION ALL SELECT 'maps', iy, ix, value FROM mp)
+SELECT part, bin_min, bin_max, count(*) AS n_rows, {r('sum(value)', 'total')}
+FROM parts JOIN dem USING (iy, ix) JOIN bands ON altitude >= bin_min AND altitude < bin_max
+GROUP BY ALL"""
     return sql

@@ -46,6 +46,20 @@ LINES = {
     "ensemble_members": ["02", "03", "mean"],
     "include_reference": True,
 }
+MEMBER_LINES = {
+    "enabled": True,
+    "alt_bin_ranges": [[0, 2000], [1000, 6000]],
+    "ensemble_members": ["all", ["02", "05"]],
+}
+PLOT = {
+    "enabled": True,
+    "spatial_map": {"enabled": True, "metric": "RMSE"},
+    "time_series": {**MEMBER_LINES, "show_trend": True},
+    "cycle": {"enabled": True, **LINES, "cycle_type": "monthly"},
+    "distribution": {**MEMBER_LINES, "kind": "hist", "bins": 20, "reduce_dims": ["time"]},
+    "member_subplots": {"enabled": True, "metric": "MAE"},
+    "altitude_bin_subplots": {"enabled": True, "metric": "MAE"},
+}
 # Reference grid of the regridding runs, shifted against the forecast's.
 SHIFTED = (46.15, 10.125)
 
@@ -299,12 +313,12 @@ def inspect_inputs(spark, sf_dir):
 
 @_query
 def axes_from_grid(spark, sf_dir):
-    return grid.rectilinear(roles.cells(spark, sf_dir))
+    return grid.rectilinear(roles.rotated_cells(spark, sf_dir))
 
 
 @_query
 def cells_from_data(spark, sf_dir):
-    located = roles.everything(spark, sf_dir).join(roles.cells(spark, sf_dir), ["iy", "ix"])
+    located = roles.everything(spark, sf_dir).join(roles.rotated_cells(spark, sf_dir), ["iy", "ix"])
     return grid.grid_cells(located)
 
 
@@ -319,7 +333,8 @@ def dem_prepared(spark, sf_dir):
 @_query
 def dem_attach(spark, sf_dir):
     daily = temporal.aggregate_time(roles.hourly(spark, sf_dir), "daily")
-    return grid.attach_altitude(daily, roles.terrain(spark, sf_dir))
+    projected = daily.withColumn(masks.PROJECTION_COLUMN, F.lit(0))
+    return grid.attach_altitude(projected, roles.terrain(spark, sf_dir))
 
 
 @_query
@@ -327,7 +342,9 @@ def regrid_nearest(spark, sf_dir):
     monthly = temporal.aggregate_time(
         roles.everything(spark, sf_dir).drop("member"), "seasonal", method="mean"
     )
-    return grid.regrid(monthly, roles.cells(spark, sf_dir), roles.fine_cells(spark, sf_dir))
+    return grid.regrid(
+        monthly, roles.rotated_cells(spark, sf_dir), roles.fine_cells(spark, sf_dir)
+    )
 
 
 @_query
@@ -552,16 +569,12 @@ def _banded_values(spark, sf_dir):
 @_query
 def hist_by_band(spark, sf_dir):
     return distribution.histogram(
-        _banded_values(spark, sf_dir),
-        ["bin_min", "bin_max"],
-        bins=30,
-        group_bound=len(EDGES) - 1,
+        _banded_values(spark, sf_dir), ["bin_min", "bin_max"], bins=30
     )
 
 
 @_query
 def hist_by_cell(spark, sf_dir):
-    """Many groups: parameters are joined by key, not broadcast."""
     return distribution.histogram(roles.hourly(spark, sf_dir), ["iy", "ix"], bins=10)
 
 
@@ -572,9 +585,7 @@ def hist_all(spark, sf_dir):
 
 @_query
 def kde_by_band(spark, sf_dir):
-    return distribution.density_curve(
-        _banded_values(spark, sf_dir), ["bin_min", "bin_max"], group_bound=len(EDGES) - 1
-    )
+    return distribution.density_curve(_banded_values(spark, sf_dir), ["bin_min", "bin_max"])
 
 
 @_query
@@ -689,3 +700,52 @@ def band_rmse_maps(spark, sf_dir):
         roles.terrain(spark, sf_dir),
         EDGES,
     )
+
+
+# --- figures ---------------------------------------------------------------------------------------------
+
+
+def figures(spark: SparkSession, sf_dir: str, mean: bool = False) -> dict[str, DataFrame]:
+    """All figures of a monthly run with its members, or the map of their mean."""
+    model, observed = _sides(spark, sf_dir)
+    plot = {k: PLOT[k] for k in ("enabled", "spatial_map")} if mean else PLOT
+    return verification.figure_data(
+        temporal.ensemble_mean(model) if mean else model,
+        observed,
+        plot,
+        terrain=roles.terrain(spark, sf_dir),
+        edges=EDGES,
+        collapse=["time"],
+    )
+
+
+def _register_figures() -> None:
+    for name in PLOT:
+        if name == "enabled":
+            continue
+
+        def run(spark, sf_dir, name=name):
+            return figures(spark, sf_dir, mean=name == "spatial_map")[name]
+
+        run.__name__ = f"figure_{name}"
+        _query(run)
+
+
+_register_figures()
+
+
+@_query
+def banded_data(spark, sf_dir):
+    """How many rows of both sides and of the score maps lie in each band, and their sums."""
+    model, observed = _sides(spark, sf_dir)
+    wide = verification.scored(model, observed, metrics=["MAE"], collapse="time")
+    parts = verification.banded_data(model, observed, roles.terrain(spark, sf_dir), EDGES, wide)
+    sums = [
+        df.groupBy("bin_min", "bin_max").agg(
+            F.lit(name).alias("part"),
+            F.count(F.lit(1)).alias("n_rows"),
+            F.sum("MAE" if name == "maps" else "value").alias("total"),
+        )
+        for name, df in parts.items()
+    ]
+    return sums[0].union(sums[1]).union(sums[2])

@@ -73,6 +73,16 @@ def cells(spark: SparkSession, sf_dir: str, lat0: float = LAT0, lon0: float = LO
     )
 
 
+def rotated_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same cells, latitude falling along a grid row and longitude along a column."""
+    return cells(spark, sf_dir).select(
+        "iy",
+        "ix",
+        (F.col("lat") - F.col("ix") * 0.0625).alias("lat"),
+        (F.col("lon") - F.col("iy") * 0.03125).alias("lon"),
+    )
+
+
 def terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(
         *cell_index("s_suppkey"), F.col("s_acctbal").alias("altitude")

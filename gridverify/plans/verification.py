@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -11,11 +12,13 @@ from pyspark.sql import functions as F
 from gridverify.operators.bands import RUN_EDGES, altitude_bands, mark_bands
 from gridverify.operators.distribution import HISTOGRAM_BINS, line_distribution
 from gridverify.operators.grid import (
+    BROADCAST_CELLS,
+    GridSize,
     attach_altitude,
     axis_maps,
-    fits_broadcast,
     grid_cells,
     hinted,
+    measure,
     regrid_nearest,
 )
 from gridverify.operators.lines import build_cycle_lines, build_lines
@@ -29,6 +32,7 @@ from gridverify.operators.masks import (
 )
 from gridverify.operators.metrics import SCORES, pair, score, score_with_bands, to_long
 from gridverify.operators.quality import OUTLIER_THRESHOLD, profile, quality_counts
+from gridverify.operators.reuse import reuse
 from gridverify.operators.select import (
     crop_to_box,
     filter_weather,
@@ -81,29 +85,36 @@ def _empty_value(s: Selection) -> float | None:
     return 0.0 if sums else None
 
 
+def _cropped(cells: DataFrame | None, s: Selection) -> DataFrame | None:
+    """The cell table of the cropped grid, with ``in_bounds`` if there is a crop."""
+    if s.lat_bounds is None or s.lon_bounds is None:
+        return cells
+    if cells is None:
+        raise ValueError("a latitude/longitude crop needs the cell table of the grid")
+    marked = mark_bounds(cells, s.lat_bounds, s.lon_bounds)
+    return crop_to_box(marked, marked, fits=False)
+
+
 def _side(
     df: DataFrame,
     cells: DataFrame | None,
+    size: GridSize | None,
     s: Selection,
     weather: DataFrame | None,
     units: str | None,
-) -> tuple[DataFrame, DataFrame | None]:
-    """Select, mask and aggregate one dataset on its own grid.
+) -> DataFrame:
+    """Select, mask and aggregate one dataset on its own grid, given by its cropped cell table.
 
-    Returns the data and the cell table of the cropped grid. The crop drops
-    rows before anything else; cells of the box that lie outside the bounds
-    are blanked after the aggregation, when a cell has few rows.
+    The crop drops rows before anything else; cells of the box that lie outside
+    the bounds are blanked after the aggregation, when a cell has few rows.
     """
     df = clean_values(df, missing_value=s.missing_value)
     df = slice_time(df, s.start, s.end)
     crop = s.lat_bounds is not None and s.lon_bounds is not None
     if crop:
-        if cells is None:
-            raise ValueError("a latitude/longitude crop needs the cell table of the grid")
-        marked = mark_bounds(cells, s.lat_bounds, s.lon_bounds)
-        axes_fit, cells_fit = fits_broadcast(marked)
-        df = crop_to_box(df, marked, fits=axes_fit)
-        cells = crop_to_box(marked, marked, fits=axes_fit)
+        for axis in CELL:
+            wanted = cells.select(axis).distinct()
+            df = df.join(hinted(wanted, size.axes_fit), axis, "left_semi")
     if "member" in df.columns:
         df = select_members(df, s.members, check=s.check_members)
     if weather is not None:
@@ -119,11 +130,21 @@ def _side(
     df = aggregate_time(df, s.period, method=s.method, min_count=s.min_count)
     if crop:
         blank = F.lit(_empty_value(s)).cast("double")
-        flags = hinted(cells.select(*CELL, "in_bounds"), cells_fit)
+        flags = hinted(cells.select(*CELL, "in_bounds"), size.cells_fit)
         df = df.join(flags, list(CELL))
         df = df.withColumn("value", F.when(F.col("in_bounds"), F.col("value")).otherwise(blank))
         df = df.drop("in_bounds")
-    return df, cells
+    return df
+
+
+@dataclass
+class Prepared:
+    """Both datasets, and the cell tables and sizes of their cropped grids by name."""
+
+    ensemble: DataFrame
+    reference: DataFrame
+    grids: dict[str, DataFrame]
+    sizes: dict[str, GridSize]
 
 
 def prepare(
@@ -136,13 +157,18 @@ def prepare(
     weather: DataFrame | None = None,
     value: str = "value",
     reference_value: str = "value",
-) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    dem: DataFrame | None = None,
+    held: list[DataFrame] | None = None,
+) -> Prepared:
     """Both datasets selected, aggregated in time and on the reference grid.
 
     Without cell tables the two are taken to share a grid. Nearest-neighbour
     regridding copies values, so it commutes with the masks and the
-    aggregation; it runs last, on the fewest rows. Returns ensemble, reference
-    and the reference's cell table.
+    aggregation; it runs last, on the fewest rows.
+
+    The cropped cell tables, and with ``dem`` the terrain model's, are cached and
+    measured by one job; that is the only one that planning needs. ``held`` gets
+    the cached tables, to be unpersisted when the results have been used.
     """
 
     def named(df: DataFrame, name: str) -> DataFrame:
@@ -150,21 +176,41 @@ def prepare(
         return df.select(*kept, F.col(name).alias("value"))
 
     s = selection
-    ens, ens_cells = _side(named(ensemble, value), ensemble_cells, s, weather, s.units)
-    ref, ref_cells = _side(
-        named(reference, reference_value), reference_cells, s, weather, s.reference_units
+    grids = {"ensemble": _cropped(ensemble_cells, s), "reference": _cropped(reference_cells, s)}
+    if dem is not None:
+        grids["dem"] = dem.select(*CELL, "lat", "lon")
+    grids = {name: cells.persist() for name, cells in grids.items() if cells is not None}
+    if held is not None:
+        held += grids.values()
+    both = {"ensemble", "reference"} <= set(grids)
+    needed = both or "dem" in grids or s.lat_bounds is not None and s.lon_bounds is not None
+    sizes = measure(grids) if grids and needed else {}
+    sides = (
+        ("ensemble", named(ensemble, value), s.units),
+        ("reference", named(reference, reference_value), s.reference_units),
+    )
+    ens, ref = (
+        _side(df, grids.get(name), sizes.get(name), s, weather, units) for name, df, units in sides
     )
-    if ens_cells is not None and ref_cells is not None:
-        ens = regrid_nearest(ens, *axis_maps(ens_cells, ref_cells), outside=_empty_value(s))
-    return ens, ref, ref_cells
+    if both:
+        maps = axis_maps(
+            grids["ensemble"], grids["reference"], sizes=(sizes["ensemble"], sizes["reference"])
+        )
+        ens = regrid_nearest(ens, *maps, outside=_empty_value(s))
+    return Prepared(ens, ref, grids, sizes)
 
 
 def terrain_on(
-    dem: DataFrame, target_cells: DataFrame, *, lat: str = "lat", lon: str = "lon"
+    dem: DataFrame,
+    target_cells: DataFrame,
+    *,
+    lat: str = "lat",
+    lon: str = "lon",
+    sizes: tuple[GridSize, GridSize] | None = None,
 ) -> DataFrame:
     """Altitude of each target cell, from the nearest cell of the terrain model."""
     cells = dem.select(*CELL, F.col(lat).alias("lat"), F.col(lon).alias("lon"))
-    maps = axis_maps(cells, target_cells)
+    maps = axis_maps(cells, target_cells, sizes=sizes)
     return regrid_nearest(dem.select(*CELL, "altitude"), *maps, value="altitude")
 
 
@@ -177,19 +223,39 @@ def score_run(
     metrics: Sequence[str] = tuple(SCORES),
     collapse: str | Sequence[str] | None = None,
 ) -> DataFrame:
-    """Scores of prepared data in long form, domain-wide and, with edges, per band.
+    """Scores of prepared data in long form, domain-wide and, with edges, per band."""
+    wide = scored(ensemble, reference, terrain=terrain, edges=edges, metrics=metrics, collapse=collapse)
+    return to_long(wide, metrics)
+
+
+def scored(
+    ensemble: DataFrame,
+    reference: DataFrame,
+    *,
+    terrain: DataFrame | None = None,
+    edges: Sequence[float] | None = None,
+    metrics: Sequence[str] = tuple(SCORES),
+    collapse: str | Sequence[str] | None = None,
+) -> DataFrame:
+    """All metrics from one pairing, a column each; NULL ``bin_min`` marks the domain's rows.
 
     The band of a cell is looked up for the reference, which has fewer rows
     than the ensemble, and reaches the errors with it.
     """
     if edges is None:
-        errors = pair(ensemble, reference)
-        return to_long(score(errors, collapse, metrics=metrics), metrics)
+        return score(pair(ensemble, reference), collapse, metrics=metrics)
     if terrain is None:
         raise ValueError("altitude bands need a terrain model")
     banded = mark_bands(attach_altitude(reference.drop("altitude"), terrain), edges)
     errors = pair(ensemble, banded, carry=("bin_min", "bin_max"))
-    return to_long(score_with_bands(errors, collapse, metrics=metrics), metrics)
+    return score_with_bands(errors, collapse, metrics=metrics)
+
+
+def domain_scores(wide: DataFrame) -> DataFrame:
+    """The rows of ``scored`` that are the whole domain's."""
+    if "bin_min" not in wide.columns:
+        return wide
+    return wide.where("bin_min IS NULL").drop("bin_min", "bin_max")
 
 
 def verify(
@@ -207,9 +273,16 @@ def verify(
     collapse: str | Sequence[str] | None = None,
     value: str = "value",
     reference_value: str = "value",
+    held: list[DataFrame] | None = None,
 ) -> DataFrame:
-    """A whole verification run: columns ``metric, <kept dimensions>, bin_min, bin_max, score``."""
-    ens, ref, cells = prepare(
+    """A whole verification run: columns ``metric, <kept dimensions>, bin_min, bin_max, score``.
+
+    Planning runs one job, over the cell tables. ``held``: see ``prepare``.
+    """
+    regridded = dem is not None and regrid_dem
+    if regridded and reference_cells is None:
+        raise ValueError("regridding the terrain model needs the reference's cell table")
+    found = prepare(
         ensemble,
         reference,
         selection,
@@ -218,17 +291,29 @@ def verify(
         weather=weather,
         value=value,
         reference_value=reference_value,
+        dem=dem if regridded else None,
+        held=held,
     )
     terrain = dem
-    if dem is not None and regrid_dem:
-        if cells is None:
-            raise ValueError("regridding the terrain model needs the reference's cell table")
-        terrain = terrain_on(dem, cells)
+    if regridded:
+        sizes = (found.sizes["dem"], found.sizes["reference"])
+        terrain = terrain_on(dem, found.grids["reference"], sizes=sizes)
     return score_run(
-        ens, ref, terrain=terrain, edges=edges, metrics=metrics, collapse=collapse
+        found.ensemble, found.reference, terrain=terrain, edges=edges, metrics=metrics, collapse=collapse
     )
 
 
+MAP_FIGURES = ("spatial_map", "member_subplots", "altitude_bin_subplots")
+
+
+def map_metrics(plot: Mapping) -> list[str]:
+    """The metrics that the enabled map figures show."""
+    if not plot.get("enabled", False):
+        return []
+    sections = [plot.get(name, {}) for name in MAP_FIGURES]
+    return sorted({c.get("metric", "RMSE") for c in sections if c.get("enabled", False)})
+
+
 # --- figure data -------------------------------------------------------------------
 
 
@@ -240,11 +325,13 @@ def figure_data(
     terrain: DataFrame | None = None,
     edges: Sequence[float] = RUN_EDGES,
     collapse: str | Sequence[str] | None = ("time",),
+    maps: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """The table behind each figure enabled in ``plot``.
 
     Sections: ``spatial_map``, ``time_series``, ``cycle``, ``distribution``,
-    ``member_subplots`` and ``altitude_bin_subplots``.
+    ``member_subplots`` and ``altitude_bin_subplots``. The maps share the scores
+    ``maps``, which come from one pairing of the two sides if not given.
     """
     if not plot.get("enabled", False):
         return {}
@@ -253,12 +340,15 @@ def figure_data(
         found = plot.get(name, {})
         return found if found.get("enabled", False) else None
 
+    metrics = map_metrics(plot)
+    if metrics and maps is None:
+        maps = reuse(score(pair(ensemble, reference), collapse, metrics=metrics))
     if terrain is not None:
         ensemble = attach_altitude(ensemble, terrain)
         reference = attach_altitude(reference, terrain)
 
     def metric_map(metric: str) -> DataFrame:
-        return score(pair(ensemble, reference), collapse, metrics=[metric])
+        return maps.drop(*[m for m in SCORES if m != metric])
 
     figures: dict[str, DataFrame] = {}
     if (c := section("spatial_map")) is not None:
@@ -296,23 +386,38 @@ def figure_data(
 
 @dataclass
 class RunResult:
+    """Scores, both datasets, the figures' tables and, with bands, what lies in each band.
+
+    ``release`` gives up the tables that were cached for the run.
+    """
+
     scores: DataFrame
     ensemble: DataFrame
     reference: DataFrame
     figures: dict[str, DataFrame] = field(default_factory=dict)
+    banded: dict[str, DataFrame] = field(default_factory=dict)
+    held: list[DataFrame] = field(default_factory=list)
 
+    def release(self) -> None:
+        for df in self.held:
+            df.unpersist()
+        self.held.clear()
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """Checkpoint folder named by the cluster, reachable from every executor."""
-    return spark.conf.get("spark.checkpoint.dir", None)
-
-
-def reuse(df: DataFrame) -> DataFrame:
-    """Compute a table once: a checkpoint if the session names a shared folder for it.
 
-    Otherwise the table is cached, and recomputed where an executor is lost.
-    """
-    return df.checkpoint() if shared_folder(df.sparkSession) else df.persist()
+def banded_data(
+    ensemble: DataFrame,
+    reference: DataFrame,
+    terrain: DataFrame,
+    edges: Sequence[float] = RUN_EDGES,
+    maps: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """Rows of the ensemble, the reference and the score maps that lie in a band, with its edges."""
+    sides = {"ensemble": ensemble, "reference": reference, "maps": maps}
+    return {
+        name: altitude_bands(attach_altitude(df.drop("altitude"), terrain), edges)
+        for name, df in sides.items()
+        if df is not None and set(CELL) <= set(df.columns)
+    }
 
 
 def selection_from(config: Mapping) -> Selection:
@@ -358,7 +463,13 @@ def run_config(spark: SparkSession, config: Mapping) -> RunResult:
     reference = read_grid(spark, inputs["reference_file"])
 
     def cell_table(data: DataFrame, path: str | None, lat: str, lon: str) -> DataFrame:
-        return reuse(grid_cells(read_grid(spark, path) if path else data, lat, lon))
+        if path:
+            data = read_grid(spark, path)
+        else:
+            warnings.warn(
+                "no cell table is given: all rows are read once more for their coordinates", stacklevel=3
+            )
+        return grid_cells(data, lat, lon)
 
     ensemble_cells = cell_table(
         ensemble,
@@ -378,16 +489,24 @@ def run_config(spark: SparkSession, config: Mapping) -> RunResult:
     if types.get("file") and types.get("include"):
         weather = read_weather_types(spark, types["file"])
 
-    ens, ref, cells = prepare(
+    held: list[DataFrame] = []
+    found = prepare(
         ensemble,
         reference,
         selection,
         ensemble_cells=ensemble_cells,
         reference_cells=reference_cells,
         weather=weather,
+        held=held,
         value=inputs.get("var_name", "precipitation"),
         reference_value=inputs.get("ref_var_name", "RR"),
     )
+    ens, ref = found.ensemble, found.reference
+
+    def kept(df: DataFrame) -> DataFrame:
+        df = reuse(df)
+        held.append(df)
+        return df
 
     terrain = None
     dem_config = config.get("dem", {})
@@ -404,31 +523,34 @@ def run_config(spark: SparkSession, config: Mapping) -> RunResult:
         )
         terrain = dem
         if dem_config.get("regrid_to_reference", False):
-            terrain = terrain_on(dem, cells, lat="lat_coord", lon="lon_coord")
-        terrain = reuse(terrain.select(*CELL, "altitude"))
-        terrain = hinted(terrain, fits_broadcast(terrain)[1])
+            terrain = terrain_on(dem, found.grids["reference"], lat="lat_coord", lon="lon_coord")
+        # One row per cell of the reference, or else of the terrain model's own grid.
+        terrain = kept(terrain.select(*CELL, "altitude"))
+        terrain = hinted(terrain, terrain.count() <= BROADCAST_CELLS)
 
     banding = config.get("altitude_binning", {})
     edges = banding.get("bins") or dem_config.get("bins") or RUN_EDGES
     bias = config.get("bias", {})
     collapse = bias.get("dimensions")
     plot = config.get("plot", {})
-    if plot.get("enabled", False):
-        ens, ref = reuse(ens), reuse(ref)
-    scores = score_run(
-        ens,
-        ref,
-        terrain=terrain,
-        edges=edges if banding.get("enabled", False) and terrain is not None else None,
-        metrics=bias.get("metrics", ["RMSE"]),
-        collapse=collapse,
-    )
+    figures_wanted = plot.get("enabled", False)
+    if figures_wanted and period_label(selection.period) is not None:
+        # Aggregated tables only: without a period these would be copies of the raw data.
+        ens, ref = kept(ens), kept(ref)
+    bands = edges if banding.get("enabled", False) and terrain is not None else None
+    metrics = list(bias.get("metrics", ["RMSE"]))
+    every = sorted({*metrics, *map_metrics(plot)})
+    wide = scored(ens, ref, terrain=terrain, edges=bands, metrics=every, collapse=collapse)
+    if figures_wanted or bands is not None:
+        wide = kept(wide)
+    scores, maps = to_long(wide.drop(*(set(every) - set(metrics))), metrics), domain_scores(wide)
     figures = figure_data(
-        ens, ref, plot, terrain=terrain, edges=edges, collapse=collapse
+        ens, ref, plot, terrain=terrain, edges=edges, collapse=collapse, maps=maps
     )
+    banded = banded_data(ens, ref, terrain, edges, maps) if bands is not None else {}
     if path := config.get("output", {}).get("save_scores"):
         write_scores(scores, path)
-    return RunResult(scores, ens, ref, figures)
+    return RunResult(scores, ens, ref, figures, banded, held)
 
 
 # --- smaller runs -------------------------------------------------------------------
@@ -443,8 +565,8 @@ def minimal_run(
 ) -> DataFrame:
     """Daily sums and the RMSE over time, per cell and member."""
     selection = Selection(missing_value=missing_value)
-    ens, ref, _ = prepare(ensemble, reference, selection, **choices)
-    return score(pair(ens, ref), "time", metrics=["RMSE"])
+    found = prepare(ensemble, reference, selection, **choices)
+    return score(pair(found.ensemble, found.reference), "time", metrics=["RMSE"])
 
 
 def band_rmse_maps(
@@ -501,9 +623,12 @@ def inspect(ensemble: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 __all__ = [
+    "Prepared",
     "RunResult",
     "Selection",
     "band_rmse_maps",
+    "banded_data",
+    "domain_scores",
     "figure_data",
     "inspect",
     "minimal_run",
@@ -513,6 +638,7 @@ __all__ = [
     "reuse",
     "run_config",
     "score_run",
+    "scored",
     "selection_from",
     "terrain_on",
     "verify",

@@ -115,8 +115,10 @@ def test_cycle_is_a_mean_of_area_means(spark):
 
 
 @pytest.mark.parametrize("bins", [1, 7, 20])
-@pytest.mark.parametrize("bound", [None, 3])
-def test_histogram_equals_numpy(spark, bins, bound):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_histogram_equals_numpy(spark, monkeypatch, bins, few):
+    monkeypatch.setattr(distribution, "BROADCAST_GROUPS", few)
+    monkeypatch.setattr(distribution, "HEAVY_SHARE", 2)
     rng = np.random.default_rng(3)
     groups = {
         "a": np.round(rng.gamma(2.0, 5.0, 500), 1),
@@ -126,7 +128,7 @@ def test_histogram_equals_numpy(spark, bins, bound):
     rows = [(k, 0, i, float(v)) for k, vs in groups.items() for i, v in enumerate(vs)]
     rows += [("d", 0, 0, None)]
     df = spark.createDataFrame(rows, "g STRING, iy INT, ix INT, value DOUBLE")
-    found = distribution.histogram(df, ["g"], bins=bins, group_bound=bound)
+    found = distribution.histogram(df, ["g"], bins=bins)
     table = {}
     for r in found.collect():
         table.setdefault(r.g, {})[r.bin] = (r["count"], r.bin_left, r.bin_right)
@@ -145,8 +147,9 @@ def scott_kde(values, points=200):
     return x, np.exp(-0.5 * z * z).sum(axis=1) / (len(values) * h * math.sqrt(2 * math.pi))
 
 
-@pytest.mark.parametrize("bound", [None, 9])
-def test_density_equals_the_sum_of_kernels(spark, bound):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_density_equals_the_sum_of_kernels(spark, monkeypatch, few):
+    monkeypatch.setattr(distribution, "BROADCAST_GROUPS", few)
     rng = np.random.default_rng(5)
     groups = {
         "gamma": rng.gamma(0.5, 3.0, 4000),
@@ -158,7 +161,7 @@ def test_density_equals_the_sum_of_kernels(spark, bound):
     rows += [("one", 0, 0, 1.0), ("flat", 0, 0, 2.0), ("flat", 0, 1, 2.0), ("none", 0, 0, None)]
     df = spark.createDataFrame(rows, "g STRING, iy INT, ix INT, value DOUBLE")
     table = {}
-    for r in distribution.density_curve(df, ["g"], group_bound=bound).collect():
+    for r in distribution.density_curve(df, ["g"]).collect():
         table.setdefault(r.g, {})[r.point] = (r.x, r.density)
     assert set(table) == set(groups)
     for k, vs in groups.items():
@@ -203,3 +206,34 @@ def test_single_map_needs_a_single_member(spark):
     assert maps.member_panels(scores, "RMSE").count() == 2
     with pytest.raises(ValueError):
         maps.member_panels(scores.drop("member"), "RMSE")
+
+
+def test_kernels_that_do_not_reach_add_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    values = np.concatenate([rng.normal(0, 1, 300), rng.normal(1e4, 1, 300), [5e3]])
+    df = frames.field(spark, values[None, :])
+    curve = lambda: frames.as_dict(distribution.density_curve(df, points=300), ["point"], "density")
+    near = curve()
+    monkeypatch.setattr(distribution, "KERNEL_REACH", 1e9)
+    assert near == curve() and len(near) == 300
+
+
+def test_dimensions_reduced_line_by_line(sides):
+    low, high = (0, 500), (500, 1000)
+    chosen = [
+        lines.Line("cells", "ensemble", "08", low),
+        lines.Line("times", "ensemble", "08", low, ("time",)),
+        lines.Line("members", "ensemble", "all", high, ("member", "lat", "lon")),
+    ]
+    found = series.line_series(*sides, chosen)
+    table = {(r.line, r.time, r.member, r.ix): r.value for r in found.collect()}
+    day = lambda d: dt.datetime(2017, 1 + d, 1 + d)
+    assert table == {
+        **{("cells", day(d), "08", None): 10.0 * d for d in range(3)},
+        ("times", None, "08", 0): 10.0,
+        **{("members", day(d), None, None): 10 * d + 1 + 2.5 for d in range(3)},
+    }
+    hist = distribution.line_distribution(*sides, chosen, "hist", bins=2)
+    assert {r.line: r.n for r in hist.groupBy("line").agg(F.sum("count").alias("n")).collect()} == {"cells": 3, "times": 1, "members": 3}
+    built = lines.build_lines({**CONFIG, "reduce_dims": ["lat", "lon"]})
+    assert {line.reduce_dims for line in built} == {("iy", "ix")}

@@ -25,8 +25,8 @@ def nearest_by_hand(source, target):
     return out
 
 
-def nearest_found(spark, source, target):
-    found = grid.nearest_axis(axis(spark, source), axis(spark, target)).collect()
+def nearest_found(spark, source, target, cuts=None):
+    found = grid.nearest_axis(axis(spark, source), axis(spark, target), cuts).collect()
     assert len(found) == len(target)
     return {r.target_i: r.source_i if r.inside else None for r in found}
 
@@ -45,10 +45,24 @@ def test_nearest_on_an_unsorted_axis(spark):
 
 
 def test_nearest_between_far_clusters(spark, monkeypatch):
-    monkeypatch.setattr(grid, "RANGE_ROWS", 1)
     source = [0.0, 1e-6, 2e-6, 1e6, 1e6 + 0.5]
     target = [1.0, 499_999.0, 500_001.0, 999_999.0, 1e6 + 0.2, 0.4e-6]
-    assert nearest_found(spark, source, target) == nearest_by_hand(source, target)
+    for cuts in (None, [0.0, 1e-6, 0.4, 2e5, 5e5, 1e6, 1e6 + 0.5]):
+        assert nearest_found(spark, source, target, cuts) == nearest_by_hand(source, target)
+
+
+def test_long_target_axis_over_two_points_is_split(spark, monkeypatch):
+    monkeypatch.setattr(grid, "RANGE_ROWS", 10)
+    source = frames.cells(spark, [40.0, 60.0], [10.0, 11.0])
+    target = frames.cells(spark, [float(v) for v in range(100)], [10.0, 11.0])
+    sizes = grid.measure({"s": source, "t": target})
+    assert (sizes["t"].cells, dict(sizes["t"].lengths)) == (200, {"iy": 100, "ix": 2})
+    assert len(sizes["t"].cuts["iy"]) > 50 and sizes["s"].cuts["iy"] == [40.0, 60.0]
+    found, _ = grid.axis_maps(source, target, sizes=(sizes["s"], sizes["t"]))
+    assert {r.target_i: r.source_i for r in found.collect() if r.inside} == {
+        v: int(v > 50) for v in range(40, 61)
+    }
+    assert found.count() == 100
 
 
 def test_single_source_coordinate(spark):
@@ -64,21 +78,18 @@ def test_nearest_equals_comparing_all_pairs(spark, source, target):
     source, target = [s / 2 for s in source], [t / 8 for t in target]
     expected = nearest_by_hand(source, target)
     assert nearest_found(spark, source, target) == expected
-    with pytest.MonkeyPatch.context() as patch:
-        # As on a long axis: searched in several ranges.
-        patch.setattr(grid, "RANGE_ROWS", 1)
-        patch.setattr(grid, "AXIS_RANGES", 7)
-        assert nearest_found(spark, source, target) == expected
+    # As on a long axis: searched in several ranges, cut on either side's coordinates.
+    cuts = sorted({*source[::5], *target[::7]})
+    assert nearest_found(spark, source, target, cuts) == expected
 
 
-def test_linear_in_ranges(spark, monkeypatch):
+def test_linear_in_ranges(spark):
     source, target = [float(v * v) for v in range(12)], [v / 2 for v in range(-2, 246)]
     rows = lambda: sorted(map(tuple, grid.linear_axis(axis(spark, source), axis(spark, target)).collect()))
     whole = rows()
-    monkeypatch.setattr(grid, "RANGE_ROWS", 1)
-    monkeypatch.setattr(grid, "AXIS_RANGES", 5)
-    assert len(grid.axis_summaries({"s": axis(spark, source)})["s"][1]) == 6
-    assert rows() == whole
+    cuts = [source[0], 5.0, 30.5, 64.0, 100.0, target[-1]]
+    ranged = grid.linear_axis(axis(spark, source), axis(spark, target), cuts)
+    assert sorted(map(tuple, ranged.collect())) == whole
 
 
 def test_regrid_on_its_own_grid_changes_nothing(spark):

@@ -2,10 +2,11 @@
 
 import re
 
+import pytest
 from compare import plan
 
-from gridverify.operators import distribution, grid, select, temporal
-from gridverify.plans import roles
+from gridverify.operators import distribution, grid, metrics, reuse, select, temporal
+from gridverify.plans import queries, roles, verification
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -53,6 +54,74 @@ def test_long_axes_are_joined_by_sort_merge(spark, monkeypatch):
     assert keys(found) == keys(small)
 
 
-def test_groups_of_unknown_number_are_spread(spark):
-    text = plan(distribution.histogram(roles.hourly(spark, SF_DIR), ["member"]))
-    assert "_part" in text
+def test_rows_of_few_groups_are_not_shuffled(spark):
+    data = roles.hourly(spark, SF_DIR)
+    for df in (distribution.histogram(data, ["member"]), distribution.density_curve(data, ["member"])):
+        joined = re.search(r"BroadcastHashJoin \[coalesce\(member", plan(df))
+        assert joined and "SortMergeJoin" not in plan(df)
+        # Below the join with the parameters the rows come straight from the scan.
+        assert "Exchange" not in plan(df)[joined.start():].split("BroadcastExchange")[0]
+
+
+def test_weather_means_do_not_shuffle_by_day(spark, monkeypatch):
+    data, weather = roles.everything(spark, SF_DIR), roles.weather(spark, SF_DIR)
+    found = temporal.weather_type_mean(data, weather)
+    assert not re.search(r"hashpartitioning\(day#\d+, \d", plan(found))
+    rows = sorted(map(str, found.collect()))
+    monkeypatch.setattr(temporal, "BROADCAST_DAYS", 0)
+    spread = temporal.weather_type_mean(data, weather)
+    assert "_part" in plan(spread) and sorted(map(str, spread.collect())) == rows
+
+
+def test_cells_may_be_too_many_to_broadcast(spark, monkeypatch):
+    size = lambda limit: [monkeypatch.setattr(grid, "BROADCAST_CELLS", limit), queries.queries()["full_run"](spark, SF_DIR)][1]
+    assert sorted(map(str, size(0).collect())) == sorted(map(str, size(1_000_000).collect()))
+
+
+@pytest.mark.parametrize("name, actions", [("full_run", 1), ("verification_run", 1), ("temperature_run", 0)])
+def test_planning_a_run_takes_one_job(spark, monkeypatch, name, actions):
+    done, kind = [], type(spark.range(0))
+    for action in ("collect", "count", "first", "take", "head", "checkpoint", "toLocalIterator"):
+        real = getattr(kind, action)
+        monkeypatch.setattr(kind, action, lambda self, *a, real=real, action=action, **k: [done.append(action), real(self, *a, **k)][1])
+    queries.queries()[name](spark, SF_DIR)
+    assert len(done) == actions
+
+
+def test_cell_tables_from_the_data_are_read_once(spark):
+    located = roles.everything(spark, SF_DIR).join(roles.cells(spark, SF_DIR), ["iy", "ix"])
+    cells = grid.grid_cells(located)
+    held = []
+    found = verification.verify(
+        roles.ensemble(spark, SF_DIR), roles.reference(spark, SF_DIR), ensemble_cells=cells,
+        reference_cells=roles.cells(spark, SF_DIR, *queries.SHIFTED), held=held,
+    )
+    assert len(held) == 2 and all(df.is_cached for df in held)
+    shown = plan(found)
+    # Both sides' own scans; the cells come from the cached table.
+    assert "InMemoryTableScan" in shown
+    outside = re.sub(r"InMemoryRelation.*", "", shown)
+    assert outside.count("FileScan parquet") <= shown.count("FileScan parquet")
+    for df in held:
+        df.unpersist()
+
+
+def test_figures_pair_the_two_sides_once(spark, monkeypatch):
+    pairings = []
+    monkeypatch.setattr(verification, "pair", lambda *a, **k: [pairings.append(1), metrics.pair(*a, **k)][1])
+    figures = queries.figures(spark, SF_DIR)
+    assert set(figures) == {"spatial_map", "time_series", "cycle", "distribution", "member_subplots", "altitude_bin_subplots"}
+    assert len(pairings) == 1
+    for name in ("member_subplots", "altitude_bin_subplots"):
+        assert "FileScan parquet" not in plan(figures[name]) or name == "altitude_bin_subplots"
+
+
+def test_reuse_takes_shared_folders_only(spark, monkeypatch):
+    class Session:
+        def __init__(self, folder, master):
+            self.conf, self.sparkContext = {"spark.checkpoint.dir": folder}, type("C", (), {"master": master})
+
+    shared = lambda folder, master: reuse.shared_folder(Session(folder, master))
+    assert shared("/tmp/x", "local[4]") and shared("file:///tmp/x", "local-cluster[3,2,1000]")
+    assert not shared("/tmp/x", "spark://host:7077") and not shared("file:/tmp/x", "yarn")
+    assert shared("hdfs://name/x", "yarn") and not shared(None, "local")

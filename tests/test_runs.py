@@ -8,6 +8,7 @@ import pytest
 from compare import plan
 from pyspark.sql import functions as F
 
+from gridverify.operators import reuse
 from gridverify.plans import verification as v
 from gridverify.sources.readers import read_grid
 
@@ -180,7 +181,8 @@ def write_tables(inputs, folder):
 def test_run_of_a_configuration(spark, inputs, tmp_path):
     ens, ref, ens_df, ref_df, *_ = inputs
     write_tables(inputs, tmp_path)
-    result = v.run_config(spark, config(tmp_path))
+    with pytest.warns(UserWarning, match="once more"):
+        result = v.run_config(spark, config(tmp_path))
     table = {
         (r.metric, r.member, r.iy, r.ix, r.bin_min): r.score for r in result.scores.collect()
     }
@@ -207,6 +209,16 @@ def test_run_of_a_configuration(spark, inputs, tmp_path):
     panels = figures["altitude_bin_subplots"].collect()
     assert len(panels) == 6 and {r.bin_min for r in panels} == {0.0, 400.0}
 
+    # Cells by band: altitudes 0, 50 | 400, 450, 800, 850.
+    banded = {name: df.groupBy("bin_min").count().collect() for name, df in result.banded.items()}
+    assert {n: {r.bin_min: r["count"] for r in rows} for n, rows in banded.items()} == {
+        "ensemble": {0.0: 4, 400.0: 8}, "reference": {0.0: 2, 400.0: 4}, "maps": {0.0: 4, 400.0: 8}
+    }
+    assert any(df.is_cached for df in result.held)
+    cached = list(result.held)
+    result.release()
+    assert result.held == [] and not any(df.is_cached for df in cached)
+
 
 def test_disabled_sections(spark, inputs, tmp_path):
     write_tables(inputs, tmp_path)
@@ -225,11 +237,11 @@ def test_disabled_sections(spark, inputs, tmp_path):
 
 def test_reuse_follows_the_session(spark, inputs, monkeypatch):
     df = inputs[2]
-    assert v.shared_folder(spark)
-    kept = v.reuse(df)
+    assert reuse.shared_folder(spark)
+    kept = reuse.reuse(df)
     assert "Scan ExistingRDD" in plan(kept)
     assert kept.count() == df.count()
-    monkeypatch.setattr(v, "shared_folder", lambda _: None)
-    cached = v.reuse(df.where("iy >= 0"))
+    monkeypatch.setattr(reuse, "shared_folder", lambda _: None)
+    cached = reuse.reuse(df.where("iy >= 0"))
     assert cached.is_cached and cached.count() == df.count()
     cached.unpersist()
