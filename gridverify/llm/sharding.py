@@ -25,7 +25,7 @@ from pyspark.sql import window as W
 from gridverify.llm.common import broadcast, received, staged
 
 #: Ranges to begin with: one for so many rows, within these bounds. Sampled keys per range.
-RANGE_ROWS, RANGES, SAMPLES = 20_000, (256, 16_384), 12
+RANGE_ROWS, RANGES, SAMPLES = 20_000, (1024, 16_384), 12
 
 
 def _splitters(rows: DataFrame, total: int, ranges: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,15 +50,16 @@ def _splitters(rows: DataFrame, total: int, ranges: int) -> tuple[np.ndarray, np
 
 def _assign(units: list, shards: int) -> dict[tuple, tuple[int, int]]:
     """Shard and first slot of each (range, piece): single keys first, then runs of ranges."""
-    target = sum(u.bytes for u in units) / shards
     load, where = [0] * shards, {}
     for u in sorted((u for u in units if u.single), key=lambda u: (-u.bytes, u.range, u.piece)):
         s = min(range(shards), key=lambda i: (load[i], i))
         where[u.range, u.piece] = s
         load[s] += u.bytes
-    s = 0
+    s, rest = 0, sum(u.bytes for u in units)
     for u in sorted((u for u in units if not u.single), key=lambda u: (u.range, u.piece)):
-        while s < shards - 1 and load[s] + u.bytes / 2 > target:
+        # Each shard aims at an even part of what it and the later ones will hold.
+        while s < shards - 1 and load[s] + u.bytes / 2 > rest / (shards - s):
+            rest -= load[s]
             s += 1
         where[u.range, u.piece] = s
         load[s] += u.bytes
