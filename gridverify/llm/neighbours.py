@@ -26,10 +26,10 @@ from pyspark.sql import window as W
 
 from gridverify.llm.common import staged
 
-#: Rows of a block; blocks of candidates, and of queries, that meet in one task.
-BLOCK_ROWS, BAND_BLOCKS, GROUP_BLOCKS = 2048, 32, 8
-#: Below so many candidate blocks each is a task of its own.
-FEW_BLOCKS = 256
+#: Bytes of vectors in a block; blocks of candidates, and of queries, that meet in one task.
+BLOCK_BYTES, BAND_BLOCKS, GROUP_BLOCKS = 1 << 20, 32, 8
+#: Up to so many candidate blocks each is a task of its own.
+FEW_BLOCKS = 32
 #: Products are exact in single precision over so many components.
 EXACT_COMPONENTS = 1024
 
@@ -79,7 +79,7 @@ def _pack(batches):
     for batch in batches:
         for row, i, v in zip(*(c.to_pylist() for c in batch.columns)):
             held.setdefault(len(v), []).append((row, i, v))
-            if len(held[len(v)]) == BLOCK_ROWS:
+            if 8 * len(v) * len(held[len(v)]) >= BLOCK_BYTES:
                 yield block(len(v))
     for dim in list(held):
         yield block(dim)
@@ -162,8 +162,8 @@ def nearest_neighbours(
     candidates = staged(kept.select("row", "id", "v").mapInArrow(_pack, _BLOCK_TYPE), "candidates")
     asked = kept.where("query").select("row", "id", "v")
     # Few queries come from each task; together they fill blocks.
-    n_asked = asked.count()
-    packed = asked.repartition(max(1, -(-n_asked // (BLOCK_ROWS * GROUP_BLOCKS))), "row").mapInArrow(_pack, _BLOCK_TYPE)
+    size = asked.agg(F.coalesce(F.sum(F.size("v")), F.lit(0))).first()[0] * 8
+    packed = asked.repartition(size // (BLOCK_BYTES * GROUP_BLOCKS) + 1, "row").mapInArrow(_pack, _BLOCK_TYPE)
     asking = staged(packed, "queries")
     n_candidates, n_queries = candidates.count(), asking.count()
     bands = n_candidates if n_candidates <= FEW_BLOCKS else max(FEW_BLOCKS, -(-n_candidates // BAND_BLOCKS))

@@ -144,6 +144,17 @@ SQL = {
                CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AS contaminated
         FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op10_neighbours": """
+        WITH e AS (
+          SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+          WHERE len(embedding) > 0 AND list_count(embedding) = len(embedding)),
+        fit AS (SELECT * FROM e WHERE list_dot_product(v, v) > 0 AND isfinite(list_dot_product(v, v))),
+        pairs AS (
+          SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score
+          FROM fit q JOIN fit c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank,
+               vec_id, score
+        FROM pairs QUALIFY rank <= 5""",
 }
 
 

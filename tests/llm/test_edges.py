@@ -327,8 +327,8 @@ def test_neighbours(spark, monkeypatch):
                 out += [(q, r + 1, None if none else i, -s) for r, (s, none, i, _) in enumerate(sorted(scored)[:nearest])]
         return sorted(map(repr, out))
 
-    for rows_of_block in (2048, 16):
-        monkeypatch.setattr(neighbours, "BLOCK_ROWS", rows_of_block)
+    for size in (1 << 20, 1024):
+        monkeypatch.setattr(neighbours, "BLOCK_BYTES", size)
         found = neighbours.nearest_neighbours(df, F.col("vec_id") % 50 == 0).collect()
         assert sorted(repr(tuple(r)) for r in found) == plain(5)
     assert neighbours.nearest_neighbours(df.where("false"), F.lit(True)).count() == 0
