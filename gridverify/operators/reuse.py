@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,4 +27,16 @@ def reuse(df: DataFrame) -> DataFrame:
     Otherwise the table is cached, and recomputed where an executor is lost;
     ``unpersist`` releases it.
     """
-    return df.checkpoint() if shared_folder(df.sparkSession) else df.persist()
+    spark = df.sparkSession
+    # A folder named after the session began is not in use yet.
+    ready = shared_folder(spark) and spark.sparkContext.getCheckpointDir()
+    return df.checkpoint() if ready else df.persist()
+
+
+def cached(df: DataFrame, held: list[DataFrame] | None = None) -> DataFrame:
+    """Cache a small table when it is first computed; ``held`` gets it unless it was cached before."""
+    if df.storageLevel == StorageLevel.NONE:
+        df = df.persist()
+        if held is not None:
+            held.append(df)
+    return df

@@ -32,7 +32,7 @@ from gridverify.operators.masks import (
 )
 from gridverify.operators.metrics import SCORES, pair, score, score_with_bands, to_long
 from gridverify.operators.quality import OUTLIER_THRESHOLD, profile, quality_counts
-from gridverify.operators.reuse import reuse
+from gridverify.operators.reuse import cached, reuse
 from gridverify.operators.select import (
     crop_to_box,
     filter_weather,
@@ -179,9 +179,7 @@ def prepare(
     grids = {"ensemble": _cropped(ensemble_cells, s), "reference": _cropped(reference_cells, s)}
     if dem is not None:
         grids["dem"] = dem.select(*CELL, "lat", "lon")
-    grids = {name: cells.persist() for name, cells in grids.items() if cells is not None}
-    if held is not None:
-        held += grids.values()
+    grids = {name: cached(cells, held) for name, cells in grids.items() if cells is not None}
     both = {"ensemble", "reference"} <= set(grids)
     needed = both or "dem" in grids or s.lat_bounds is not None and s.lon_bounds is not None
     sizes = measure(grids) if grids and needed else {}
