@@ -43,10 +43,11 @@ def features(text: bytes) -> np.ndarray:
         if end < len(text):  # pieces end between words, where there is a gap
             gap = max(text.rfind(b" ", at, end), text.rfind(b"\n", at, end))
             end = gap + 1 if gap >= at else end
-        raw = np.frombuffer(text, np.uint8)[at:end].astype(np.uint64)
+        late = np.frombuffer(text, np.uint8)[max(0, at - 2) : end].astype(np.uint64)
+        raw = late[at - max(0, at - 2) :]
         at = end
-        if len(raw) >= 3:
-            triple = raw[:-2] | raw[1:-1] << np.uint64(8) | raw[2:] << np.uint64(16)
+        if len(late) >= 3:
+            triple = late[:-2] | late[1:-1] << np.uint64(8) | late[2:] << np.uint64(16)
             counts += np.bincount((triple * _P >> shift).astype(np.int64), minlength=BUCKETS)
         # A word's hash is the sum of its bytes times the powers of an odd number, from its own start.
         gap = (raw == 32) | ((raw >= 9) & (raw <= 13))

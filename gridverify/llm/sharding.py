@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from gridverify.llm.common import broadcast, received, staged
+from gridverify.llm.common import broadcast, received
 
 #: Ranges to begin with: one for so many rows, within these bounds. Sampled keys per range.
 RANGE_ROWS, RANGES, SAMPLES = 20_000, (1024, 16_384), 12
