@@ -106,7 +106,7 @@ def _counts(batches):
             if len(gram):
                 held.setdefault(lang, []).append((gram, n))
                 size += len(gram)
-        if size > 1 << 22:
+        if size > 1 << 20:
             yield rows()
             held, size = {}, 0
     if held:
