@@ -34,7 +34,7 @@ POWER = 0.7
 #: More sources than this need given weights, of which there may be as many.
 MAX_SOURCES = 10_000
 #: Rows that are numbered together.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 PLAN = T.StructType().add("__source", "string").add("k", "long").add("at", "long").add("release", "long").add("deadline", "long")
 
 
