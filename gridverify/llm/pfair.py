@@ -7,8 +7,10 @@ which the schedule repeats itself, so only one period is worked out and every
 block of every source follows by division. Up to any slot, each source has had
 its weight of the slots to within less than one block.
 
-The mix ends at the horizon, the first slot whose source has no block left. Later
-blocks have slots too, but are not in the mix.
+The horizon is the first slot whose source has no block left. With given weights a
+mix ends there; later blocks have slots too, but are not in it. Without them it has
+every row: slots of an exhausted source are passed over, and the sources that are
+left go on in the ratio of their weights.
 
 Edge cases: a null source is a source of its own; sources without a weight, or
 with weight 0, have no slots; a table without rows gives none. Repeated rows and
@@ -138,7 +140,12 @@ def scheduled(
 
 
 def mixed(documents: DataFrame, weights: dict | None = None, **options) -> DataFrame:
-    """The documents of the mix, with their own columns, written in the order of the schedule."""
-    found = scheduled(documents, weights, **options).where("in_mix")
+    """The documents of the mix, with their own columns, written in the order of the schedule.
+
+    All documents, or with given weights those before the horizon.
+    """
+    found = scheduled(documents, weights, **options)
+    if weights is not None:
+        found = found.where("in_mix")
     ordered = found.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place")
     return ordered.select("row.*")
