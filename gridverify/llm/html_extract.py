@@ -9,7 +9,9 @@ best container.
 Edge cases: a null or empty page has empty text; pages without markup are one
 block; unclosed, unopened and wrongly nested tags are closed where a parent ends;
 a null or odd url has the empty host. Repeated rows are separate pages. Markup
-ends at any depth, and text of any length is kept whole.
+ends at any depth, and text of any length is kept whole. What classes, ids and roles
+leave out comes back where it is most of the page's text and has a first heading, an
+article or main element, discussions aside, or where nothing else is left.
 """
 
 from __future__ import annotations
@@ -38,10 +40,15 @@ HEAD = frozenset("base link meta noscript script style template title".split())
 LEFT_OUT = frozenset(
     "aside audio button canvas dialog footer form head header iframe menu nav noscript object script select style svg template textarea title video".split()
 )
-#: Words in classes, ids and roles of such elements.
+#: Words of which classes, ids and roles of such elements consist, with or without those of PLAIN_WORDS.
 LEFT_OUT_WORDS = frozenset(
     "ad ads advert advertisement adverts aside banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer header login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted recommended related replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+PLAIN_WORDS = frozenset(
+    "area areas bar block body bottom box boxes btn button buttons col column container content desktop entries entry footer form global group header icons inline inner item items js left link links list main mobile outer page panel post posts primary right secondary section site slot thread title top unit wp wrap wrapper".split()
+)
+#: Words of discussions, which may be longer than the text that they are about.
+DISCUSSION_WORDS = frozenset("comment comments discussion disqus replies respond".split())
 BLOCK = frozenset(
     "address article blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -51,13 +58,40 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 SCOPE = frozenset("article div dl main ol section table td th ul".split())
 
 
+def named_words(attributes: list[tuple[str, str]]) -> set[str]:
+    """Of the whole names among classes, ids and roles that leave an element out, the words."""
+    found = set()
+    for _, value in attributes:
+        for name in value.lower().split():
+            words = {w for w in re.split(r"[^a-z]+", name) if w}
+            if words & LEFT_OUT_WORDS and words <= LEFT_OUT_WORDS | PLAIN_WORDS:
+                found |= words & LEFT_OUT_WORDS
+    return found
+
+
 class Page:
     """Blocks of text in page order, and containers as (path, score, first block, end block)."""
 
     def __init__(self, source: str):
+        self._read(source)
+        most = {k for k, (size, talk, article) in enumerate(self.named) if 2 * size > self.size and article and not talk}
+        if most:
+            self._read(source, most.__contains__)
+        if not self.blocks and self.named:
+            self._read(source, lambda k: True)
+
+    def _read(self, source: str, shown=lambda k: False) -> None:
+        """Read the page; shown says which of the elements that are left out by name are not."""
+        self.shown = shown
+        # Elements that are left out by name: size of the text that is no link, whether a discussion, whether they
+        # hold a first heading, article or main element.
+        self.named: list[list] = []
+        self.inside: list[int] = []
+        self.size = self.never = 0
         self.blocks: list[str] = []
         self.containers: list[list] = [["", 0, 0, 0]]
-        # Open elements: name, whether left out, whether a link, number of its container or 0, path.
+        # Open elements: name, whether left out, whether a link, number of its container or 0, path,
+        # whether left out by that name, place among those left out by class, id or role or -1.
         self.open: list[tuple] = []
         self.pieces: list[str] = []
         self.hidden = self.links = self.link_size = 0
@@ -85,6 +119,11 @@ class Page:
         self.containers[0][3] = len(self.blocks)
 
     def _text(self, raw: str) -> None:
+        if not self.never and not self.links:
+            size = len(raw.strip())
+            self.size += size
+            for k in self.inside:
+                self.named[k][0] += size
         if not self.hidden:
             self.pieces.append(raw)
             if self.links:
@@ -126,10 +165,15 @@ class Page:
         if name in ("article", "main") and any(e[0] == "nav" for e in self.open):
             self._close("nav")
         words = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in NAMED.finditer(attributes)] if "=" in attributes else []
-        out = name in LEFT_OUT or (
-            name not in ("html", "body")
-            and any(w in LEFT_OUT_WORDS for _, v in words for w in re.split(r"[^a-z]+", v.lower()))
-        )
+        out, never, inside = name in LEFT_OUT, name in LEFT_OUT, -1
+        if not out and name not in ("html", "body", "article", "main") and (left_out := named_words(words)):
+            inside = len(self.named)
+            out = not self.shown(inside)
+            self.named.append([0, bool(left_out & DISCUSSION_WORDS), False])
+            self.inside.append(inside)
+        if name in ("article", "h1", "main"):
+            for k in self.inside:
+                self.named[k][2] = True
         path, number = self.open[-1][4] if self.open else "", 0
         if name in CONTAINER and not self.hidden and not out:
             kind = next((v.split() for k, v in words if k == "class" and v.split()), None)
@@ -137,8 +181,9 @@ class Page:
             path = f"{path}>{label}"
             number = len(self.containers)
             self.containers.append([path, 0, len(self.blocks), 0])
-        self.open.append((name, out, name == "a", number, path))
+        self.open.append((name, out, name == "a", number, path, never, inside))
         self.hidden += out
+        self.never += never
         self.links += name == "a"
 
     def _end(self, names: set[str], by: str) -> None:
@@ -162,11 +207,14 @@ class Page:
             self._block()
 
     def _pop(self) -> None:
-        name, out, link, number, _ = self.open[-1]
+        name, out, link, number, _, never, inside = self.open[-1]
         if name in BLOCK:
             self._block()
         self.open.pop()
         self.hidden -= out
+        self.never -= never
+        if inside >= 0:
+            self.inside.pop()
         self.links -= link
         if number:
             self.containers[number][3] = len(self.blocks)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridverify.llm import near_copies, pfair
+from gridverify.llm import html_extract, near_copies, pfair
 
 
 def kept_by_plain(texts):
@@ -69,3 +69,27 @@ def test_pipeline_mix_keeps_every_document(spark):
     assert {r.source for r in rows[-200:]} == {"hot"}
     given = pfair.mixed(docs, {"stray": 1, "hot": 1})
     assert given.count() == 8 + 1 + 8
+
+
+WRAPPERS = [
+    "<article class='post comments-open'>", "<div class='page has-sidebar'>", "<main class='no-sidebar'>", "<div class='container header-fixed'>",
+    "<div id='search-results'>", "<div class='share-price'>", "<div class=social-science>", "<article class=related>", "<div class=notice>", "<main id=search>",
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_wrappers_do_not_hide_the_article(wrapper):
+    end = f"</{wrapper[1:].split()[0]}>"
+    page = f"<body><nav>menu</nav><div class=ad-box>buy</div><p>stray</p>{wrapper}<h1>Title</h1><p>A long enough first paragraph.</p><p>And one more.</p></div>{end}<div class='site-footer'>foot</div>"
+    text = html_extract.Page(page).text(None)
+    assert "Title\nA long enough first paragraph.\nAnd one more." in text and "buy" not in text and "foot" not in text
+
+
+def test_left_out_by_name():
+    text = lambda page: html_extract.Page(page).text(None)
+    # A discussion may be longer than the article; what is left alone comes back.
+    talk = "<div class='comments-area'><p>" + "I say so too. " * 20 + "</p></div>"
+    assert text(f"<div class=post><p>The article.</p></div>{talk}") == "The article."
+    assert text(talk) == ("I say so too. " * 20).strip()
+    for name in ("comments", "related-posts", "site-footer", "cookie-banner", "ad-12", "share_buttons", "sidebar left"):
+        assert text(f"<div class=post><p>The article, which is longer.</p><div class='{name}'>left out</div></div>") == "The article, which is longer."
