@@ -1,8 +1,9 @@
 """Main text of pages by consensus of their host.
 
 Each page's containers are scored by the text of the blocks in them that is not
-links; the best one's path of tags and classes, with numbers generalised, is the
-page's vote. Per host the path with most votes wins, and the pages are extracted
+links; the best one is widened to the containers around it whose other text is main
+text too, and its path of tags and classes, with numbers generalised, is the page's
+vote. Per host the path with most votes wins, and the pages are extracted
 again from the containers on that path. A page without text on it uses its own
 best container.
 
@@ -70,7 +71,7 @@ def named_words(attributes: list[tuple[str, str]]) -> set[str]:
 
 
 class Page:
-    """Blocks of text in page order, and containers as (path, score, first block, end block)."""
+    """Blocks of text in page order, and containers as (path, score, first block, end block, number of the one around it, name)."""
 
     def __init__(self, source: str):
         self._read(source)
@@ -89,7 +90,8 @@ class Page:
         self.inside: list[int] = []
         self.size = self.never = 0
         self.blocks: list[str] = []
-        self.containers: list[list] = [["", 0, 0, 0]]
+        self.block_links: list[int] = []
+        self.containers: list[list] = [["", 0, 0, 0, -1, ""]]
         # Open elements: name, whether left out, whether a link, number of its container or 0, path,
         # whether left out by that name, place among those left out by class, id or role or -1.
         self.open: list[tuple] = []
@@ -136,6 +138,7 @@ class Page:
             text = " ".join("".join(html.unescape(p) if "&" in p else p for p in self.pieces).split())
             if text:
                 self.blocks.append(text)
+                self.block_links.append(min(len(text), self.link_size))
                 score, size = max(0, len(text) - 2 * self.link_size), 2
                 # In full for the nearest container, half and a quarter for those around it.
                 for element in reversed(self.open):
@@ -180,7 +183,8 @@ class Page:
             label = name + (f".{re.sub(r'[0-9]+', '0', kind[0])}" if kind else "")
             path = f"{path}>{label}"
             number = len(self.containers)
-            self.containers.append([path, 0, len(self.blocks), 0])
+            around = next((e[3] for e in reversed(self.open) if e[3]), 0)
+            self.containers.append([path, 0, len(self.blocks), 0, around, name])
         self.open.append((name, out, name == "a", number, path, never, inside))
         self.hidden += out
         self.never += never
@@ -219,15 +223,31 @@ class Page:
         if number:
             self.containers[number][3] = len(self.blocks)
 
+    def _is_text(self, outer: list, inner: list) -> bool:
+        """Whether outer has text beside inner, at most a third of it links."""
+        beside = [*range(outer[2], inner[2]), *range(inner[3], outer[3])]
+        return 0 < sum(len(self.blocks[k]) for k in beside) >= 3 * sum(self.block_links[k] for k in beside)
+
     def best(self) -> list:
-        """The container with the highest score, the first of equals."""
-        return max(self.containers, key=lambda c: c[1])
+        """The container with the highest score, the first of equals, widened to those around it with more main text.
+
+        From within an article or main element only to such elements.
+        """
+        found = max(self.containers, key=lambda c: c[1])
+        around, number = [], found[4]
+        while number >= 0:
+            around.append(self.containers[number])
+            number = around[-1][4]
+        if any(c[5] in ("article", "main") for c in [found, *around]):
+            around = [c for c in around if c[5] in ("article", "main")]
+        wide = next((c for c in reversed(around) if self._is_text(c, found)), found)
+        return [wide[0], found[1], *wide[2:]]
 
     def text(self, path: str | None) -> str:
         """Text of the containers on the path, or of the best one if there is none."""
-        spans = [(a, b) for p, _, a, b in self.containers if p == path and b > a]
+        spans = [(a, b) for p, _, a, b, *_ in self.containers if p == path and b > a]
         if not spans:
-            spans = [tuple(self.best()[2:])]
+            spans = [tuple(self.best()[2:4])]
         out, at = [], 0
         for a, b in sorted(spans):
             out += self.blocks[max(a, at) : b]

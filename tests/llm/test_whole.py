@@ -93,3 +93,31 @@ def test_left_out_by_name():
     assert text(talk) == ("I say so too. " * 20).strip()
     for name in ("comments", "related-posts", "site-footer", "cookie-banner", "ad-12", "share_buttons", "sidebar left"):
         assert text(f"<div class=post><p>The article, which is longer.</p><div class='{name}'>left out</div></div>") == "The article, which is longer."
+
+
+LEAD = "<h1>Title</h1><p>A lead of the page.</p>"
+BODY = "<p>" + "A long body of the text. " * 20 + "</p>"
+TEXT = "Title\nA lead of the page.\n" + ("A long body of the text. " * 20).strip()
+NESTED = [
+    (f"<article>{LEAD}<section>{BODY}</section></article>", TEXT),
+    (f"<main><article>{LEAD}<section><div>{BODY}</div></section></article></main>", TEXT),
+    (f"<main>{LEAD}<article>{BODY}</article></main>", TEXT),
+    (f"<div class=content>{LEAD}<div class=body>{BODY}</div></div>", TEXT),
+    (f"<article>{LEAD}<section>{BODY}</section><section><p>End</p></section></article>", TEXT + "\nEnd"),
+    # Links beside the text, and text beside the article, do not widen it.
+    (f"<div><div class=list><a href=a>one page</a> <a href=b>another page</a></div><div class=body>{LEAD}{BODY}</div></div>", TEXT),
+    (f"<div class=welcome><p>Welcome to this site.</p></div><article>{LEAD}<section>{BODY}</section></article>", TEXT),
+]
+
+
+@pytest.mark.parametrize("number", range(len(NESTED)))
+def test_title_and_lead_around_a_long_section_stay(number):
+    page, expected = NESTED[number]
+    best = html_extract.Page(page).best()
+    assert html_extract.Page(page).text(best[0]) == html_extract.Page(page).text(None) == expected
+
+
+def test_title_and_lead_of_a_host(spark):
+    pages = [(k, "http://h/x", NESTED[0][0]) for k in range(3)]
+    found = html_extract.with_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert [r["__text"] for r in found] == [TEXT] * 3
