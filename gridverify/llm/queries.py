@@ -12,6 +12,7 @@ from gridverify.llm import (
     decontaminate,
     html_extract,
     language,
+    merkle,
     neighbours,
     pfair,
     quality,
@@ -96,10 +97,22 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof; of every fifth, by its hash, the text is tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = merkle.leaf_digest([merkle.lowered(F.col(c)) if c == "text" else F.col(c) for c in merkle.COLUMNS])
+    chosen = F.col("doc_id").isNotNull() & (id_remainder(F.col("doc_id"), 5) == 0)
+    found = merkle.proofs(*merkle.manifest(docs, F.when(chosen, tampered)))
+    return found.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_warc, op2_decontamination, op3_quality, op4_simhash, op5_context_mixing, op6_pfair, op7_sharding,
-        op8_language, op9_main_text, op10_neighbours,
+        op8_language, op9_main_text, op10_neighbours, op12_merkle,
     ]
     return {f.__name__: f for f in found}
 
@@ -110,7 +123,68 @@ _BASE32 = " || ".join(
     for s in (15, 10, 5, 0)
 )
 
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a short ASCII text, bit by bit."""
+    steps = ", ".join(["-1"] * 8)
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda ch: [CAST(ascii(ch) AS BIGINT), {steps}]))"
+    return (
+        f"(4294967295 - list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {steps}), lambda c, x: "
+        "CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+    )
+
+
+def _merkle_sql(levels: int = 5) -> str:
+    """Trees of up to 16 ** levels leaves a source and as many sources; each level is one step of every tree."""
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    head = " || ".join(map(field, ("doc_id", "source", "lang", "n_chars")))
+    tampered = f"doc_id IS NOT NULL AND {_crc32('CAST(doc_id AS VARCHAR)')} % 5 = 0"
+    parts = [f"""leaves AS (
+          SELECT doc_id, source, sha256({head} || {field('text')}) AS leaf,
+                 CASE WHEN {tampered} THEN sha256({head} || {field(lower)}) END AS found
+          FROM documents),
+        a0 AS (SELECT dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g,
+                      row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+                      leaf AS node, doc_id, leaf, coalesce(found, leaf) AS h, '' AS proof FROM leaves)"""]
+
+    def tree(name: str) -> None:
+        """Nodes per level, then what stands before and after each in its run."""
+        for k in range(levels):
+            parts.append(f"""{name}n{k + 1} AS (
+              SELECT g, CASE WHEN n > 1 THEN i // 16 ELSE i END AS i,
+                     CASE WHEN n > 1 THEN sha256(string_agg(node, '' ORDER BY i)) ELSE min(node) END AS node
+              FROM (SELECT g, i, node, count(*) OVER (PARTITION BY g) AS n FROM {name}n{k})
+              GROUP BY g, n, CASE WHEN n > 1 THEN i // 16 ELSE i END),
+            {name}s{k} AS (
+              SELECT a.g, a.i, any_value(n) AS n,
+                     coalesce(string_agg(b.node, '' ORDER BY b.i) FILTER (WHERE b.i < a.i), '') AS before,
+                     coalesce(string_agg(b.node, '' ORDER BY b.i) FILTER (WHERE b.i > a.i), '') AS after
+              FROM {name}n{k} a JOIN {name}n{k} b ON a.g = b.g AND a.i // 16 = b.i // 16
+              JOIN (SELECT g, count(*) AS n FROM {name}n{k} GROUP BY g) c ON a.g = c.g GROUP BY a.g, a.i)""")
+
+    parts.append("xn0 AS (SELECT g, i, node FROM a0)")
+    tree("x")
+    parts.append(f"yn0 AS (SELECT 0 AS g, g AS i, node FROM xn{levels})")
+    tree("y")
+    # Folding: own place at each level, the siblings there, and what follows.
+    sql = "SELECT *, i AS spot, g AS up FROM a0"
+    for name in "xy":
+        for k in range(levels):
+            join = "s.g = f.g AND s.i = f.spot" if name == "x" else "s.i = f.up"
+            at = "spot" if name == "x" else "up"
+            step = f"CASE WHEN n > 1 THEN {at} // 16 ELSE {at} END AS {at}"
+            sql = f"""SELECT f.* REPLACE (
+                  CASE WHEN n > 1 THEN proof || before || after ELSE proof END AS proof,
+                  CASE WHEN n > 1 THEN sha256(before || h || after) ELSE h END AS h, {step})
+                FROM ({sql}) f JOIN {name}s{k} s ON {join}"""
+    return f"""WITH {", ".join(parts)}
+        SELECT doc_id, leaf, x.node AS subroot, y.node AS root, sha256(proof) AS proof_sha256, h AS folded_root, h = y.node AS verified
+        FROM ({sql}) f JOIN xn{levels} x ON x.g = f.g CROSS JOIN yn{levels} y"""
+
+
 SQL = {
+    "op12_merkle": _merkle_sql(),
     "op1_warc": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         best AS (SELECT h, max(page_id) AS first FROM p GROUP BY h)
