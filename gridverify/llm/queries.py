@@ -15,6 +15,7 @@ from gridverify.llm import (
     merkle,
     neighbours,
     pfair,
+    prefix_trie,
     quality,
     sharding,
     simhash,
@@ -97,6 +98,14 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations")).select(
+        F.col("rep").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), F.col("n").alias("n_convs"),
+        F.col("children").alias("n_children"), F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens"),
+        F.col("ends").alias("ends_sha256"),
+    )
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf and proof; of every fifth, by its hash, the text is tampered with."""
     docs = table(spark, sf_dir, "documents")
@@ -112,7 +121,7 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_warc, op2_decontamination, op3_quality, op4_simhash, op5_context_mixing, op6_pfair, op7_sharding,
-        op8_language, op9_main_text, op10_neighbours, op12_merkle,
+        op8_language, op9_main_text, op10_neighbours, op11_prefix_trie, op12_merkle,
     ]
     return {f.__name__: f for f in found}
 
@@ -183,7 +192,35 @@ def _merkle_sql(levels: int = 5) -> str:
         FROM ({sql}) f JOIN xn{levels} x ON x.g = f.g CROSS JOIN yn{levels} y"""
 
 
+_TRIE = rf"""
+        WITH t AS (
+          SELECT conv_id, sha256(strlen(r) || ':' || r || x) AS item, x,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(r) || ':' || r || x)) AS i
+          FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+        w AS (SELECT item, min(len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) AS words FROM t GROUP BY item),
+        own AS (SELECT conv_id, list(item ORDER BY i) AS l, {_crc32('CAST(conv_id AS VARCHAR)')} % 4 AS h FROM t GROUP BY conv_id),
+        re AS (
+          SELECT a.conv_id, list_concat(coalesce(list_slice(b.l, 1, a.h), []), list_slice(a.l, a.h + 1, len(a.l))) AS l
+          FROM own a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 20),
+        path AS (SELECT conv_id, len(l) AS size, d, list_slice(l, 1, d) AS p FROM (SELECT *, unnest(range(0, len(l) + 1)) AS d FROM re)),
+        node AS (
+          SELECT p, d, min(conv_id) AS c, count(*) AS n,
+                 coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = d), '') AS ends
+          FROM path GROUP BY p, d),
+        kids AS (SELECT list_slice(p, 1, d - 1) AS p, count(*) AS kids FROM node WHERE d > 0 GROUP BY 1),
+        valued AS (
+          SELECT p, d, c, n, ends, coalesce(kids, 0) AS kids, CASE WHEN d > 0 THEN (n - 1) * words ELSE 0 END AS own
+          FROM node LEFT JOIN kids USING (p) LEFT JOIN w ON item = p[d]),
+        below AS (
+          SELECT list_slice(p, 1, u) AS p, sum(own) AS saved, count(*) FILTER (WHERE kids = 0) AS leaves
+          FROM (SELECT *, unnest(range(0, d + 1)) AS u FROM valued) GROUP BY 1)
+        SELECT v.c AS conv_id, CAST(v.d AS BIGINT) AS depth, u.c AS parent_conv_id, v.n AS n_convs, CAST(v.kids AS BIGINT) AS n_children,
+               CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(v.ends) AS ends_sha256
+        FROM valued v JOIN below USING (p) LEFT JOIN node u ON v.d > 0 AND u.p = list_slice(v.p, 1, v.d - 1)"""
+
+
 SQL = {
+    "op11_prefix_trie": _TRIE,
     "op12_merkle": _merkle_sql(),
     "op1_warc": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
