@@ -13,6 +13,7 @@ from gridverify.llm import (
     html_extract,
     language,
     merkle,
+    minhash,
     neighbours,
     pfair,
     prefix_trie,
@@ -118,10 +119,14 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.clusters(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_warc, op2_decontamination, op3_quality, op4_simhash, op5_context_mixing, op6_pfair, op7_sharding,
-        op8_language, op9_main_text, op10_neighbours, op11_prefix_trie, op12_merkle,
+        op8_language, op9_main_text, op10_neighbours, op11_prefix_trie, op12_merkle, op13_minhash,
     ]
     return {f.__name__: f for f in found}
 
@@ -219,7 +224,29 @@ _TRIE = rf"""
         FROM valued v JOIN below USING (p) LEFT JOIN node u ON v.d > 0 AND u.p = list_slice(v.p, 1, v.d - 1)"""
 
 
+_NEAR = r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (
+          SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS x
+          FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM w WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        pairs AS (
+          SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(na.n) + any_value(nb.n) AS total
+          FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+          WHERE 100 * least(na.n, nb.n) >= 80 * greatest(na.n, nb.n) GROUP BY 1, 2),
+        links AS (SELECT a, b FROM pairs WHERE 100 * c >= 80 * (total - c)),
+        sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT a, b FROM sides UNION SELECT reach.a, sides.b FROM reach JOIN sides ON reach.b = sides.a),
+        low AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
+        SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id,
+               doc_id <= coalesce(low, doc_id) AS kept
+        FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN low ON a = doc_id"""
+
+
 SQL = {
+    "op13_minhash": _NEAR,
     "op11_prefix_trie": _TRIE,
     "op12_merkle": _merkle_sql(),
     "op1_warc": f"""
