@@ -1,19 +1,20 @@
 """MinHash near-duplicates with odd sketches: sets of word shingles with a Jaccard similarity of LEAST or more.
 
 Equal sets are one row first. Bands of minima propose pairs: BANDS bands of MINIMA minima
-miss a pair at the least similarity about once in ten million times. All minima of a set are also
+miss a pair at the least similarity once in some million times. All minima of a set are also
 folded into an odd sketch, a bitmap in which each sample flips one bit. The bits in which
 two sketches differ tell how many samples do, and pairs that differ in more than
 MOST_BITS are dropped; the rest are compared by their whole sets.
 
 Of a band with at most CROWD sets all pairs are proposed. In larger ones each set is paired
-with the band's leader and with its neighbours in the order of another band, and what that
-leaves apart goes an exact way: the sets of all bands whose members are not in one component
+with the band's smallest node, and what that leaves apart goes an exact way: the sets of all bands whose members are not in one component
 yet are joined by their rarest shingles. Two sets that are similar enough share one of the first
 ones in any fixed order, and its places in both sets bound their sizes (prefix and positional
 filters), so that what all texts of a template share proposes nothing. Lists of a shingle
-are cut into blocks, and pairs of blocks are compared in tasks of their own; sets that are in
-one component already are not compared again. So no link is lost to the size of a crowd.
+are cut into blocks, and pairs of blocks are compared in tasks of their own. At first a pair
+of blocks proposes the TRIED closest pairs of any two components; what they leave apart is
+joined again, and then all pairs of different components are proposed whose sketches allow it.
+So no link is lost to the size of a crowd.
 
 Edge cases: a text of fewer words than a shingle is one shingle; texts without words and nulls
 are linked with nothing and are components of their own; null ids are kept and never the smallest
@@ -34,12 +35,12 @@ from gridverify.llm.components import components
 
 #: Words of a shingle; least similarity in hundredths.
 WIDTH, LEAST = 2, 80
-BANDS, MINIMA, SKETCH_BITS = 40, 5, 1024
+BANDS, MINIMA, SKETCH_BITS = 28, 4, 512
 SAMPLES = BANDS * MINIMA
-#: Sets of a band that are all paired; leaders by which larger bands are linked; neighbours in another band's order.
-CROWD, LEADERS, NEAR = 16, 4, 2
-#: Slots in which the crowds' shingles are counted; entries of a block.
-SLOTS, BLOCK = 1 << 20, 512
+#: Sets of a band that are all paired; nodes that are broadcast to find their texts.
+CROWD, BROADCAST_NODES = 16, 1 << 21
+#: Slots in which the crowds' shingles are counted; entries of a block; pairs of two components that it proposes at first.
+SLOTS, BLOCK, TRIED = 1 << 20, 512, 2
 #: Standard deviations by which a sketch may be off before a pair is lost.
 SIGMAS = 5
 
@@ -153,25 +154,6 @@ def _alike(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["a", "b"])
 
 
-def _neighbours(batches):
-    """Rows (key, next, node, n), sorted: each row with the NEAR ones before it that have its key."""
-    tail = np.empty((3, 0), np.int64)
-    for batch in batches:
-        rows = np.stack([batch.column(i).to_numpy() for i in (0, 2, 3)])
-        rows = np.concatenate((tail, rows), axis=1)
-        known = tail.shape[1]
-        one, two = [], []
-        for lag in range(1, NEAR + 1):
-            at = np.arange(max(known, lag), rows.shape[1])
-            at = at[rows[0, at] == rows[0, at - lag]]
-            one.append(at)
-            two.append(at - lag)
-        one, two = rows[1:, np.concatenate(one)], rows[1:, np.concatenate(two)]
-        good = 100 * np.minimum(one[1], two[1]) >= LEAST * np.maximum(one[1], two[1])
-        tail = rows[:, -NEAR:]
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(one[0], two[0])[good]), pa.array(np.minimum(one[0], two[0])[good])], names=["a", "b"])
-
-
 def _sizes_fit(n: Column, m: Column) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * LEAST
 
@@ -210,26 +192,29 @@ def _entries(held):
     def entries(batches):
         counts = received(held)
         for batch in batches:
-            out = [[], [], [], [], []]
-            for node, root, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), buffers(batch.column(2))):
+            out, sketches = [[], [], [], [], []], []
+            for node, root, words, sketch in zip(*(c.to_pylist() for c in batch.columns)):
                 found = np.frombuffer(words, np.uint64)
                 first, largest = prefix(found, counts)
                 for column, value in zip(out, (first.view(np.int64), np.full(len(first), node), np.full(len(first), root), np.full(len(first), len(found)), largest)):
                     column.append(value.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*c, np.empty(0, np.int64)])) for c in out], names=["word", "node", "root", "n", "largest"])
+                sketches += [sketch] * len(first)
+            columns = [pa.array(np.concatenate([*c, np.empty(0, np.int64)])) for c in out]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sketches, pa.binary())], names=["word", "node", "root", "n", "largest", "sketch"])
 
     return entries
 
 
 def _cut_blocks(batches):
-    """Sorted rows (word, n, root, node, largest): blocks of a word's entries with the bounds of their sizes and roots."""
+    """Sorted rows (word, n, root, node, largest, sketch): blocks of a word's entries with the bounds of their sizes and roots."""
     word, held = None, []
 
     def made():
-        rows = np.array(held, np.int64)
+        rows = np.array([r[:4] for r in held], np.int64)
         n, root, _, largest = rows.T
         block = {"word": word, "id": int(rows[0, 2]), "low": int(n.min()), "high": int(n.max()), "largest": int(largest.max()), "rows": rows.tobytes()}
-        return pa.RecordBatch.from_pylist([block | {"root_low": int(root.min()), "root_high": int(root.max())}], schema=_BLOCK)
+        block |= {"root_low": int(root.min()), "root_high": int(root.max()), "sketches": b"".join(r[4] for r in held)}
+        return pa.RecordBatch.from_pylist([block], schema=_BLOCK)
 
     for batch in batches:
         for w, *row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -242,37 +227,57 @@ def _cut_blocks(batches):
         yield made()
 
 
-_BLOCK = pa.schema([(c, pa.int64()) for c in ("word", "id", "low", "high", "largest", "root_low", "root_high")] + [("rows", pa.binary())])
+_BLOCK = pa.schema([(c, pa.int64()) for c in ("word", "id", "low", "high", "largest", "root_low", "root_high")] + [("rows", pa.binary()), ("sketches", pa.binary())])
 
 
-def _compare_blocks(batches):
-    """Rows (same, rows of a, rows of b): pairs whose sizes fit and whose roots differ."""
-    for batch in batches:
-        found = []
-        for same, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-            a, b = (np.frombuffer(x, np.int64).reshape(-1, 4) for x in (a, b))
-            n, m = a[:, None, 0], b[None, :, 0]
-            good = (m <= a[:, None, 3]) & (n <= b[None, :, 3]) & (100 * np.minimum(n, m) >= LEAST * np.maximum(n, m))
-            good &= a[:, None, 1] != b[None, :, 1]
-            one, two = np.nonzero(np.triu(good, 1) if same else good)
-            found.append((a[one, 2], b[two, 2]))
-        one, two = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in (0, 1))
-        both = np.unique(np.stack((np.maximum(one, two), np.minimum(one, two))), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
-
-
-def crowd_pairs(crowd: DataFrame) -> DataFrame:
-    """Pairs (a, b) of (node, root, words) with different roots that may be alike: a superset of those that are."""
+def _compare_blocks(limit: int | None):
+    """Rows (same, rows and sketches of a, of b): pairs whose sizes fit, whose roots differ and whose sketches differ little.
+
+    With a limit, so many of any two roots, the closest by their sketches.
+    """
+
+    def compare(batches):
+        for batch in batches:
+            found = [np.empty((2, 0), np.int64)]
+            for same, a, a_bits, b, b_bits in zip(*(c.to_pylist() for c in batch.columns)):
+                a, b = (np.frombuffer(x, np.int64).reshape(-1, 4) for x in (a, b))
+                n, m = a[:, None, 0], b[None, :, 0]
+                good = (m <= a[:, None, 3]) & (n <= b[None, :, 3]) & (100 * np.minimum(n, m) >= LEAST * np.maximum(n, m))
+                good &= a[:, None, 1] != b[None, :, 1]
+                one, two = np.nonzero(np.triu(good, 1) if same else good)
+                x, y = (np.frombuffer(v, np.uint8).reshape(-1, SKETCH_BITS // 8) for v in (a_bits, b_bits))
+                bits = np.concatenate([differing_bits(x[one[i : i + 8192]], y[two[i : i + 8192]]) for i in range(0, len(one), 8192)] or [np.empty(0, np.int64)])
+                near = np.flatnonzero(bits <= MOST_BITS)
+                one, two, bits = one[near], two[near], bits[near]
+                if limit is not None and len(one):
+                    low, high = np.minimum(a[one, 1], b[two, 1]), np.maximum(a[one, 1], b[two, 1])
+                    order = np.lexsort((bits, high, low))
+                    low, high = low[order], high[order]
+                    new = np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+                    place = np.arange(len(order))
+                    order = order[place - np.maximum.accumulate(np.where(new, place, 0)) < limit]
+                    one, two = one[order], two[order]
+                found.append(np.stack((np.maximum(a[one, 2], b[two, 2]), np.minimum(a[one, 2], b[two, 2]))))
+            both = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+    return compare
+
+
+def crowd_pairs(crowd: DataFrame, limit: int | None = None) -> DataFrame:
+    """Pairs (a, b) of (node, root, words, sketch) with different roots that may be alike.
+
+    Without a limit all of them that are alike are there, but for what sketches lose.
+    """
     spark = crowd.sparkSession
     counted = crowd.select("words").mapInArrow(_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(SLOTS, np.int64)
     counts[counted["slot"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
     held = broadcast(spark, counts)
-    entries = crowd.select("node", "root", "words").mapInArrow(_entries(held), "word long, node long, root long, n long, largest long")
-    entries = staged(entries, "crowd-entries")
-    cut = entries.repartitionByRange("word", "n", "root", "node").sortWithinPartitions("word", "n", "root", "node")
-    cut = cut.select("word", "n", "root", "node", "largest")
-    kind = "word long, id long, low long, high long, largest long, root_low long, root_high long, rows binary"
+    entries = crowd.select("node", "root", "words", "sketch").mapInArrow(_entries(held), "word long, node long, root long, n long, largest long, sketch binary")
+    order = ["word", "n", "root", "node"]
+    cut = staged(entries, "crowd-entries").repartitionByRange(*order).sortWithinPartitions(*order).select(*order, "largest", "sketch")
+    kind = "word long, id long, low long, high long, largest long, root_low long, root_high long, rows binary, sketches binary"
     blocks = staged(cut.mapInArrow(_cut_blocks, kind), "crowd-blocks")
     a, b = blocks.alias("a"), blocks.alias("b")
     apart = (F.col("a.root_low") != F.col("b.root_high")) | (F.col("a.root_high") != F.col("b.root_low"))
@@ -280,8 +285,8 @@ def crowd_pairs(crowd: DataFrame) -> DataFrame:
     fits &= (F.col("a.high") * 100 >= F.col("b.low") * LEAST) & (F.col("b.high") * 100 >= F.col("a.low") * LEAST)
     ordered = F.struct("a.low", "a.id") <= F.struct("b.low", "b.id")
     both = a.join(b, F.col("a.word") == F.col("b.word")).where(apart & fits & ordered)
-    pairs = both.select((F.col("a.id") == F.col("b.id")).alias("same"), F.col("a.rows").alias("a"), F.col("b.rows").alias("b"))
-    return pairs.mapInArrow(_compare_blocks, "a long, b long")
+    pairs = both.select((F.col("a.id") == F.col("b.id")).alias("same"), "a.rows", "a.sketches", F.col("b.rows").alias("r"), F.col("b.sketches").alias("s"))
+    return pairs.mapInArrow(_compare_blocks(limit), "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -300,46 +305,48 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     distinct = same.agg(F.min("row").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     distinct = staged(distinct.withColumn("node", F.col("first.n")), "minhash-distinct")
 
-    # Pairs of small bands, and of each set of a larger one with its leader and its neighbours.
-    following = F.concat(F.slice("bands", 2, BANDS - 1), F.slice("bands", 1, 1))
-    dealt = distinct.select("node", "n", F.explode(F.arrays_zip(F.col("bands").alias("key"), following.alias("next"))).alias("x")).select("x.key", "x.next", "node", "n")
-    lead = F.min(F.struct(F.xxhash64("node", F.pmod("key", F.lit(LEADERS))).alias("draw"), "node", "n"))
-    sizes = staged(dealt.groupBy("key").agg(F.count("*").alias("size"), lead.alias("lead")).where("size > 1"), "minhash-sizes")
-    shared = dealt.join(sizes, "key")
-    other = F.col("lead.node")
-    star = shared.where((F.col("node") != other) & _sizes_fit(F.col("n"), F.col("lead.n"))).select(F.greatest("node", other).alias("a"), F.least("node", other).alias("b"))
+    # Pairs of small bands, and of each set of a larger one with its first. Bands of one set go at once.
+    dealt = distinct.select("node", "n", F.explode("bands").alias("key"))
+    sizes = dealt.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("lead")).where("size > 1")
+    shared = staged(dealt.join(sizes, "key"), "minhash-shared")
+    star = shared.where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
     lists = shared.where(f"size between 3 and {CROWD}").groupBy("key").agg(F.collect_list(F.struct("node", "n")).alias("x"))
     lists = lists.select(F.explode("x").alias("one"), "x")
     fit = F.filter("x", lambda y: (y["node"] < F.col("one.node")) & _sizes_fit(y["n"], F.col("one.n")))
     small = lists.select(F.col("one.node").alias("a"), F.explode(fit).alias("two")).select("a", F.col("two.node").alias("b"))
-    order = ["key", "next", "node"]
-    crowded = staged(shared.where(F.col("size") > CROWD).select(*order, "n"), "minhash-crowds")
-    near = crowded.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, "a long, b long")
-    proposed = star.union(small).union(near).distinct()
+    proposed = star.union(small).distinct()
 
     numbered = documents.select(F.monotonically_increasing_id().alias("node"), utf8(F.col(text_col)).alias("text"))
-    sketches = distinct.select("node", "sketch")
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        """The pairs that are alike, by their sketches and then by their sets."""
-        both = pairs.join(sketches.toDF("a", "one"), "a").join(sketches.toDF("b", "two"), "b")
-        close = staged(both.select("a", "b", "one", "two").mapInArrow(_close, "a long, b long"), "minhash-close")
-        ends = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = staged(numbered.join(ends, "node").mapInArrow(_sets(width), "node long, words binary"), "minhash-sets")
+    sketches = distinct.select("node", "n", "sketch")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """Sets of the texts with these nodes, a stored table; texts stay where they are if the nodes are few."""
+        few = nodes.count() <= BROADCAST_NODES
+        chosen = numbered.join(F.broadcast(nodes) if few else nodes, "node")
+        return staged(chosen.mapInArrow(_sets(width), "node long, words binary"), "minhash-sets")
+
+    def alike(close: DataFrame) -> DataFrame:
+        """The pairs whose sets are alike."""
+        sets = sets_of(staged(close.select("a").union(close.select("b")).distinct().toDF("node"), "minhash-ends"))
         both = close.join(sets.toDF("a", "one"), "a").join(sets.toDF("b", "two"), "b")
         return staged(both.select("a", "b", "one", "two").mapInArrow(_alike, "a long, b long"), "minhash-links")
 
-    links = checked(proposed)
+    both = proposed.join(sketches.toDF("a", "n", "one"), "a").join(sketches.toDF("b", "m", "two"), "b").where(_sizes_fit(F.col("n"), F.col("m")))
+    links = alike(staged(both.select("a", "b", "one", "two").mapInArrow(_close, "a long, b long"), "minhash-close"))
     linked = staged(components(links), "minhash-roots")
 
     # Crowds that are not one component yet, by their rarest shingles.
-    rooted = crowded.select("key", "node").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    crowd = staged(rooted.join(apart, "key", "left_semi").select("node", "root").distinct(), "minhash-apart")
-    if not crowd.isEmpty():
-        sets = numbered.join(crowd.select("node"), "node").mapInArrow(_sets(width), "node long, words binary")
-        more = checked(crowd_pairs(staged(sets.join(crowd, "node"), "minhash-crowd-sets")).distinct())
-        linked = staged(components(links.union(more)), "minhash-roots")
+    crowded = shared.where(F.col("size") > CROWD).select("key", "node")
+    for limit in (TRIED, None):
+        rooted = crowded.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        crowd = staged(rooted.join(apart, "key", "left_semi").select("node", "root").distinct(), "minhash-apart")
+        if crowd.isEmpty():
+            break
+        whole = sets_of(crowd.select("node")).join(crowd, "node").join(distinct.select("node", "sketch"), "node")
+        more = alike(staged(crowd_pairs(staged(whole, "minhash-crowd"), limit).distinct(), "minhash-close"))
+        links = staged(links.union(more), "minhash-links")
+        linked = staged(components(links), "minhash-roots")
 
     groups = distinct.select("d1", "d2", "first", "node").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = groups.groupBy("root").agg(F.min("first").alias("best"))
