@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridverify.llm.common import WORDS_ONLY, broadcast, buffers, received, small_batches, staged, utf8
+from gridverify.llm.common import WORDS_ONLY, broadcast, buffers, free_names, received, small_batches, staged, utf8
 
 #: Words of test items in one automaton, which is built on the driver, and in all automata
 #: that a task holds at once (about 60 bytes a word). A larger benchmark takes several passes.
 BLOCK_WORDS, PASS_WORDS = 100_000, 2_000_000
 #: The column that ``with_hits`` adds.
+#: Name of the column of hits; underscores are added to it where documents have such a column.
 HITS = "__hits"
 _SPAN = "array<struct<first:int,last:int>>"
 _SPAN_ARROW = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
@@ -186,7 +187,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _searcher(machines, place: int, before: bool, kept: list[int]):
+def _searcher(machines, name: str, place: int, before: bool, kept: list[int]):
     """Adds the hits of some automata; before: the last column holds those of earlier passes."""
 
     def search(batches):
@@ -206,7 +207,7 @@ def _searcher(machines, place: int, before: bool, kept: list[int]):
                 hits.append({"n_words": len(tokens), "n_hit": sum(b - a + 1 for a, b in spans), "spans": [{"first": a, "last": b} for a, b in spans], "items": sorted(items)})
             names = [batch.schema.names[k] for k in kept]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in kept), pa.array(hits, _HITS_ARROW)], names=[*names, HITS]
+                [*(batch.column(k) for k in kept), pa.array(hits, _HITS_ARROW)], names=[*names, name]
             )
 
     return search
@@ -236,14 +237,14 @@ def with_hits(
     spark = documents.sparkSession
     small_batches(spark)
     df, before, machines, size = documents, False, [], 0
-    place = documents.columns.index(text_col)
+    place, name = documents.columns.index(text_col), free_names(documents.columns, [HITS])[0]
 
     def search(df, last: bool):
         held = broadcast(spark, machines)
         kept = [i for i in range(len(documents.columns)) if not (last and drop_text and i == place)]
         fields = [documents.schema[i] for i in kept]
-        hits = T.StructField(HITS, T.DataType.fromDDL(_HITS_TYPE))
-        return df.mapInArrow(_searcher(held, place, before, kept), T.StructType([*fields, hits]))
+        hits = T.StructField(name, T.DataType.fromDDL(_HITS_TYPE))
+        return df.mapInArrow(_searcher(held, name, place, before, kept), T.StructType([*fields, hits]))
 
     for n, block in _blocks(benchmark, item_col, item_text_col):
         if machines and size + n > PASS_WORDS:
@@ -271,27 +272,29 @@ def cut_words(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 
 def remove_contamination(
     documents: DataFrame, benchmark: DataFrame, *, text_col: str = "text", width: int = 10,
-    max_span_words: int = 0, max_coverage: float = 0.0,
+    max_span_words: int | None = None, max_coverage: float | None = None,
 ) -> DataFrame:
     """The documents without contamination, with their own columns.
 
-    A document whose hit words are more than max_coverage of all its words goes;
-    from the others, spans of more than max_span_words hit words are cut. With the
-    defaults any window drops the document. Null and empty texts stay.
+    With either limit, spans of more than max_span_words hit words (0 by default) are cut
+    out, and a document goes if its hit words are more than max_coverage of all its words (1
+    by default, so that documents are only cut). Without limits any window drops the document.
+    Null and empty texts stay.
     """
     place, schema = documents.columns.index(text_col), documents.schema
-    hits = F.col(HITS)
-    kept = with_hits(documents, benchmark, text_col=text_col, width=width).where(
-        hits["n_hit"] <= max_coverage * hits["n_words"]
-    )
-    if not max_coverage:
-        return kept.drop(HITS)
+    name = free_names(documents.columns, [HITS])[0]
+    hits = F.col(name)
+    found = with_hits(documents, benchmark, text_col=text_col, width=width)
+    if max_span_words is None and max_coverage is None:
+        return found.where(hits["n_hit"] == 0).drop(name)
+    longest = max_span_words or 0
+    kept = found if max_coverage is None else found.where(hits["n_hit"] <= max_coverage * hits["n_words"])
 
     def cut(batches):
         for batch in batches:
             columns = list(batch.columns)
             spans = [
-                [(s["first"], s["last"]) for s in h["spans"] if s["last"] - s["first"] + 1 > max_span_words]
+                [(s["first"], s["last"]) for s in h["spans"] if s["last"] - s["first"] + 1 > longest]
                 for h in columns.pop().to_pylist()
             ]
             texts = columns[place].to_pylist()

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridverify.llm.common import small_batches, staged
+from gridverify.llm.common import free_names, small_batches, staged
 
 #: Winning paths of up to so many hosts are broadcast; beyond, pages meet them by a salted join.
 BROADCAST_HOSTS, SALTS = 50_000, 32
@@ -278,16 +278,20 @@ def host_paths(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
 
 
 def with_main_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", drop_html: bool = True) -> DataFrame:
-    """The pages with ``__text``, and without the html unless that is wanted."""
+    """The pages with ``__text``, and without the html unless that is wanted.
+
+    If a column is called so, underscores are added.
+    """
+    text_name, host_name, path_name, salt_name = free_names(pages.columns, ["__text", "__host", "__path", "__salt"])
     paths = staged(host_paths(pages, url_col=url_col, html_col=html_col), "host-paths")
-    rows = pages.withColumn("__host", host(F.col(url_col)))
+    rows = pages.withColumn(host_name, host(F.col(url_col)))
     if paths.count() <= BROADCAST_HOSTS:
-        joined = rows.join(F.broadcast(paths.toDF("__host", "__path")), "__host", "left")
+        joined = rows.join(F.broadcast(paths.toDF(host_name, path_name)), host_name, "left")
     else:
-        salts = paths.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
-        salted = rows.withColumn("__salt", F.pmod(F.xxhash64(url_col, F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
-        joined = salted.join(salts, ["__host", "__salt"], "left")
-    ordered = joined.select(*pages.columns, "__path")
+        salts = paths.select(F.col("host").alias(host_name), F.col("path").alias(path_name), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt_name))
+        salted = rows.withColumn(salt_name, F.pmod(F.xxhash64(url_col, F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+        joined = salted.join(salts, [host_name, salt_name], "left")
+    ordered = joined.select(*pages.columns, path_name)
     place = pages.columns.index(html_col)
     kept = [i for i in range(len(pages.columns)) if not (drop_html and i == place)]
 
@@ -296,8 +300,8 @@ def with_main_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "h
             texts = [Page(t or "").text(p) for t, p in zip(batch.column(place).to_pylist(), batch.columns[-1].to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in kept), pa.array(texts, pa.string())],
-                names=[*(batch.schema.names[i] for i in kept), "__text"],
+                names=[*(batch.schema.names[i] for i in kept), text_name],
             )
 
-    schema = T.StructType([*(pages.schema[i] for i in kept), T.StructField("__text", T.StringType())])
+    schema = T.StructType([*(pages.schema[i] for i in kept), T.StructField(text_name, T.StringType())])
     return ordered.mapInArrow(extract, schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridverify.llm.common import broadcast, received, small_batches
+from gridverify.llm.common import broadcast, free_names, received, small_batches, staged
 
 #: Length of the vectors; seed of the letters'.
 DIMENSIONS, SEED = 1024, 20
@@ -32,6 +32,11 @@ MAX_LANGUAGES = 5_000
 #: Trigram vectors that a task keeps.
 KEPT_VECTORS = 20_000
 UNKNOWN = "und"
+#: Names of the added columns; underscores are added to those that documents have.
+COLUMNS = ["__lang", "__score", "__trigrams"]
+#: A text belongs to its language if its cosine is this share of the cosine that all but LOWEST of the rightly found
+#: texts of its length reach. Lengths with fewer labelled texts than FEW, and untaught ones, have the limit NOISE.
+SHARE, LOWEST, FEW, NOISE = 0.2, 0.1, 50, 0.05
 
 
 class Letters:
@@ -154,12 +159,13 @@ def prototypes(training: DataFrame, *, text_col: str, lang_col: str, dimensions:
 
 
 def predict(texts: list, names: list[str], prototype: np.ndarray, letters: Letters, vectors: Vectors):
-    """Language and cosine, at least 0, of each text."""
+    """Language, cosine, at least 0, and number of trigrams of each text."""
     found = [letters.trigrams(t) for t in texts]
     langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    sizes = [int(n.sum()) for _, n in found]
     some = [i for i, (g, _) in enumerate(found) if len(g)]
     if not some or not names:
-        return langs, scores
+        return langs, scores, sizes
     grams = np.unique(np.concatenate([found[i][0] for i in some]))
     bundled = np.zeros((len(some), vectors.dimensions), np.float32)
     for start in range(0, len(grams), 4096):
@@ -174,14 +180,15 @@ def predict(texts: list, names: list[str], prototype: np.ndarray, letters: Lette
     best = cosine.argmax(axis=1)
     for k, i in enumerate(some):
         langs[i], scores[i] = names[best[k]], min(1.0, max(0.0, float(cosine[k, best[k]])))
-    return langs, scores
+    return langs, scores, sizes
 
 
 def with_language(
     documents: DataFrame, training: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     dimensions: int = DIMENSIONS,
 ) -> DataFrame:
-    """The documents with the columns ``__lang`` and ``__score``."""
+    """The documents with the columns ``__lang``, ``__score`` and ``__trigrams``, under free names."""
+    added = free_names(documents.columns, COLUMNS)
     spark = documents.sparkSession
     model = broadcast(spark, prototypes(training, text_col=text_col, lang_col=lang_col, dimensions=dimensions))
     place = documents.columns.index(text_col)
@@ -190,11 +197,31 @@ def with_language(
         names, prototype = received(model)
         letters, vectors = Letters(), Vectors(dimensions)
         for batch in batches:
-            langs, scores = predict(batch.column(place).to_pylist(), names, prototype, letters, vectors)
+            langs, scores, sizes = predict(batch.column(place).to_pylist(), names, prototype, letters, vectors)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                names=[*batch.schema.names, "__lang", "__score"],
+                [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())],
+                names=[*batch.schema.names, *added],
             )
 
-    schema = T.StructType([*documents.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
+    schema = T.StructType([*documents.schema.fields, *map(T.StructField, added, (T.StringType(), T.DoubleType(), T.LongType()))])
     return documents.mapInArrow(add, schema)
+
+
+def in_a_language(documents: DataFrame, *, text_col: str = "text", lang_col: str = "lang", dimensions: int = DIMENSIONS) -> DataFrame:
+    """The documents whose text is in one of the languages that its own labels teach, with their own columns.
+
+    How close a text should be depends on its number of trigrams, by powers of two: chance moves the
+    cosine of a short text more. The limits are learned from the texts whose label is the language
+    they were found in. Null texts and texts without letters go.
+    """
+    lang, score, size = free_names(documents.columns, COLUMNS)
+    found = staged(with_language(documents, documents, text_col=text_col, lang_col=lang_col, dimensions=dimensions), "language")
+    known = found.where(F.col(lang) != UNKNOWN)
+    length = F.floor(F.log2(F.col(size))).cast("int")
+    right = known.where(F.col(lang) == F.col(lang_col).cast("string")).groupBy(length.alias("length"))
+    limits = right.agg(F.count("*").alias("n"), F.percentile_approx(score, LOWEST, 10_000).alias("low")).collect()
+    limit = F.lit(NOISE)  # a row for each power of two
+    for row in limits:
+        if row.n >= FEW:
+            limit = F.when(length == row.length, F.lit(max(NOISE, SHARE * row.low))).otherwise(limit)
+    return known.where(F.col(score) >= limit).select(*documents.columns)

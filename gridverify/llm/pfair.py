@@ -86,13 +86,14 @@ def scheduled(
 ) -> DataFrame:
     """Columns ``row`` (the document), ``block``, ``release``, ``deadline``, ``slot``, ``place`` (in its block), ``in_mix``.
 
-    Within a source the rows go in a random order given by their ids. Rows of
-    sources without a weight have no slot.
+    Within a source the rows go in a random order given by their ids and their places in
+    the table, so that null and repeated ids are spread out like others; the table must read
+    the same each time. Rows of sources without a weight have no slot.
     """
     spark = documents.sparkSession
     rows = documents.select(
         source_key(F.col(source_col)).alias("__source"),
-        F.shiftrightunsigned(F.xxhash64(F.lit(7), F.col(id_col)), 11).alias("__at"),
+        F.shiftrightunsigned(F.xxhash64(F.lit(7), F.col(id_col), F.monotonically_increasing_id()), 11).alias("__at"),
         F.struct("*").alias("row"),
     )
     sizes = rows.groupBy("__source").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridverify.llm.common import broadcast, buffers, received, small_batches, utf8
+from gridverify.llm.common import broadcast, buffers, free_names, received, small_batches, utf8
 
 #: Rows of the embedding table; numbers in a row.
 BUCKETS, WIDTH = 1 << 14, 16
@@ -148,7 +148,11 @@ def hash_of(*parts: bytes) -> int:
 
 
 def with_quality(documents: DataFrame, model, *, text_col: str = "text") -> DataFrame:
-    """The columns of documents but the text, and ``__score``, the probability of label 1."""
+    """The columns of documents but the text, and ``__score``, the probability of label 1.
+
+    If a column is called so, underscores are added.
+    """
+    score_name, text_name = free_names(documents.columns, ["__score", "__text"])
     spark = documents.sparkSession
     small_batches(spark)
     held = broadcast(spark, model)
@@ -159,7 +163,7 @@ def with_quality(documents: DataFrame, model, *, text_col: str = "text") -> Data
         both = table @ layer  # average first or layer first: the same
         for batch in batches:
             p = _softmax(averaged(buffers(batch.columns[-1])) @ both + bias)[:, 1].astype(float)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.clip(p, 0, 1))], names=[*kept, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.clip(p, 0, 1))], names=[*kept, score_name])
 
-    schema = T.StructType([*(documents.schema[c] for c in kept), T.StructField("__score", T.DoubleType())])
-    return documents.select(*kept, utf8(F.col(text_col)).alias("__text")).mapInArrow(score, schema)
+    schema = T.StructType([*(documents.schema[c] for c in kept), T.StructField(score_name, T.DoubleType())])
+    return documents.select(*kept, utf8(F.col(text_col)).alias(text_name)).mapInArrow(score, schema)

@@ -4,13 +4,14 @@ Rows have a key, the hash of their text, and a size in bytes. A sample of keys,
 drawn with a chance proportional to size, gives quantile boundaries; rows are
 dealt to the ranges between them. A key that fills whole quantiles on its own is
 a range of its own. Ranges are measured exactly, those that hold too much are
-subdivided, by key or, where one key is too much for a shard, by id, and
+subdivided, by key or, where one key is too much for a shard, by row, and
 runs of neighbouring ranges become shards. Equal texts therefore stay in one
 shard unless they are more than a shard's part of all bytes.
 
 Edge cases: a null text has no bytes and is a text of its own; sizes are never 0,
-so a table of empty texts is shared out as well; repeated rows and ids are
-separate rows; an empty table gives no rows.
+so a table of empty texts is shared out as well; repeated rows and ids, null ones
+included, are separate rows, told apart by their places in the table, which must read the
+same each time; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ def _splitters(rows: DataFrame, total: int, ranges: int) -> tuple[np.ndarray, np
     wanted = ranges * SAMPLES
     # Drawn by a hash of key and id, so that a repeated task draws the same rows.
     chance = F.least(F.lit(1.0), F.col("size") * (wanted / max(1, total)))
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(11), "key", "id"), 11) / F.lit(float(1 << 53))
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(11), "key", "id", "at"), 11) / F.lit(float(1 << 53))
     sample = rows.where(draw < chance).select("key", (F.col("size") / chance).alias("weight"))
     found = sample.groupBy("key").agg(F.sum("weight").alias("weight")).toPandas().sort_values("key")
     keys, weight = found["key"].to_numpy(np.int64), found["weight"].to_numpy(float)
@@ -84,6 +85,7 @@ def sharded(
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("crc"),
         F.xxhash64(text.isNull(), text).alias("key"),
+        F.monotonically_increasing_id().alias("at"),
     )
     light = rows.drop("row", "crc")
     n, total = light.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -103,14 +105,14 @@ def sharded(
             found = np.where(heavy[place] == keys, len(bounds) + 1 + place, found)
         return pd.Series(found.astype(np.int32))
 
-    ranged = light.select("id", "size", "key", range_of("key").alias("range"))
+    ranged = light.select("id", "size", "key", "at", range_of("key").alias("range"))
     sums = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.min("key").alias("a"), F.max("key").alias("b")).collect()
     # Pieces of ranges that hold too much: of one key by id, of several by key.
     pieces = [(r.range, -(-r.bytes // fair) if r.bytes > 2 * fair else 1, r.a == r.b) for r in sums]
     cut = spark.createDataFrame(pieces, T.StructType().add("range", "integer").add("pieces", "long").add("single", "boolean"))
 
     def dealt(df):
-        by = F.when(F.col("single"), F.xxhash64(F.lit(13), "id")).otherwise(F.xxhash64(F.lit(13), "key"))
+        by = F.when(F.col("single"), F.xxhash64(F.lit(13), "id", "at")).otherwise(F.xxhash64(F.lit(13), "key"))
         named = df.withColumn("range", range_of("key")).join(F.broadcast(cut), "range")
         return named.withColumn("piece", F.pmod(by, F.col("pieces")).cast("int"))
 
@@ -120,7 +122,7 @@ def sharded(
     places = _assign(units, shards)
     known = T.StructType().add("range", "integer").add("piece", "integer").add("shard", "integer").add("before", "long")
     table = spark.createDataFrame(_rows(measured, places, whole), known)
-    inside = W.Window.partitionBy("range", "piece").orderBy("key", "id")
+    inside = W.Window.partitionBy("range", "piece").orderBy("key", "id", "at")
     return (
         dealt(rows).withColumn("number", F.row_number().over(inside) - 1)
         .join(F.broadcast(table), ["range", "piece"])

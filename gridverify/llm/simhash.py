@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridverify.llm.common import LOWER, buffers, small_batches, staged, utf8
+from gridverify.llm.common import LOWER, buffers, free_names, small_batches, staged, utf8
 from gridverify.llm.components import components
 
 PARTS, LIMIT_BITS = 4, 3
@@ -280,7 +280,8 @@ def clusters(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 def one_of_each(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with their own columns, of which no smaller id is in the same group."""
+    number = free_names(documents.columns, ["row"])[0]
     found = near_duplicates(documents, id_col=id_col, text_col=text_col)
-    first = found.where(F.col("row.n") == F.col("first.n")).select(F.col("row.n").alias("__row"))
-    numbered = documents.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.join(first, "__row", "left_semi").select(*documents.columns)
+    first = found.where(F.col("row.n") == F.col("first.n")).select(F.col("row.n").alias(number))
+    numbered = documents.withColumn(number, F.monotonically_increasing_id())
+    return numbered.join(first, number, "left_semi").select(*documents.columns)

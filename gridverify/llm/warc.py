@@ -32,6 +32,8 @@ RECORDS = "id long, url string, payload binary, payload_bytes long, payload_dige
 FILE_BYTES = 1 << 28
 #: Byte ranges with gaps up to this are read at once, up to RANGE_BYTES in all.
 GAP_BYTES, RANGE_BYTES = 1 << 16, 1 << 22
+#: Bytes of an archive file that one task reads at least.
+SLICE_BYTES = 1 << 24
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -193,8 +195,15 @@ def _reader(folder: str):
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """The records that the index rows name, by coalesced range reads in order of place."""
+    """The records that the index rows name, by coalesced range reads in order of place.
+
+    Files are cut into slices, and there is a task for about SLICE_BYTES of chosen records:
+    the index says little about the size of what it points to, so Spark must not merge tasks by that.
+    """
     small_batches(index.sparkSession)
     places = index.select("file", "offset", "length")
-    ordered = places.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    chosen = places.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = 1 + chosen // SLICE_BYTES
+    cut = places.repartition(tasks, "file", F.floor(F.col("offset") / SLICE_BYTES))
+    ordered = cut.sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(_reader(folder), RECORDS)

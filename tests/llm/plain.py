@@ -65,3 +65,39 @@ def groups(fingerprints, ids, bits=3):
         members.setdefault(top(k), []).append(i)
     smallest = {r: min((i for i in m if i is not None), default=None) for r, m in members.items()}
     return [smallest[top(k)] for k in range(len(ids))]
+
+
+def in_a_language(rows):
+    """The (id, text, lang) rows close enough to a language, with trigrams bundled one by one."""
+    from gridverify.llm import language
+
+    vectors, cached = language.Vectors(language.DIMENSIONS), {}
+
+    def trigrams(text):
+        letters = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+        padded = f" {' '.join(letters.split())} "
+        return [padded[i : i + 3] for i in range(len(padded) - 2)] if padded.strip() else []
+
+    def vector(gram):
+        if gram not in cached:
+            a, b, c = (vectors.letter(ord(x)).astype(float) for x in gram)
+            cached[gram] = np.roll(a, 2) * np.roll(b, 1) * c
+        return cached[gram]
+
+    bundles = [sum((vector(g) for g in trigrams(t)), np.zeros(language.DIMENSIONS)) for _, t, _ in rows]
+    sizes = [len(trigrams(t)) for _, t, _ in rows]
+    names = sorted({l for (_, _, l), n in zip(rows, sizes) if l is not None and n})
+    whole = np.array([sum(b for (_, _, l), b in zip(rows, bundles) if l == name) for name in names])
+    whole /= np.linalg.norm(whole, axis=1, keepdims=True)
+    cosine = [whole @ b / max(np.linalg.norm(b), 1e-9) if n else np.zeros(len(names)) for b, n in zip(bundles, sizes)]
+    length = [n.bit_length() - 1 for n in sizes]
+    by_length = {}
+    for (_, _, l), c, n, k in zip(rows, cosine, sizes, length):
+        if n and names[int(c.argmax())] == l:
+            by_length.setdefault(k, []).append(float(c.max()))
+    limit = {}
+    for k, found in by_length.items():
+        if len(found) >= language.FEW:
+            limit[k] = max(language.NOISE, language.SHARE * sorted(found)[int(np.ceil(language.LOWEST * len(found))) - 1])
+    return [r for r, c, n, k in zip(rows, cosine, sizes, length) if n and c.max() >= limit.get(k, language.NOISE)]
+

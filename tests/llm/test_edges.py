@@ -89,6 +89,10 @@ def test_contaminated_spans_are_cut(spark, benchmark):
     text = "Before it all came many clean words, and then: " + WORDS + " -- and after"
     df = spark.createDataFrame([(1, text, 7), (2, "clean", 8), (3, "Some words", 9), (4, None, 10)], "doc_id long, text string, spans int")
     kept = decontaminate.remove_contamination(df, benchmark, max_coverage=0.9)
+    rows = lambda found: sorted(map(tuple, found.collect()), key=str)
+    assert rows(decontaminate.remove_contamination(df, benchmark, max_span_words=11)) == rows(df)
+    only_cut = decontaminate.remove_contamination(df, benchmark, max_span_words=5)
+    assert rows(only_cut) == sorted([*rows(kept), (3, "Some words", 9)], key=str)
     assert sorted(map(tuple, kept.collect()), key=str) == [(1, "Before it all came many clean words, and then: alpha  -- and after", 7), (2, "clean", 8), (4, None, 10)]
     assert [r.doc_id for r in decontaminate.remove_contamination(df, benchmark).orderBy("doc_id").collect()] == [2, 4]
 
@@ -283,6 +287,61 @@ def test_kept_vectors_may_be_few(monkeypatch):
     assert many[0] == few[0] and np.allclose(many[1], few[1])
 
 
+def test_junk_is_in_no_language(spark):
+    """Random letters go, texts of one to five words stay."""
+    draw = np.random.default_rng(6)
+    train = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    junk = [(-1 - k, " ".join("".join(draw.choice(letters, n)) for n in draw.integers(2, 9, 200)), None if k % 5 else "en") for k in range(50)]
+    clean = [t.split() for (t,) in train.where("length(text) > 400").select("text").limit(60).collect()]
+    short = [(-100 - k, " ".join(w[5 : 6 + k % 5]), None) for k, w in enumerate(clean)]
+    kept = language.in_a_language(train.union(spark.createDataFrame([*junk, *short, (-500, None, "en"), (-501, "12 !", "en")], train.schema)))
+    ids = [r.doc_id for r in kept.select("doc_id").collect()]
+    assert kept.columns == train.columns
+    assert sum(-50 <= i < 0 for i in ids) <= 5 and sum(-500 < i <= -100 for i in ids) >= 57 and not {-500, -501} & set(ids)
+    assert sum(i >= 0 for i in ids) >= 0.99 * train.count()
+
+
+def test_clashing_names(spark, benchmark):
+    """Columns called like those that operators add come back as they were."""
+    names = "__row __fp __host __path __salt __text __lang __score __trigrams __hits __source __at".split()
+    df = spark.createDataFrame([(k, f"{WORDS} {k} " * (k + 1), "en", "http://h/", *[100 + k] * len(names)) for k in range(6)], "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} long" for n in names))
+    own = {tuple(r[n] for n in ("doc_id", *names)) for r in df.collect()}
+    made = [
+        simhash.one_of_each(df), language.in_a_language(df), pfair.mixed(df), decontaminate.remove_contamination(df, benchmark.where("item_id = 2")),
+        html_extract.with_main_text(df, url_col="source", html_col="text"), language.with_language(df, df), quality.with_quality(df, quality.train(df, df.selectExpr("doc_id", "cast(doc_id % 2 as int) AS quality"))),
+        sharding.sharded(df).select("row.*"),
+    ]
+    for found in made:
+        rows = {tuple(r[n] for n in ("doc_id", *names)) for r in found.collect()}
+        assert rows and rows <= own
+
+
+def test_repeated_rows_are_spread_out(spark):
+    """Equal rows, with equal or null ids, fill all shards evenly and no window alone."""
+    for doc_id in ("1", "null"):
+        df = spark.range(4000).selectExpr(f"cast({doc_id} as long) AS doc_id", "'the same text' AS text", "'s' AS source")
+        found = sharding.sharded(df).groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.max("slot").alias("last")).collect()
+        assert len(found) == 8 and all(450 <= r.n <= 550 and r.slots == r.n == r.last + 1 for r in found)
+        mix = pfair.scheduled(df)
+        assert mix.select("slot", "place").distinct().count() == 4000
+        buckets = df.select(F.shiftrightunsigned(F.xxhash64(F.lit(7), "doc_id", F.monotonically_increasing_id()), 53).alias("b")).groupBy("b").count()
+        assert buckets.agg(F.max("count")).first()[0] < 30
+
+
+def test_reading_tasks_follow_the_bytes(spark, tmp_path, monkeypatch):
+    """Few index rows may point to much: tasks are as many as slices of the chosen bytes."""
+    draw = np.random.default_rng(2)
+    pages = [(k, "u", draw.integers(33, 120, 20_000).astype(np.uint8).tobytes().decode()) for k in range(60)]
+    index, folder = warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), str(tmp_path / "w"))
+    monkeypatch.setattr(warc, "SLICE_BYTES", 1 << 16)
+    found = warc.read_records(index, folder)
+    total = index.agg(F.sum("length")).first()[0]
+    assert found.rdd.getNumPartitions() == 1 + total // (1 << 16) > 10
+    assert {r.id: bytes(r.payload).decode() for r in found.collect()} == {k: h for k, _, h in pages}
+    assert warc.read_records(index.where("id < 3"), folder).rdd.getNumPartitions() < 3
+
+
 PAGES = [
     ("<html><body><nav><p>menu menu menu menu</p></nav><div class='post 12'><h1>Title</h1><p>First &amp; long enough paragraph<p>Second&nbsp;one<br>here, <b>bold</b>er</div><div class=comments><p>I say so too, at some length</p></div><footer>f</footer>", "Title\nFirst & long enough paragraph\nSecond one here, bolder"),
     ("<div class='post 7'><p>Short</p></div><div class='other'><p>something much longer than the short post of this page</p></div>", "Short"),

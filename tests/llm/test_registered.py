@@ -9,10 +9,10 @@ import pytest
 
 import __spark_entry__ as entry_module
 from gridverify.llm import queries as registered
-from plain import contamination, fingerprint, groups, remainder
+from plain import contamination, fingerprint, groups, in_a_language, remainder
 
 SF_DIR = "/root/testdata/sf0.001"
-TABLES = "documents embeddings pages benchmark labels".split()
+TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +37,7 @@ def result(spark):
 
 def test_registered():
     names = entry_module.queries()
-    assert [n for n in range(1, 11) if not any(k.startswith(f"op{n}_") for k in names)] == []
+    assert [n for n in range(1, 14) if not any(k.startswith(f"op{n}_") for k in names)] == []
     assert names["pipeline"] is corpus_pipeline.run
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "mixing", "sharding"]
 
@@ -153,26 +153,16 @@ def test_neighbours_equal_plain(result, con):
 
 
 def test_pipeline_equals_plain(result, spark, con):
-    """Language, groups, benchmark and mix worked out one after the other on plain rows."""
-    from gridverify.llm import pfair
-
-    docs = con.execute("SELECT doc_id, text, source FROM documents ORDER BY doc_id").fetchall()
-    docs = [d for d in docs if re.search(r"[^\W\d_]", d[1] or "")]
+    """Language, groups and benchmark worked out one after the other on plain rows; mixing and sharding keep every row."""
+    docs = con.execute("SELECT doc_id, text, lang FROM documents ORDER BY doc_id").fetchall()
+    docs = in_a_language(docs)
     first = groups([fingerprint(t) for _, t, _ in docs], [d for d, _, _ in docs])
     docs = [d for d, f in zip(docs, first) if d[0] == f]
     dirty = contamination([d[:2] for d in docs], con.execute("SELECT item_id, text FROM benchmark").fetchall())
     docs = [d for d, x in zip(docs, dirty) if not x[4]]
-    n = {}
-    for _, _, s in docs:
-        n[s] = n.get(s, 0) + 1
-    quota = pfair.quotas({s: c**pfair.POWER for s, c in n.items()})
-    plan = pfair.schedule(quota)
-    left, taken, slot = {s: -(-c // pfair.BLOCK_ROWS) for s, c in n.items()}, {s: 0 for s in n}, 0
-    while left[s := plan[slot % len(plan)][0]]:
-        left[s], taken[s], slot = left[s] - 1, taken[s] + 1, slot + 1
-    expected = {s: min(n[s], taken[s] * pfair.BLOCK_ROWS) for s in n}
     rows = result("pipeline")
-    assert {r["doc_id"] for r in rows} <= {d for d, _, _ in docs}
-    found = {s: sum(r["source"] == s for r in rows) for s in n}
-    assert found == expected
+    assert sorted(r["doc_id"] for r in rows) == sorted(d for d, _, _ in docs)
+    sizes = [sum(r["shard_bytes"] for r in rows if r["shard"] == s) for s in range(8)]
+    assert sum(sizes) == sum(len(t.encode()) + 1 for _, t, _ in docs) and max(sizes) < 1.2 * min(sizes)
+    assert all(sorted(r["shard_slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows))) for s in range(8))
     assert {r["shard"] for r in rows} == set(range(8))

@@ -1,55 +1,10 @@
 """Operators and stages do the whole job: nothing is lost, nothing is left in."""
 
 import corpus_pipeline
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridverify.llm import html_extract, near_copies, pfair
-
-
-def kept_by_plain(texts):
-    """Positions of the texts that no earlier one is linked to, from all pairs' five-word shingles."""
-    words = [t.lower().split() for t in texts]
-    sets = [{" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
-    parent = list(range(len(texts)))
-
-    def top(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
-            if a == b or len(a & b) >= 0.8 * len(a | b):
-                one, two = sorted((top(i), top(j)))
-                parent[two] = one
-    return [i for i in range(len(texts)) if top(i) == i]
-
-
-@pytest.mark.parametrize(("crowd", "rows"), [(32, 1 << 16), (4, 7)])
-def test_near_copies_equal_plain(spark, monkeypatch, crowd, rows):
-    """Copies with one word in 40 to 200 changed, a hot one, unlike texts with a common start, short and blank ones."""
-    monkeypatch.setattr(near_copies, "CROWD", crowd)
-    monkeypatch.setattr(near_copies, "PAIRED_ROWS", rows)
-    draw = np.random.default_rng(8)
-    word = lambda n: [f"w{k}" for k in draw.integers(0, 3000, n)]
-    texts = ["", " \n", "One two", "one  two", "one two three four five", "one two three four five six"]
-    for k in range(25):
-        source = word(200)
-        for changes in (0, 1, 2, 4, 8):
-            copy = list(source)
-            for at in draw.integers(0, 200, changes if k else 1):
-                copy[at] = "changed"
-            texts += [" ".join(copy)] * (1 if k else 12)
-    start = word(60)
-    texts += [" ".join([*start, *word(60)]) for _ in range(40)]
-    hot = word(300)
-    for at in draw.integers(0, 300, 60):
-        texts.append(" ".join([*hot[:at], f"x{at}", *hot[at:]]))
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
-    assert found == kept_by_plain(texts)
+from gridverify.llm import html_extract, pfair
 
 
 def test_pipeline_mix_keeps_every_document(spark):
