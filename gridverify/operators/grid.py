@@ -346,7 +346,11 @@ def regrid(
     method: str = "nearest",
     value: str = "value",
 ) -> DataFrame:
-    """Bring data from one grid to another."""
+    """Bring data from one grid to another: nearest, linear, cubic (spline with not-a-knot ends) or pchip (monotone)."""
+    if method in ("cubic", "pchip"):
+        from gridverify.operators import splines
+
+        return splines.regrid_spline(df, *splines.spline_maps(source_cells, target_cells, method), method, value=value)
     maps = axis_maps(source_cells, target_cells, method)
     if method == "nearest":
         return regrid_nearest(df, *maps, value=value)

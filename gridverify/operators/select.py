@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridverify.operators.grid import GridSize, hinted, measure
-from gridverify.schema import CELL, require, value_columns
+from gridverify.schema import CELL, require, required, value_columns
 
 
 # --- space -----------------------------------------------------------------
@@ -168,8 +168,9 @@ def select_members(
 ) -> DataFrame:
     """Keep the given members; no ids keeps all of them.
 
-    With ``check`` the query fails if an id does not occur, also where no row is
-    kept or the result is aggregated. That costs one scan of the member column
+    With ``check`` the query fails if an id does not occur, whatever is done with the
+    result: a scalar subquery is worked out before the rows are read, and no later
+    filter, join or projection removes it. That costs one scan of the member column
     alone; a table partitioned by member does not need it. Select in time and
     space first, as the check scans the table it is given.
     """
@@ -183,13 +184,7 @@ def select_members(
         return kept
     message = f"not every member of {wanted} occurs in the data"
     found = df.agg(F.count_distinct(F.when(chosen, F.col(member))).alias("n"))
-    # A part without rows, which fails when it is read.
-    checked = found.where(
-        F.when(F.col("n") == len(wanted), F.lit(False)).otherwise(F.raise_error(message).cast("boolean"))
-    )
-    return kept.unionByName(
-        checked.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema])
-    )
+    return required(kept, found.select(F.col("n") == len(wanted)), message)
 
 
 # --- weather type ----------------------------------------------------------

@@ -123,6 +123,106 @@ def linear_map(name: str, axis: str, coordinate: str) -> str:
   JOIN {name}_s a ON a.c = coalesce(n.lo, n.hi) JOIN {name}_s b ON b.c = coalesce(n.hi, n.lo))"""
 
 
+def knots(name: str, axis: str, coordinate: str) -> str:
+    """Source coordinates in order, and the two around each target coordinate."""
+    return f"""{name}_s AS (
+  SELECT i, c, row_number() OVER (ORDER BY c) AS k, count(*) OVER () AS n
+  FROM (SELECT DISTINCT {axis} AS i, {coordinate} AS c FROM cells)),
+{name}_t AS (
+  SELECT t.i, t.c, max(s.k) FILTER (s.c < t.c) AS lo, min(s.k) FILTER (s.c >= t.c) AS hi, min(s.c) FILTER (s.c >= t.c) AS hi_c, any_value(n) AS n
+  FROM (SELECT DISTINCT {axis} AS i, {coordinate} AS c FROM fine) t CROSS JOIN {name}_s s GROUP BY t.i, t.c)"""
+
+
+def cubic_pass(name: str, source: str, key: str, axis: str, coordinate: str) -> str:
+    """Cubic splines with not-a-knot ends along one axis: a plain elimination of each line's second derivatives.
+
+    Of fewer than four coordinates, the polynomial through them. Every line has all its cells.
+    """
+    return f"""{knots(name, axis, coordinate)},
+{name}_y AS (SELECT a.{key} AS line, k, c, n, value AS y FROM {source} a JOIN {name}_s s ON a.{axis} = s.i),
+{name}_h AS (
+  SELECT *, c - lag(c) OVER w AS hp, lead(c) OVER w - c AS hn, lag(y) OVER w AS yp, lead(y) OVER w AS yn
+  FROM {name}_y WINDOW w AS (PARTITION BY line ORDER BY k)),
+{name}_r AS (
+  SELECT line, k, n, 6 * ((yn - y) / hn - (y - yp) / hp) AS g,
+         2 * (hp + hn) + CASE WHEN k = 2 THEN hp + hp * hp / hn WHEN k = n - 1 THEN hn + hn * hn / hp ELSE 0 END AS d,
+         hn - CASE WHEN k = 2 THEN hp * hp / hn ELSE 0 END AS u, hp - CASE WHEN k = n - 1 THEN hn * hn / hp ELSE 0 END AS l
+  FROM {name}_h WHERE k > 1 AND k < n AND n > 3),
+{name}_f AS (
+  SELECT line, k, n, u / d AS p, g / d AS q FROM {name}_r WHERE k = 2
+  UNION ALL
+  SELECT r.line, r.k, r.n, r.u / (r.d - r.l * f.p), (r.g - r.l * f.q) / (r.d - r.l * f.p)
+  FROM {name}_f f JOIN {name}_r r ON r.line = f.line AND r.k = f.k + 1),
+{name}_b AS (
+  SELECT line, k, q AS m FROM {name}_f WHERE k = n - 1
+  UNION ALL
+  SELECT f.line, f.k, f.q - f.p * b.m FROM {name}_b b JOIN {name}_f f ON f.line = b.line AND f.k = b.k - 1),
+{name}_m AS (
+  SELECT line, k, m FROM {name}_b
+  UNION ALL
+  SELECT a.line, 1, a.m + h.hp / h.hn * (a.m - b.m)
+  FROM {name}_b a JOIN {name}_b b ON a.line = b.line AND a.k = 2 AND b.k = 3 JOIN {name}_h h ON h.line = a.line AND h.k = 2
+  UNION ALL
+  SELECT a.line, h.n, a.m + h.hn / h.hp * (a.m - b.m)
+  FROM {name}_h h JOIN {name}_b a ON h.line = a.line AND a.k = h.k JOIN {name}_b b ON b.line = a.line AND b.k = h.k - 1
+  WHERE h.k = h.n - 1 AND h.n > 3),
+{name}_w AS (
+  SELECT t.i, j.k, coalesce(product((t.c - o.c) / (j.c - o.c)), 1) AS w
+  FROM {name}_t t CROSS JOIN {name}_s j LEFT JOIN {name}_s o ON o.k <> j.k WHERE t.n < 4 GROUP BY t.i, j.k),
+{name}_p AS (SELECT w.i, y.line, sum(w.w * y.y) AS value FROM {name}_w w JOIN {name}_y y USING (k) GROUP BY ALL),
+{name} AS (
+  SELECT x.line AS {key}, t.i AS {axis}, CASE
+    WHEN t.hi IS NULL OR (t.lo IS NULL AND t.hi_c <> t.c) THEN NULL
+    WHEN t.hi_c = t.c THEN b.y
+    WHEN t.n < 4 THEN p.value
+    ELSE ((b.c - t.c) * a.y + (t.c - a.c) * b.y) / (b.c - a.c)
+       + (power((b.c - t.c) / (b.c - a.c), 3) - (b.c - t.c) / (b.c - a.c)) * power(b.c - a.c, 2) / 6 * ma.m
+       + (power((t.c - a.c) / (b.c - a.c), 3) - (t.c - a.c) / (b.c - a.c)) * power(b.c - a.c, 2) / 6 * mb.m END AS value
+  FROM {name}_t t CROSS JOIN (SELECT DISTINCT line FROM {name}_y) x
+  LEFT JOIN {name}_y a ON a.line = x.line AND a.k = t.lo LEFT JOIN {name}_y b ON b.line = x.line AND b.k = t.hi
+  LEFT JOIN {name}_m ma ON ma.line = x.line AND ma.k = t.lo LEFT JOIN {name}_m mb ON mb.line = x.line AND mb.k = t.hi
+  LEFT JOIN {name}_p p ON p.line = x.line AND p.i = t.i)"""
+
+
+def pchip_pass(name: str, source: str, keys: str, axis: str, coordinate: str) -> str:
+    """Monotone cubic along one axis: a slope at every source value, then Hermite's form between two of them."""
+    by = [k.strip() for k in keys.split(",")]
+    same = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in by)
+    at = lambda alias, k: f"LEFT JOIN {name}_y {alias} ON {same(alias, 'v')} AND {alias}.k = {k}"
+    slope = lambda a, b: f"(({b}.y - {a}.y) / ({b}.c - {a}.c))"
+
+    def end(a: str, b: str, c: str) -> str:
+        near, far = slope(a, b), slope(b, c)
+        h, g = f"abs({b}.c - {a}.c)", f"abs({c}.c - {b}.c)"
+        d = f"(((2 * {h} + {g}) * {near} - {h} * {far}) / ({h} + {g}))"
+        return f"""CASE WHEN sign({d}) <> sign({near}) THEN 0 WHEN sign({near}) <> sign({far}) AND abs({d}) > 3 * abs({near})
+           THEN 3 * {near} ELSE {d} END"""
+
+    before, after = slope("p", "v"), slope("v", "q")
+    h, g = "(v.c - p.c)", "(q.c - v.c)"
+    inner = f"""CASE WHEN {before} * {after} <= 0 THEN 0
+           ELSE 3 * ({h} + {g}) / ((2 * {g} + {h}) / {before} + ({g} + 2 * {h}) / {after}) END"""
+    cols = ", ".join(f"v.{k}" for k in by)
+    return f"""{knots(name, axis, coordinate)},
+{name}_y AS (SELECT {', '.join(f'a.{k}' for k in by)}, k, c, n, value AS y FROM {source} a JOIN {name}_s s ON a.{axis} = s.i),
+{name}_d AS (
+  SELECT {cols}, v.k, v.c, v.y, CASE
+      WHEN v.n = 2 AND v.k = 1 THEN {after} WHEN v.n = 2 THEN {before}
+      WHEN v.k = 1 THEN {end('v', 'q', 'qq')} WHEN v.k = v.n THEN {end('v', 'p', 'pp')} ELSE {inner} END AS d
+  FROM {name}_y v {at('p', 'v.k - 1')} {at('q', 'v.k + 1')} {at('pp', 'v.k - 2')} {at('qq', 'v.k + 2')}),
+{name}_e AS (
+  SELECT DISTINCT {cols}, t.i, t.c, t.lo, t.hi, t.hi_c
+  FROM {name}_y v JOIN {name}_t t ON CASE WHEN t.hi_c = t.c THEN v.k = t.hi
+    WHEN t.lo IS NULL OR t.hi IS NULL THEN v.k = coalesce(t.lo, t.hi) ELSE v.k BETWEEN t.lo - 1 AND t.hi + 1 END),
+{name} AS (
+  SELECT {cols}, v.i AS {axis}, CASE
+    WHEN v.hi_c = v.c THEN b.y
+    WHEN v.lo IS NOT NULL AND v.hi IS NOT NULL THEN
+      a.y + (v.c - a.c) * (a.d + (v.c - a.c) / (b.c - a.c) * (3 * {slope('a', 'b')} - 2 * a.d - b.d
+        + (v.c - a.c) / (b.c - a.c) * (a.d + b.d - 2 * {slope('a', 'b')}))) END AS value
+  FROM {name}_e v LEFT JOIN {name}_d a ON {same('a', 'v')} AND a.k = v.lo LEFT JOIN {name}_d b ON {same('b', 'v')} AND b.k = v.hi)"""
+
+
 def histogram(values: str, by: str, bins: int) -> str:
     keys = f"{by}, " if by else ""
     match = " AND ".join(
@@ -262,13 +362,12 @@ FROM m GROUP BY ALL"""
 SELECT 'total_' || strftime(time, '%Y%m%d') || '_' || member || '.parquet' AS file_name, member,
        count(*) AS n_rows FROM m GROUP BY ALL"""
     sql["merge_by_coords"] = f"""WITH {M},
-q AS (SELECT {DAY} AS time, member, iy, ix, sum(value) AS value FROM m
-  WHERE member <= '04' GROUP BY ALL),
+q AS (SELECT {DAY} AS time, member, iy, ix, sum(value) AS value FROM m GROUP BY ALL),
 d AS (
-  SELECT CAST(l_shipdate AS DATE) AS time, lpad(CAST(l_linenumber AS VARCHAR), 2, '0') AS member,
+  SELECT CAST(l_shipdate + INTERVAL 7 DAY AS DATE) AS time, lpad(CAST(l_linenumber AS VARCHAR), 2, '0') AS member,
          CAST(l_suppkey // 10 AS INT) AS iy, CAST(l_suppkey % 10 AS INT) AS ix,
          avg(l_discount) AS discount
-  FROM lineitem WHERE l_linenumber >= 3 GROUP BY ALL)
+  FROM lineitem GROUP BY ALL)
 SELECT {text('time')}, member, iy, ix, {r('value', 'value')}, {r('discount', 'discount')}
 FROM q FULL JOIN d USING (time, member, iy, ix)"""
     sql["repeated_labels"] = f"""WITH {M}
@@ -323,6 +422,16 @@ SELECT yl.t AS iy, xl.t AS ix, {r('''CASE WHEN yl.inside AND xl.inside THEN
 FROM yl CROSS JOIN xl
 JOIN a a00 ON a00.iy = yl.lo AND a00.ix = xl.lo JOIN a a01 ON a01.iy = yl.lo AND a01.ix = xl.hi
 JOIN a a10 ON a10.iy = yl.hi AND a10.ix = xl.lo JOIN a a11 ON a11.iy = yl.hi AND a11.ix = xl.hi"""
+    sql["regrid_cubic"] = f"""WITH RECURSIVE {M}, {cells()}, {FINE},
+a AS (SELECT iy, ix, avg(value) AS value FROM m GROUP BY ALL),
+{cubic_pass('cx', 'a', 'iy', 'ix', 'lon')},
+{cubic_pass('cy', 'cx', 'ix', 'iy', 'lat')}
+SELECT iy, ix, {r('value', 'value')} FROM cy"""
+    sql["regrid_pchip"] = f"""WITH {M}, {cells()}, {FINE},
+a AS (SELECT iy, ix, avg(value) AS value FROM m GROUP BY ALL),
+{pchip_pass('px', 'a', 'iy', 'ix', 'lon')},
+{pchip_pass('py', 'px', 'ix', 'iy', 'lat')}
+SELECT iy, ix, {r('value', 'value')} FROM py"""
     sql["regrid_terrain"] = f"""WITH {DEM}, {cells()}, {FINE},
 {both_maps('cells', 'fine')}
 SELECT t_iy AS iy, t_ix AS ix, CASE WHEN in_iy AND in_ix THEN altitude END AS altitude

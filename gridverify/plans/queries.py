@@ -254,17 +254,15 @@ def member_from_name(spark, sf_dir):
 
 @_query
 def merge_by_coords(spark, sf_dir):
-    """Daily quantity and discount of some members each, which share some coordinates."""
-    quantity = temporal.aggregate_time(
-        roles.everything(spark, sf_dir).where("member <= '04'"), "daily"
-    )
+    """Daily quantity by ship date and mean discount by receipt, a week later, which share some coordinates."""
+    quantity = temporal.aggregate_time(roles.everything(spark, sf_dir), "daily")
     lines = roles.table(spark, sf_dir, "lineitem").select(
-        F.col("l_shipdate").alias("time"),
+        (F.col("l_shipdate") + F.expr("INTERVAL 7 DAYS")).alias("time"),
         F.lpad(F.col("l_linenumber").cast("string"), 2, "0").alias("member"),
         *roles.cell_index("l_suppkey"),
         F.col("l_discount").alias("value"),
     )
-    discount = temporal.aggregate_time(lines.where("member >= '03'"), "daily", method="mean")
+    discount = temporal.aggregate_time(lines, "daily", method="mean")
     return readers.merge_by_coords([quantity, discount.withColumnRenamed("value", "discount")])
 
 
@@ -355,6 +353,22 @@ def regrid_bilinear(spark, sf_dir):
     )
 
 
+@_query
+def regrid_cubic(spark, sf_dir):
+    mean = maps.time_map(roles.everything(spark, sf_dir).drop("member"), "mean")
+    return grid.regrid(
+        mean, roles.cells(spark, sf_dir), roles.fine_cells(spark, sf_dir), method="cubic"
+    )
+
+
+@_query
+def regrid_pchip(spark, sf_dir):
+    mean = maps.time_map(roles.everything(spark, sf_dir).drop("member"), "mean")
+    return grid.regrid(
+        mean, roles.cells(spark, sf_dir), roles.fine_cells(spark, sf_dir), method="pchip"
+    )
+
+
 @_query
 def regrid_terrain(spark, sf_dir):
     located = roles.terrain(spark, sf_dir).join(roles.cells(spark, sf_dir), ["iy", "ix"])

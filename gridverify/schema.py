@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CELL = ("iy", "ix")
@@ -58,6 +59,16 @@ def require(df: DataFrame, *names: str, error: type[Exception] = ValueError) ->
         raise error(f"columns {missing} not found; available: {df.columns}")
 
 
+def required(df: DataFrame, holds: DataFrame, message: str) -> DataFrame:
+    """The rows of ``df``, in a query that fails if ``holds``, one boolean in one row, is not true.
+
+    ``holds`` becomes a scalar subquery, which runs before any row of ``df`` is read
+    and which the optimizer cannot prune with columns, rows or branches.
+    """
+    ok = F.when(F.col("holds"), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    return df.where(holds.toDF("holds").select(ok).scalar())
+
+
 def present(df: DataFrame, names: Iterable[str]) -> list[str]:
     """The given names that are columns of ``df``, in the given order."""
     return [n for n in names if n in df.columns]

@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridverify.functions.names import member_id
+from gridverify.functions.names import MEMBER_PATTERN, member_id
 from gridverify.functions.values import clean
 from gridverify.operators.grid import rectilinear
 from gridverify.operators.select import subset_box
-from gridverify.schema import dimension_columns, require
+from gridverify.schema import dimension_columns, require, required
 
 
 def read_grid(
@@ -51,13 +51,16 @@ def read_ensemble(
 ) -> DataFrame:
     """Read ensemble files and add the member named by each file.
 
-    Tables that hold a ``member`` column, such as those partitioned by it,
-    keep theirs.
+    A file with rows and without a member in its name fails every query, also one that
+    doesn't read the member; that costs a scan of the files' names. Tables that hold
+    a ``member`` column, such as those partitioned by it, keep theirs.
     """
     df = read_grid(spark, paths, schema=schema, format=format, **options)
     if "member" in df.columns:
         return df
-    return df.withColumn("member", member_id("_metadata.file_name"))
+    unnamed = F.regexp_extract("_metadata.file_name", MEMBER_PATTERN, 1) == ""
+    named = df.select(unnamed.alias("unnamed")).agg(F.count_if("unnamed") == 0)
+    return required(df.withColumn("member", member_id("_metadata.file_name")), named, "no member id in file name")
 
 
 def merge_by_coords(
@@ -66,8 +69,9 @@ def merge_by_coords(
     """Merge blocks of rows by their coordinates: one row per label, with all variables.
 
     A variable that no block has at a label is NULL there. A duplicate is a label
-    at which a variable has two values that are not missing: the query fails, or
-    takes the larger one without ``check_duplicates``.
+    at which a variable has two values that are not missing: the query fails, also
+    one that reads no variable, or takes the larger one without ``check_duplicates``.
+    Of a selection by coordinates only the selected labels are checked.
     """
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     keys = dimension_columns(stacked)
@@ -76,13 +80,19 @@ def merge_by_coords(
     def one(name: str) -> Column:
         kind = stacked.schema[name].dataType
         value = clean(name) if isinstance(kind, (T.FloatType, T.DoubleType)) else F.col(name)
-        largest = F.max(value)
-        if not check_duplicates:
-            return largest.alias(name)
-        twice = F.raise_error(f"two values of {name} carry the same coordinates")
-        return F.when(F.count(value) > 1, twice.cast(kind)).otherwise(largest).alias(name)
-
-    return stacked.groupBy(*keys).agg(*[one(v) for v in values])
+        return value
+
+    largest = [F.max(one(v)).alias(v) for v in values]
+    if not check_duplicates:
+        return stacked.groupBy(*keys).agg(*largest)
+    counts = {f"{v} at one label": F.count(one(v)) for v in values}
+    merged = stacked.groupBy(*keys).agg(*largest, *[n.alias(c) for c, n in counts.items()])
+    # A filter, which no projection prunes.
+    once = F.lit(True)
+    for v, c in zip(values, counts):
+        twice = F.raise_error(f"two values of {v} carry the same coordinates").cast("boolean")
+        once = once & F.when(F.col(f"`{c}`") > 1, twice).otherwise(F.lit(True))
+    return merged.where(once).drop(*counts)
 
 
 def duplicate_labels(df: DataFrame) -> DataFrame:

@@ -7,10 +7,16 @@ from pathlib import Path
 import compare
 import frames
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 
-from gridverify.operators import select
+from gridverify.operators import masks, select
 from gridverify.operators.temporal import aggregate_time
+from gridverify.plans import roles, verification
+
+SF_DIR = "/root/testdata/sf0.001"
+# A subquery's error reaches Python without a class of its own.
+FAILS = (PySparkException, Py4JJavaError)
 
 
 @pytest.mark.parametrize(
@@ -94,20 +100,54 @@ def test_members(spark):
     assert ids(select.select_members(df, None)) == ["00", "01", "09"]
     assert ids(select.select_members(df, [])) == ["00", "01", "09"]
     assert ids(select.select_members(df, ["00", "77"], check=False)) == ["00"]
-    with pytest.raises(PySparkException, match="77"):
+    with pytest.raises(FAILS, match="not every member of .*77"):
         select.select_members(df, ["00", "77"]).collect()
-    with pytest.raises(PySparkException, match="77"):
+    with pytest.raises(FAILS, match="not every member of .*77"):
         select.select_members(df, ["77"]).collect()
     for ids in (["77"], ["00", "77"]):
-        with pytest.raises(PySparkException, match="77"):
+        with pytest.raises(FAILS, match="not every member of .*77"):
             aggregate_time(select.select_members(df, ids), "daily").collect()
 
 
+UNKNOWN = [["77"], ["02", "77"]]
+
+
+@pytest.mark.parametrize("ids", UNKNOWN)
+def test_unknown_member_fails_whatever_follows(spark, ids):
+    """No filter, join, projection or aggregation above the check removes it."""
+    df = roles.ensemble(spark, SF_DIR)
+    found = select.select_members(df, ids)
+    weather = roles.weather(spark, SF_DIR)
+    after = [
+        masks.drop_missing(found), found.where("value > 0"), found.where("value < 0"), found.where("time < timestamp_ntz'1800-01-01'"),
+        select.filter_weather(found, weather, [1, 2]), select.slice_time(found, "1996", "1997"), found.select("time"),
+        found.groupBy("iy").count(), found.join(roles.cells(spark, SF_DIR), ["iy", "ix"]), select.select_members(found, ids[:1], check=False),
+    ]
+    for query in after:
+        with pytest.raises(FAILS, match="not every member of .*77"):
+            query.collect()
+    with pytest.raises(FAILS, match="not every member of .*77"):
+        found.count()
+    assert select.select_members(df, ["02"]).where("value > 0").count() == df.where("member = '02' AND value > 0").count() > 0
+
+
+@pytest.mark.parametrize("ids", UNKNOWN)
+def test_unknown_member_fails_in_runs(spark, ids):
+    model, truth = roles.ensemble(spark, SF_DIR), roles.reference(spark, SF_DIR)
+    cells, weather = roles.cells(spark, SF_DIR), roles.weather(spark, SF_DIR)
+    for more, extra in [({}, {}), ({}, {"ensemble_cells": cells, "reference_cells": cells}), ({"include_types": [1, 2]}, {"weather": weather})]:
+        known = verification.verify(model, truth, verification.Selection(members=["02"], period="daily", **more), metrics=["RMSE"], collapse=["time", "lat", "lon"], **extra)
+        assert known.count() == 1
+        with pytest.raises(FAILS, match="not every member of .*77"):
+            verification.verify(model, truth, verification.Selection(members=ids, period="daily", **more), metrics=["RMSE"], collapse=["time", "lat", "lon"], **extra).collect()
+
+
 def test_member_check_scans_the_time_slice_only(spark, tmp_path):
     frames.ensemble(spark, [("2017-01-01", "00", 0, 0, 1.0)]).write.parquet(str(tmp_path / "e"))
     df = select.slice_time(spark.read.parquet(str(tmp_path / "e")), "2017-01")
-    plan = compare.plan(select.select_members(df, ["00"]))
-    scans = [x for x in plan.split("FileScan")[1:]]
+    found = select.select_members(df, ["00"])
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    scans = plan.split("Batched: ")[1:]
     assert len(scans) == 2 and all("GreaterThanOrEqual(time" in x for x in scans)
 
 

@@ -2,6 +2,7 @@ import shutil
 
 import frames
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -46,6 +47,24 @@ def test_ensemble_files_carry_their_member(spark, blocks, tmp_path):
         readers.read_ensemble(spark, str(tmp_path / "snow_*.parquet"))
 
 
+def test_file_without_member_fails_every_query(spark, blocks, tmp_path):
+    """Also one that doesn't read the member, or that keeps no row of that file."""
+    from gridverify.operators.temporal import ensemble_mean
+
+    for name, df in (("rain_20171001_08", blocks["08"]), ("rain_20171001", slice_time(blocks["09"], "2017-12"))):
+        df.coalesce(1).write.parquet(str(tmp_path / "x" / name))
+        shutil.copy(next((tmp_path / "x" / name).glob("part-*.parquet")), tmp_path / f"{name}.parquet")
+    found = readers.read_ensemble(spark, str(tmp_path / "rain_*.parquet"), schema=REFERENCE)
+    queries = [found, ensemble_mean(found), found.select("time"), found.where("value < 11"), slice_time(found, "2017-10", "2017-10"), found.groupBy("iy").count()]
+    for query in queries:
+        with pytest.raises((PySparkException, Py4JJavaError), match="no member id"):
+            query.collect()
+    with pytest.raises((PySparkException, Py4JJavaError), match="no member id"):
+        found.count()
+    named = readers.read_ensemble(spark, str(tmp_path / "rain_*_08.parquet"), schema=REFERENCE)
+    assert ensemble_mean(named).count() == named.count() == 3
+
+
 def test_member_folders(spark, blocks, tmp_path):
     path = str(tmp_path / "ens")
     both = readers.merge_by_coords([d.withColumn("member", F.lit(m)) for m, d in blocks.items()])
@@ -67,6 +86,13 @@ def test_merge(spark, blocks):
     assert readers.merge_by_coords([first, first], check_duplicates=False).count() == 3
     with pytest.raises(PySparkException, match="same coordinates"):
         readers.merge_by_coords([first, first], check_duplicates=True).collect()
+    twice = readers.merge_by_coords([first, second, first])
+    for query in (twice.select("time"), twice.select("other"), twice.groupBy("iy").count(), twice.agg(F.count("*"))):
+        with pytest.raises(PySparkException, match="same coordinates"):
+            query.collect()
+    with pytest.raises(PySparkException, match="same coordinates"):
+        twice.count()
+    assert merged.columns == ["time", "iy", "ix", "value", "other"]
     later = slice_time(first, "2017-11")
     earlier = slice_time(first, end="2017-10")
     assert readers.merge_by_coords([later, earlier], check_duplicates=True).count() == 3
