@@ -38,7 +38,9 @@ CELL_WIDTH = 0.5
 MOMENTS = 16
 
 
-def _with_parameters(rows: DataFrame, parameters: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _with_parameters(
+    rows: DataFrame, parameters: DataFrame, keys: Sequence[str], held: list[DataFrame] | None = None
+) -> DataFrame:
     """Give each row its group's parameters, which include its number of rows ``_size``.
 
     The parameters are computed once and counted. Those of few groups are
@@ -53,7 +55,8 @@ def _with_parameters(rows: DataFrame, parameters: DataFrame, keys: Sequence[str]
         parameters.select(
             *[F.col(k).alias(f"_{k}") for k in keys],
             *[c for c in parameters.columns if c not in keys],
-        )
+        ),
+        held,
     )
     groups, total = known.agg(F.count(F.lit(1)), F.sum("_size")).first()
     same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
@@ -73,11 +76,13 @@ def histogram(
     *,
     bins: int = HISTOGRAM_BINS,
     value: str = "value",
+    held: list[DataFrame] | None = None,
 ) -> DataFrame:
     """Counts in ``bins`` equal-width bins between each group's extremes.
 
     Bins are half-open, the last one closed; empty bins are listed. A group
-    with a single distinct value gets a range of one unit around it.
+    with a single distinct value gets a range of one unit around it. ``held`` gets
+    the table of the groups' extremes if it is cached; see ``reuse``.
     """
     require(df, value, *by)
     rows = df.select(*by, clean(value).alias("_v")).where("_v IS NOT NULL")
@@ -108,7 +113,7 @@ def histogram(
         .otherwise(at)
     )
     counts = (
-        _with_parameters(rows, limits, by)
+        _with_parameters(rows, limits, by, held)
         .withColumn("_guess", guess)
         .groupBy(*by, settled.alias("bin"))
         .agg(
@@ -141,6 +146,7 @@ def density_curve(
     *,
     points: int = CURVE_POINTS,
     value: str = "value",
+    held: list[DataFrame] | None = None,
 ) -> DataFrame:
     """Gaussian kernel density of each group at ``points`` even steps over its range.
 
@@ -178,7 +184,7 @@ def density_curve(
     # Distances are in bandwidths from the group's smallest value.
     centre = (F.col("_cell") + 0.5) * CELL_WIDTH
     placed = (
-        _with_parameters(rows, shape, by)
+        _with_parameters(rows, shape, by, held)
         .where("_h IS NOT NULL")
         .withColumn("_u", (F.col("_v") - F.col("_lo")) / F.col("_h"))
         .withColumn("_cell", F.floor(F.col("_u") / CELL_WIDTH))
@@ -233,13 +239,17 @@ def line_distribution(
     bins: int = HISTOGRAM_BINS,
     points: int = CURVE_POINTS,
     reduce_dims: Sequence[str] | str | None = None,
+    held: list[DataFrame] | None = None,
     **values: str,
 ) -> DataFrame | None:
-    """Histogram ("hist") or density curve ("kde") per line over all its values."""
+    """Histogram ("hist") or density curve ("kde") per line over all its values.
+
+    ``held`` gets the table that is cached for it; see ``reuse``.
+    """
     rows = reduced_lines(ensemble, reference, lines, reduce_dims, **values)
     if kind == "hist":
-        return histogram(rows, LINE_KEYS, bins=bins)
+        return histogram(rows, LINE_KEYS, bins=bins, held=held)
     if kind == "kde":
-        return density_curve(rows, LINE_KEYS, points=points)
+        return density_curve(rows, LINE_KEYS, points=points, held=held)
     warnings.warn(f"unknown distribution kind {kind!r}; choose 'hist' or 'kde'")
     return None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridverify.functions.values import clean
@@ -46,23 +46,31 @@ def profile(
     member: str = "member",
     values: Sequence[str] | None = None,
 ) -> DataFrame:
-    """One row describing a dataset: rows, distinct times, cells and members, ranges."""
+    """One row describing a dataset: rows, distinct times, cells and members, ranges.
+
+    Each distinct count is an aggregation of its own over its columns alone: counted
+    together, also in subqueries that Spark merges, every row would be copied once for each.
+    """
     cells = [c for c in CELL if c in df.columns]
-    counts = [F.count(F.lit(1)).alias("n_rows")]
+
+    def distinct(name: str, *columns: str) -> Column:
+        labels = df.select(*columns).dropna().distinct()
+        return labels.agg(F.count(F.lit(1))).scalar().alias(name)
+
+    once = [F.count(F.lit(1)).alias("n_rows")]
+    shown: list[str | Column] = ["n_rows"]
     if time in df.columns:
-        counts += [
-            F.count_distinct(time).alias("n_times"),
-            F.min(time).alias("first_time"),
-            F.max(time).alias("last_time"),
-        ]
+        once += [F.min(time).alias("first_time"), F.max(time).alias("last_time")]
+        shown += [distinct("n_times", time), "first_time", "last_time"]
     if cells:
-        counts.append(F.count_distinct(*cells).alias("n_cells"))
+        shown.append(distinct("n_cells", *cells))
     if member in df.columns:
-        counts.append(F.count_distinct(member).alias("n_members"))
+        shown.append(distinct("n_members", member))
     for v in values if values is not None else value_columns(df):
-        counts += [
+        once += [
             F.count(clean(v)).alias(f"n_{v}"),
             F.min(clean(v)).alias(f"min_{v}"),
             F.max(clean(v)).alias(f"max_{v}"),
         ]
-    return df.agg(*counts)
+        shown += [f"n_{v}", f"min_{v}", f"max_{v}"]
+    return df.agg(*once).select(*shown)

@@ -21,16 +21,16 @@ def shared_folder(spark: SparkSession) -> str | None:
     return folder
 
 
-def reuse(df: DataFrame) -> DataFrame:
+def reuse(df: DataFrame, held: list[DataFrame] | None = None) -> DataFrame:
     """Compute a table once: a checkpoint if the session names a shared folder for it.
 
     Otherwise the table is cached, and recomputed where an executor is lost;
-    ``unpersist`` releases it.
+    ``unpersist`` releases it, and ``held`` gets it for that.
     """
     spark = df.sparkSession
     # A folder named after the session began is not in use yet.
     ready = shared_folder(spark) and spark.sparkContext.getCheckpointDir()
-    return df.checkpoint() if ready else df.persist()
+    return df.checkpoint() if ready else cached(df, held)
 
 
 def cached(df: DataFrame, held: list[DataFrame] | None = None) -> DataFrame:

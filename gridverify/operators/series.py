@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -43,17 +44,34 @@ def reduced_lines(
     """Rows of the lines, averaged over each line's ``reduce_dims``, or over those given for all.
 
     Lines without any keep their rows, or with ``always`` are averaged over the cells.
+    All averaged lines share one aggregation: a dimension that a line is averaged over
+    is NULL in that line's key. So each dataset is read once for them, and once more if
+    others keep their rows.
     """
-    by_dims: dict[tuple[str, ...], list[Line]] = {}
+    numbers: dict[tuple[str, tuple[str, ...]], int] = {}
+    averaged, plain = [], []
     for line in lines:
         dims = dimension_list(line.reduce_dims) or dimension_list(reduce_dims)
-        by_dims.setdefault(tuple(dims), []).append(line)
+        if not dims and always:
+            dims = list(CELL)
+        if dims:
+            number = numbers.setdefault((line.label, tuple(dims)), len(numbers))
+            averaged.append(replace(line, label=str(number)))
+        else:
+            plain.append(line)
     parts = []
-    for dims, wanted in by_dims.items():
-        rows = line_values(ensemble, reference, wanted, **values)
-        if dims or always:
-            rows = area_mean(rows, by=LINE_KEYS, reduce_dims=dims or None)
-        parts.append(rows)
+    if averaged:
+        rows = line_values(ensemble, reference, averaged, **values)
+        number = F.col("line").cast("int")
+        keys = [F.element_at(F.array(*[F.lit(label) for label, _ in numbers]), number + 1).alias("line"), F.col("source")]
+        for d in dimension_columns(rows):
+            over = [n for (_, dims), n in numbers.items() if d in dims]
+            if len(over) < len(numbers):
+                keys.append(F.when(~number.isin(over), F.col(d)).alias(d) if over else F.col(d))
+        found = rows.groupBy(number.alias("_number"), *keys).agg(F.avg(clean("value")).alias("value"))
+        parts.append(found.drop("_number"))
+    if plain:
+        parts.append(line_values(ensemble, reference, plain, **values))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 

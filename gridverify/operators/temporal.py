@@ -87,6 +87,7 @@ def weather_type_mean(
     weather_time: str = "time",
     weather_type: str = "slwt",
     compute_ens_mean: bool = False,
+    held: list[DataFrame] | None = None,
 ) -> DataFrame:
     """Mean per weather type, cell and member over all time steps on days of that type.
 
@@ -94,7 +95,7 @@ def weather_type_mean(
     those partial rows meet the weather table, so a busy day is not joined row
     by row with each of its types. The table of days and types is counted and
     broadcast; if it is too long for that, a day's rows are spread over several
-    keys.
+    keys. ``held`` gets that table if it is cached; see ``reuse``.
     """
     require(df, value, time)
     if compute_ens_mean:
@@ -106,7 +107,7 @@ def weather_type_mean(
     types = weather.select(
         F.to_date(weather_time).alias("day"), F.col(weather_type).alias("slwt")
     ).distinct()
-    types = reuse(types)
+    types = reuse(types, held)
     if types.count() <= BROADCAST_DAYS:
         joined = daily.join(F.broadcast(types), "day")
     else:

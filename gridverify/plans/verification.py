@@ -324,12 +324,14 @@ def figure_data(
     edges: Sequence[float] = RUN_EDGES,
     collapse: str | Sequence[str] | None = ("time",),
     maps: DataFrame | None = None,
+    held: list[DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
     """The table behind each figure enabled in ``plot``.
 
     Sections: ``spatial_map``, ``time_series``, ``cycle``, ``distribution``,
     ``member_subplots`` and ``altitude_bin_subplots``. The maps share the scores
-    ``maps``, which come from one pairing of the two sides if not given.
+    ``maps``, which come from one pairing of the two sides if not given. ``held`` gets
+    the tables that are cached for them.
     """
     if not plot.get("enabled", False):
         return {}
@@ -340,7 +342,7 @@ def figure_data(
 
     metrics = map_metrics(plot)
     if metrics and maps is None:
-        maps = reuse(score(pair(ensemble, reference), collapse, metrics=metrics))
+        maps = reuse(score(pair(ensemble, reference), collapse, metrics=metrics), held)
     if terrain is not None:
         ensemble = attach_altitude(ensemble, terrain)
         reference = attach_altitude(reference, terrain)
@@ -366,6 +368,7 @@ def figure_data(
             build_lines(c),
             c.get("kind", "hist"),
             bins=c.get("bins", HISTOGRAM_BINS),
+            held=held,
         )
         if table is not None:
             figures["distribution"] = table
@@ -502,9 +505,7 @@ def run_config(spark: SparkSession, config: Mapping) -> RunResult:
     ens, ref = found.ensemble, found.reference
 
     def kept(df: DataFrame) -> DataFrame:
-        df = reuse(df)
-        held.append(df)
-        return df
+        return reuse(df, held)
 
     terrain = None
     dem_config = config.get("dem", {})
@@ -543,7 +544,7 @@ def run_config(spark: SparkSession, config: Mapping) -> RunResult:
         wide = kept(wide)
     scores, maps = to_long(wide.drop(*(set(every) - set(metrics))), metrics), domain_scores(wide)
     figures = figure_data(
-        ens, ref, plot, terrain=terrain, edges=edges, collapse=collapse, maps=maps
+        ens, ref, plot, terrain=terrain, edges=edges, collapse=collapse, maps=maps, held=held
     )
     banded = banded_data(ens, ref, terrain, edges, maps) if bands is not None else {}
     if path := config.get("output", {}).get("save_scores"):

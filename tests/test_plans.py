@@ -4,9 +4,11 @@ import re
 
 import pytest
 from compare import plan
+from pyspark.sql import functions as F
 
-from gridverify.operators import distribution, grid, metrics, reuse, select, temporal
+from gridverify.operators import distribution, grid, lines, metrics, quality, reuse, select, series, temporal
 from gridverify.plans import queries, roles, verification
+from gridverify.schema import dimension_columns, dimension_list
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -131,3 +133,45 @@ def test_reuse_takes_shared_folders_only(spark, monkeypatch):
     assert shared("/tmp/x", "local[4]") and shared("file:///tmp/x", "local-cluster[3,2,1000]")
     assert not shared("/tmp/x", "spark://host:7077") and not shared("file:/tmp/x", "yarn")
     assert shared("hdfs://name/x", "yarn") and not shared(None, "local")
+
+
+def test_profile_copies_no_rows(spark):
+    assert "Expand" not in plan(quality.profile(roles.everything(spark, SF_DIR)))
+    formatted = spark._jvm.PythonSQLUtils.explainString(quality.profile(roles.everything(spark, SF_DIR))._jdf.queryExecution(), "formatted")
+    assert "Expand" not in formatted and formatted.count("Batched: ") == 4
+
+
+def test_lines_with_several_reduced_dimensions_read_each_side_once(spark):
+    sides = roles.ensemble(spark, SF_DIR), roles.reference(spark, SF_DIR)
+    config = [("a", "ensemble", ["time"]), ("b", "ensemble", ["lat", "lon"]), ("c", "reference", ["time", "lon"]), ("a", "ensemble", ["member", "time"])]
+    built = [lines.Line(label, source, reduce_dims=tuple(dims)) for label, source, dims in config]
+    found = series.line_series(*sides, built)
+    assert plan(found).count("FileScan") == 2
+    rows = {}
+    for r in found.collect():
+        rows.setdefault((r.line, r.source, r.time is None, r.member is None, r.iy is None, r.ix is None), []).append(r.value)
+    for (label, source, dims), side in zip(config, (sides[0], sides[0], sides[1], sides[0])):
+        kept = [d for d in dimension_columns(side) if d not in dimension_list(dims)]
+        own = sorted(r.v for r in side.groupBy(*kept).agg(F.avg("value").alias("v")).collect())
+        null = tuple(d not in kept for d in ("time", "member", "iy", "ix"))
+        assert sorted(rows[label, source, *null]) == pytest.approx(own)
+
+
+def test_tables_of_a_run_are_released(spark, monkeypatch):
+    """Without a folder for checkpoints, whatever is cached is given up with the handle."""
+    monkeypatch.setattr(reuse, "shared_folder", lambda spark: None)
+    manager = spark._jsparkSession.sharedState().cacheManager()
+    model, weather = roles.everything(spark, SF_DIR), roles.weather(spark, SF_DIR)
+    sides = roles.ensemble(spark, SF_DIR), roles.reference(spark, SF_DIR)
+    built = [lines.Line("a", "ensemble"), lines.Line("b", "reference")]
+    spark.catalog.clearCache()
+    held = []
+    temporal.weather_type_mean(model, weather, held=held).collect()
+    distribution.histogram(model, ["member"], held=held).collect()
+    distribution.density_curve(model, ["member"], held=held).collect()
+    distribution.line_distribution(*sides, built, "hist", held=held).collect()
+    assert len(held) == 4 and not manager.isEmpty()
+    for df in held:
+        df.unpersist()
+    assert manager.isEmpty()
+
