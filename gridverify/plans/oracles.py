@@ -657,4 +657,28 @@ parts AS (
 SELECT part, bin_min, bin_max, count(*) AS n_rows, {r('sum(value)', 'total')}
 FROM parts JOIN dem USING (iy, ix) JOIN bands ON altitude >= bin_min AND altitude < bin_max
 GROUP BY ALL"""
+
+    # saved tables
+    sql["saved_months"] = sql["time_slice"]
+    sql["saved_months_open"] = f"""WITH {M}
+SELECT year(time) AS year, month(time) AS month, member, count(value) AS n_values, {r('sum(value)', 'total')}
+FROM m WHERE time < TIMESTAMP '2001-06-16' GROUP BY ALL"""
+    sql["saved_scores"] = f"""{sides('daily')}, s AS (SELECT member, {SCORES} FROM p GROUP BY ALL)
+SELECT member, metric, score FROM s UNPIVOT (score FOR metric IN (ME, MAE, RMSE))"""
+    sql["weather_csv"] = f"WITH {W} SELECT {text('time')}, slwt FROM w"
+    sql["saved_cells_bias"] = sql["bias_rmse_map"]
+    sql["configured_run"] = f"""WITH {ER}, {W}, {DEM}, {BANDS}, days AS ({INCLUDED}),
+e1 AS (SELECT * FROM e WHERE member IN ('02', '05', '07') AND {TIMES} AND {DAY} IN (FROM days)),
+r1 AS (SELECT * FROM r WHERE {TIMES} AND {DAY} IN (FROM days)),
+ea AS ({summed('e1', 'monthly', 'member, iy, ix', value='nullif(value, 50)')}),
+ra AS ({summed('r1', 'monthly', 'iy, ix', value='nullif(value, 50)')}),
+b AS (
+  SELECT member, bin_min, bin_max, ea.value - ra.value AS d FROM ea JOIN ra USING (time, iy, ix)
+  LEFT JOIN dem USING (iy, ix) LEFT JOIN bands ON altitude >= bin_min AND altitude < bin_max),
+s AS (
+  SELECT member, CAST(NULL AS DOUBLE) AS bin_min, CAST(NULL AS DOUBLE) AS bin_max, {SCORES}
+  FROM b GROUP BY ALL
+  UNION ALL
+  SELECT member, bin_min, bin_max, {SCORES} FROM b WHERE bin_min IS NOT NULL GROUP BY ALL)
+SELECT member, bin_min, bin_max, metric, score FROM s UNPIVOT (score FOR metric IN (ME, MAE, RMSE))"""
     return sql

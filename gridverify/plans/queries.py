@@ -6,6 +6,8 @@ returned as text and floating-point results with six decimals.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +31,8 @@ from gridverify.operators import (
     temporal,
 )
 from gridverify.plans import roles, verification
-from gridverify.sources import readers
+from gridverify.operators.reuse import shared_folder
+from gridverify.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +44,7 @@ MEMBERS = ("02", "05", "07")
 TIME_FROM, TIME_TO = "1995-03", "2001-06-15"
 LAT_BOUNDS, LON_BOUNDS = (46.25, 1e9), (10.25, 12.0)
 WET, LOW, HIGH = 5.0, 10.0, 40.0
+BUCKETS = 16
 LINES = {
     "alt_bin_ranges": [[0, 2000], [1000, 6000]],
     "ensemble_members": ["02", "03", "mean"],
@@ -91,6 +95,16 @@ def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder for the tables that a query saves and reads again, where all executors reach it."""
+    base = shared_folder(spark)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="saved-")
+    return f"{base.rstrip('/')}/saved-{uuid.uuid4().hex}"
+
+
 # --- aggregation in time ---------------------------------------------------------
 
 
@@ -719,14 +733,15 @@ def band_rmse_maps(spark, sf_dir):
 # --- figures ---------------------------------------------------------------------------------------------
 
 
-def figures(spark: SparkSession, sf_dir: str, mean: bool = False) -> dict[str, DataFrame]:
-    """All figures of a monthly run with its members, or the map of their mean."""
+def figures(
+    spark: SparkSession, sf_dir: str, names: tuple[str, ...] = tuple(PLOT), mean: bool = False
+) -> dict[str, DataFrame]:
+    """The named figures of a monthly run with its members, or of their mean."""
     model, observed = _sides(spark, sf_dir)
-    plot = {k: PLOT[k] for k in ("enabled", "spatial_map")} if mean else PLOT
     return verification.figure_data(
         temporal.ensemble_mean(model) if mean else model,
         observed,
-        plot,
+        {"enabled": True, **{name: PLOT[name] for name in names}},
         terrain=roles.terrain(spark, sf_dir),
         edges=EDGES,
         collapse=["time"],
@@ -739,7 +754,7 @@ def _register_figures() -> None:
             continue
 
         def run(spark, sf_dir, name=name):
-            return figures(spark, sf_dir, mean=name == "spatial_map")[name]
+            return figures(spark, sf_dir, (name,), mean=name == "spatial_map")[name]
 
         run.__name__ = f"figure_{name}"
         _query(run)
@@ -763,3 +778,86 @@ def banded_data(spark, sf_dir):
         for name, df in parts.items()
     ]
     return sums[0].union(sums[1]).union(sums[2])
+
+
+# --- saved tables ---------------------------------------------------------------------------------------
+
+
+@_query
+def saved_months(spark, sf_dir):
+    """The time slice of the forecast, from a table saved by month."""
+    folder = _folder(spark)
+    writers.write_grid(roles.everything(spark, sf_dir), folder)
+    return readers.read_months(spark, folder, TIME_FROM, TIME_TO).drop("year", "month")
+
+
+@_query
+def saved_months_open(spark, sf_dir):
+    """Everything up to a day: months of earlier years are found by listing the years alone."""
+    folder = _folder(spark)
+    writers.write_grid(roles.everything(spark, sf_dir), folder)
+    return readers.read_months(spark, folder, end=TIME_TO).groupBy("year", "month", "member").agg(
+        F.count("value").alias("n_values"), F.sum("value").alias("total")
+    )
+
+
+@_query
+def saved_scores(spark, sf_dir):
+    """Scores per member, saved by metric and read again."""
+    folder = _folder(spark)
+    scores = metrics.all_metrics(*_sides(spark, sf_dir, "daily"), dim=["time", "lat", "lon"])
+    writers.write_scores(scores, folder)
+    return readers.read_grid(spark, folder)
+
+
+@_query
+def weather_csv(spark, sf_dir):
+    """Weather types written as CSV with other column names, and read as a weather table."""
+    folder = _folder(spark)
+    types = roles.weather(spark, sf_dir).withColumnsRenamed({"time": "day", "slwt": "gwt"})
+    types.write.csv(folder, header=True)
+    return readers.read_weather_types(spark, folder, date_col="day", weather_type="gwt")
+
+
+@_query
+def saved_cells_bias(spark, sf_dir):
+    """RMSE map of monthly values, from daily tables that lie in buckets of cells."""
+    folder = _folder(spark)
+    names = [f"cells_{uuid.uuid4().hex}" for _ in range(2)]
+    for name, df in zip(names, _sides(spark, sf_dir, "daily")):
+        writers.write_cells(df, name, buckets=BUCKETS, path=f"{folder}/{name}")
+    monthly = [temporal.aggregate_time(df, "monthly") for df in readers.read_cells(spark, *names)]
+    return metrics.root_mean_squared_error(*monthly, dim="time")
+
+
+@_query
+def configured_run(spark, sf_dir):
+    """A run by configuration over saved tables: slice, members, weather days, bands and saved scores."""
+    folder = _folder(spark)
+    cells = roles.cells(spark, sf_dir)
+    tables = {"ensemble": roles.ensemble(spark, sf_dir), "reference": roles.reference(spark, sf_dir)}
+    for name, df in tables.items():
+        writers.write_grid(df, f"{folder}/{name}")
+    cells.write.parquet(f"{folder}/cells")
+    roles.terrain(spark, sf_dir).join(cells, ["iy", "ix"]).write.parquet(f"{folder}/dem")
+    roles.weather(spark, sf_dir).withColumnRenamed("time", "date").write.csv(f"{folder}/types", header=True)
+    verification.run_config(
+        spark,
+        {
+            "input": {
+                "ensemble_pattern": f"{folder}/ensemble", "reference_file": f"{folder}/reference", "by_month": True,
+                "ensemble_cells": f"{folder}/cells", "reference_cells": f"{folder}/cells",
+                "lat_name": "lat", "lon_name": "lon",
+                "var_name": "value", "ref_var_name": "value", "missing_value": SENTINEL,
+            },
+            "subset": {"start_time": TIME_FROM, "end_time": TIME_TO},
+            "ensemble": {"members": list(MEMBERS)},
+            "weather_types": {"file": f"{folder}/types", "include": list(WEATHER_TYPES)},
+            "aggregation": {"period": "monthly"},
+            "bias": {"metrics": ["ME", "MAE", "RMSE"], "dimensions": ["time", "lat", "lon"]},
+            "dem": {"enabled": True, "dem_path": f"{folder}/dem", "dem_var": "altitude", "bins": list(EDGES)},
+            "altitude_binning": {"enabled": True},
+            "output": {"save_scores": f"{folder}/scores"},
+        },
+    ).release()
+    return readers.read_grid(spark, f"{folder}/scores")

@@ -43,8 +43,8 @@ from gridverify.operators.select import (
 from gridverify.operators.series import add_trend, line_cycle, line_series
 from gridverify.operators.temporal import aggregate_time, ensemble_mean
 from gridverify.functions.calendar import period_label
-from gridverify.schema import CELL, present
-from gridverify.sources.readers import prepare_dem, read_ensemble, read_grid, read_weather_types
+from gridverify.schema import CELL, present, require
+from gridverify.sources.readers import prepare_dem, read_ensemble, read_grid, read_months, read_weather_types
 from gridverify.sources.writers import write_grid, write_scores
 
 # Fixed value: sentinel for missing data in the usual inputs.
@@ -456,30 +456,36 @@ def run_config(spark: SparkSession, config: Mapping) -> RunResult:
     members come from a ``member`` column or the file names. Geolocation comes
     from the cell tables ``input.ensemble_cells`` and ``input.reference_cells``
     if given, else from latitude and longitude columns of the data, which are
-    then read once more for it.
+    then read once more for it. With ``input.by_month`` both tables are folders by
+    year and month, the ensemble's with a ``member`` column, and only the months of
+    the time slice are listed.
     """
     inputs = config["input"]
     selection = selection_from(config)
-    ensemble = read_ensemble(spark, inputs["ensemble_pattern"])
-    reference = read_grid(spark, inputs["reference_file"])
-
-    def cell_table(data: DataFrame, path: str | None, lat: str, lon: str) -> DataFrame:
-        if path:
-            data = read_grid(spark, path)
-        else:
+    if inputs.get("by_month", False):
+        span = (selection.start, selection.end)
+        ensemble = read_months(spark, inputs["ensemble_pattern"], *span)
+        require(ensemble, "member")
+        reference = read_months(spark, inputs["reference_file"], *span)
+    else:
+        ensemble = read_ensemble(spark, inputs["ensemble_pattern"])
+        reference = read_grid(spark, inputs["reference_file"])
+
+    def cell_table(data: str, path: str | None, lat: str, lon: str) -> DataFrame:
+        if not path:
             warnings.warn(
                 "no cell table is given: all rows are read once more for their coordinates", stacklevel=3
             )
-        return grid_cells(data, lat, lon)
+        return grid_cells(read_grid(spark, path or data), lat, lon)
 
     ensemble_cells = cell_table(
-        ensemble,
+        inputs["ensemble_pattern"],
         inputs.get("ensemble_cells"),
         inputs.get("lat_name", "latitude"),
         inputs.get("lon_name", "longitude"),
     )
     reference_cells = cell_table(
-        reference,
+        inputs["reference_file"],
         inputs.get("reference_cells"),
         inputs.get("ref_lat_name", "lat"),
         inputs.get("ref_lon_name", "lon"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date, datetime, timedelta
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 from gridverify.functions.names import MEMBER_PATTERN, member_id
 from gridverify.functions.values import clean
 from gridverify.operators.grid import rectilinear
-from gridverify.operators.select import subset_box
+from gridverify.operators.select import slice_time, subset_box, time_span
 from gridverify.schema import dimension_columns, require, required
 
 
@@ -41,6 +42,86 @@ def read_grid(
         raise FileNotFoundError(f"no files match {paths}") from e
 
 
+def _other_years(year: int, later: bool) -> list[str]:
+    """Globs that match the years after a year, or before it."""
+    digits = str(year)
+    lengths = range(len(digits) + 1, 7) if later else range(1, len(digits))
+    found = ["[0-9]" * n for n in lengths] + ([] if later else ["-*"])
+    for k, digit in enumerate(map(int, digits)):
+        low, high = (digit + 1, 9) if later else (0 if k else 1, digit - 1)
+        if low <= high:
+            found.append(f"{digits[:k]}[{low}-{high}]" + "[0-9]" * (len(digits) - k - 1))
+    return found
+
+
+def month_folders(start: str | date | datetime | None, end: str | date | datetime | None) -> list[str]:
+    """Globs of the folders ``year=Y/month=M`` that hold the times from start to end.
+
+    Folders of a year are looked up by name; with one end open, the years are listed.
+    """
+    first = time_span(start)[0] if start is not None else None
+    last = time_span(end)[1] - timedelta(microseconds=1) if end is not None else None
+    if first and last and first > last:
+        return []
+
+    def months(year: int) -> str:
+        low = first.month if first and first.year == year else 1
+        high = last.month if last and last.year == year else 12
+        return f"year={year}/month={{{','.join(map(str, range(low, high + 1)))}}}"
+
+    if first and last:
+        return [months(year) for year in range(first.year, last.year + 1)]
+    known = first or last
+    if known is None:
+        return ["year=*/month=*"]
+    return [months(known.year), *(f"year={y}/month=*" for y in _other_years(known.year, later=first is not None))]
+
+
+def read_months(
+    spark: SparkSession,
+    path: str,
+    start: str | date | datetime | None = None,
+    end: str | date | datetime | None = None,
+    *,
+    time: str = "time",
+    schema: T.StructType | None = None,
+    format: str = "parquet",
+    **options: str,
+) -> DataFrame:
+    """The times from start to end of a table with one folder per year and month, as ``write_grid`` saves it.
+
+    Only the folders of the months in question are listed, where a path read as a whole
+    and then sliced has all of its folders listed first. Bounds are those of
+    ``slice_time``; without any the table is read whole, rows without a time included.
+    """
+    whole = {"schema": schema, "format": format, **options}
+    if start is None and end is None:
+        return read_grid(spark, path, **whole)
+    base = path.rstrip("/")
+    folders = month_folders(start, end)
+    try:
+        # One pattern for all, as a pattern of its own without a match would be an error.
+        found = read_grid(spark, f"{base}/{{{','.join(folders)}}}", basePath=base, **whole)
+    except FileNotFoundError:
+        found = read_grid(spark, path, **whole).where(F.lit(False))
+    return slice_time(found, start, end, time=time)
+
+
+def read_cells(spark: SparkSession, *tables: str) -> list[DataFrame]:
+    """Read tables saved by ``write_cells``, such that a pairing of them keeps their buckets.
+
+    Spark shuffles both sides of a join on time and cell again where they lie by cell
+    only, unless it is told that part of the keys will do. The tables belong to a session of
+    their own with that setting and otherwise those of ``spark``, which stays as it is.
+    """
+    session = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if session.conf.isModifiable(key):
+            session.conf.set(key, value)
+    session.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return [session.table(table) for table in tables]
+
+
 def read_ensemble(
     spark: SparkSession,
     paths: str | Sequence[str],

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridverify.operators.metrics import to_long
-from gridverify.schema import CELL, present, require
+from gridverify.schema import CELL, dimension_columns, present, require
 
 
 def write_scores(scores: DataFrame, path: str, *, mode: str = "overwrite") -> None:
@@ -43,3 +43,22 @@ def write_grid(
     elif gather:
         df = df.hint("rebalance", "year", "month")
     df.write.mode(mode).partitionBy("year", "month").parquet(path)
+
+
+def write_cells(
+    df: DataFrame, table: str, *, buckets: int, path: str | None = None, mode: str = "overwrite"
+) -> None:
+    """Save aggregated data as a catalogue table in which each cell is in one bucket.
+
+    Tables of the same grid and number of buckets, read with ``read_cells``, are aggregated
+    further, paired and scored per cell without another shuffle. Rows are first spread over the same
+    buckets, so each is one file. The table must have one row per label, as aggregated
+    data have: a cell then holds no more rows than there are times and members, however many
+    values were measured there. ``path`` puts its files there.
+    """
+    require(df, *CELL)
+    labels = dimension_columns(df)
+    writer = df.repartition(buckets, *CELL).write.mode(mode).bucketBy(buckets, *CELL).sortBy(*CELL, *[c for c in labels if c not in CELL])
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)

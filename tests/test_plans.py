@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gridverify.operators import distribution, grid, lines, metrics, quality, reuse, select, series, temporal
 from gridverify.plans import queries, roles, verification
 from gridverify.schema import dimension_columns, dimension_list
+from gridverify.sources import readers, writers
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -124,6 +125,43 @@ def test_figures_pair_the_two_sides_once(spark, monkeypatch):
         assert "FileScan parquet" not in plan(figures[name]) or name == "altitude_bin_subplots"
 
 
+def test_one_figure_makes_no_scores_for_others(spark, monkeypatch):
+    monkeypatch.setattr(verification, "pair", lambda *a, **k: pytest.fail("paired"))
+    assert set(queries.figures(spark, SF_DIR, ("time_series",))) == {"time_series"}
+
+
+def test_tables_in_buckets_of_cells_are_scored_without_a_shuffle(spark, tmp_path):
+    """Aggregated further, joined by sort-merge and scored per cell; the values with a third on one cell."""
+    hot = spark.range(6000).select(
+        F.expr("timestamp_ntz'2017-01-01 00:00:00' + make_dt_interval(int(id % 400), int(id % 24))").alias("time"),
+        F.lpad((F.col("id") % 3).cast("string"), 2, "0").alias("member"),
+        F.lit(0).alias("iy"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 97).cast("int").alias("ix"),
+        (F.col("id") % 31).cast("double").alias("value"),
+    )
+    daily = [temporal.aggregate_time(hot, "daily"), temporal.aggregate_time(hot.drop("member"), "daily")]
+    for k, df in enumerate(daily):
+        writers.write_cells(df, f"plan_cells_{k}", buckets=5, path=str(tmp_path / str(k)))
+    try:
+        saved = readers.read_cells(spark, "plan_cells_0", "plan_cells_1")
+        def scores(sides):
+            monthly = [temporal.aggregate_time(df, "monthly") for df in sides]
+            model, observed = monthly[0], monthly[1].hint("merge")
+            return metrics.score(metrics.pair(model, observed), "time")
+
+        shown = plan(scores(saved))
+        assert "SortMergeJoin" in shown and "Exchange" not in shown and shown.count("Bucketed: true") == 2
+        assert "Exchange" in plan(scores(daily))
+        assert sorted(map(str, scores(saved).collect())) == sorted(map(str, scores(daily).collect()))
+        assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+        # Whatever was measured on the hot cell, its bucket holds a row per day and member.
+        most = saved[0].groupBy("iy", "ix").count().agg(F.max("count")).first()[0]
+        assert most <= 400 * 3 and saved[0].count() == daily[0].count()
+        assert len(list((tmp_path / "0").glob("*.parquet"))) <= 5
+    finally:
+        for k in range(2):
+            spark.sql(f"DROP TABLE IF EXISTS plan_cells_{k}")
+
+
 def test_reuse_takes_shared_folders_only(spark, monkeypatch):
     class Session:
         def __init__(self, folder, master):

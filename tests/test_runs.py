@@ -1,6 +1,7 @@
 """Whole runs on small tables, with results worked out by hand or in NumPy."""
 
 import datetime as dt
+import shutil
 
 import frames
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from gridverify.operators import reuse
 from gridverify.plans import verification as v
 from gridverify.sources.readers import read_grid
+from gridverify.sources.writers import write_grid
 
 
 @pytest.fixture(scope="module")
@@ -220,6 +222,25 @@ def test_run_of_a_configuration(spark, inputs, tmp_path):
     assert result.held == [] and not any(df.is_cached for df in cached)
 
 
+def test_run_over_tables_by_month(spark, inputs, tmp_path):
+    """The same scores as from tables read whole; months outside of the time slice are not looked at."""
+    write_tables(inputs, tmp_path)
+    c = config(tmp_path)
+    c["plot"] = {"enabled": False}
+    with pytest.warns(UserWarning, match="once more"):
+        whole = sorted(map(str, v.run_config(spark, c).scores.collect()))
+    for name in ("ens", "ref"):
+        write_grid(spark.read.parquet(f"{tmp_path}/{name}"), f"{tmp_path}/{name}_by_month")
+    inputs[4].write.parquet(f"{tmp_path}/cells")
+    c["input"] |= {
+        "by_month": True, "ensemble_pattern": f"{tmp_path}/ens_by_month", "reference_file": f"{tmp_path}/ref_by_month",
+        "ensemble_cells": f"{tmp_path}/cells", "reference_cells": f"{tmp_path}/cells", "lat_name": "lat", "lon_name": "lon",
+    }
+    (tmp_path / "ens_by_month" / "year=2001" / "month=1" / "x=1").mkdir(parents=True)
+    shutil.copy(next((tmp_path / "ens_by_month").rglob("*.parquet")), tmp_path / "ens_by_month" / "year=2001" / "month=1" / "x=1" / "a.parquet")
+    assert sorted(map(str, v.run_config(spark, c).scores.collect())) == whole
+
+
 def test_disabled_sections(spark, inputs, tmp_path):
     write_tables(inputs, tmp_path)
     c = config(tmp_path)

@@ -1,3 +1,4 @@
+import fnmatch
 import shutil
 
 import frames
@@ -109,6 +110,72 @@ def test_written_months_are_skipped_when_sliced(spark, blocks, tmp_path):
     assert readers.read_grid(spark, path).count() == 3
 
 
+@pytest.mark.parametrize(
+    "start, end, months",
+    [
+        ("2016-11", "2017-02-10", {(2016, 11), (2016, 12), (2017, 1), (2017, 2)}),
+        ("2017-01-31T12", None, {(2017, m) for m in range(1, 13)} | {(2018, m) for m in range(1, 13)}),
+        (None, "2016-02", {(2015, m) for m in range(1, 13)} | {(2016, 1), (2016, 2)}),
+        ("2017-03", "2017-03", {(2017, 3)}),
+        ("2015-12", "2018-01", {(2015, 12), (2018, 1)} | {(y, m) for y in (2016, 2017) for m in range(1, 13)}),
+        ("2030", None, set()),
+        ("2017-05", "2017-04", set()),
+    ],
+)
+def test_months_by_folder(spark, months_on_disk, start, end, months):
+    """Only the folders of the months wanted are listed: one that spoils any listing of all of them does no harm."""
+    path, whole = months_on_disk
+    found = readers.read_months(spark, path, start, end)
+    assert {(r.year, r.month) for r in found.collect()} <= months
+    expected = slice_time(whole, start, end)
+    assert sorted(map(str, found.select(*whole.columns).collect())) == sorted(map(str, expected.collect()))
+    if months:
+        relation = found._jdf.queryExecution().optimizedPlan().collectLeaves().head().relation()
+        assert relation.location().rootPaths().size() == len(months)
+
+
+@pytest.fixture(scope="module")
+def months_on_disk(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("months") / "grid"
+    whole = spark.range(48).select(
+        F.expr("timestamp_ntz'2015-01-20 06:00:00' + make_ym_interval(0, int(id))").alias("time"),
+        F.lit(0).alias("iy"), F.col("id").cast("int").alias("ix"), F.col("id").cast("double").alias("value"),
+    )
+    writers.write_grid(whole.coalesce(1), str(path))
+    return str(path), whole
+
+
+def test_months_outside_are_not_looked_at(spark, blocks, tmp_path):
+    path = tmp_path / "grid"
+    writers.write_grid(blocks["08"], str(path))
+    odd = path / "year=2016" / "month=1" / "part=x"
+    odd.mkdir(parents=True)
+    shutil.copy(next(path.rglob("*.parquet")), odd / "a.parquet")
+    with pytest.raises(Exception, match="(?i)conflicting"):
+        readers.read_grid(spark, str(path)).collect()
+    assert readers.read_months(spark, str(path), "2017-10", "2017-11").count() == 2
+    with pytest.raises(FileNotFoundError):
+        readers.read_months(spark, str(tmp_path / "none"), "2017-10", "2017-11")
+
+
+def test_years_without_bounds_keep_rows_without_a_time(spark, blocks, tmp_path):
+    path = str(tmp_path / "grid")
+    writers.write_grid(blocks["08"].union(blocks["08"].limit(1).withColumn("time", F.lit(None).cast("timestamp_ntz"))), path)
+    assert readers.read_months(spark, path).count() == 4
+    assert readers.read_months(spark, path, start="0001").count() == 3
+    assert readers.read_months(spark, path, end="9998").count() == 3
+
+
+@pytest.mark.parametrize("year", [1, 9, 10, 99, 2017, 1999, 2000, 9999])
+def test_globs_of_other_years(year):
+    """Against every year up to five digits, read as a shell pattern."""
+    for later in (True, False):
+        globs = readers._other_years(year, later)
+        for y in (*range(1, 3000, 7), *range(year - 12, year + 13), 9998, 10_000, 99_999):
+            if y > 0:
+                assert any(fnmatch.fnmatchcase(str(y), g) for g in globs) == (y > year if later else y < year)
+
+
 def test_dem(spark, tmp_path):
     cells = frames.cells(spark, [46, 47, 48], [10, 11])
     cells.withColumn("ZH", F.col("iy") * 100.0).write.parquet(str(tmp_path / "dem"))
