@@ -10,7 +10,8 @@ best container.
 Edge cases: a null or empty page has empty text; pages without markup are one
 block; unclosed, unopened and wrongly nested tags are closed where a parent ends;
 a null or odd url has the empty host. Repeated rows are separate pages. Markup
-ends at any depth, and text of any length is kept whole. What classes, ids and roles
+ends at any depth, and text of any length is kept whole. A page of any markup, such as tags
+without an end or a hundred thousand nested elements, takes time and memory in proportion to it. What classes, ids and roles
 leave out comes back where it is most of the page's text and has a first heading, an
 article or main element, discussions aside, or where nothing else is left.
 """
@@ -19,6 +20,9 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import defaultdict
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,9 +34,12 @@ from gridverify.llm.common import free_names, small_batches, staged
 #: Winning paths of up to so many hosts are broadcast; beyond, pages meet them by a salted join.
 BROADCAST_HOSTS, SALTS = 50_000, 32
 
-TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+|[^>]*)>|<[!?][^>]*>""", re.S
-)
+#: What may begin markup; attributes up to the first > outside of quotes; what decides that.
+MARKUP = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*+))")
+ATTRIBUTES = re.compile(r"""(?:"[^"]*"|'[^']*'|[^'">])*+>""")
+QUOTES = re.compile("""["'>]""")
+#: Decimal references of any length, which Python's own decoding limits.
+NUMBER = re.compile(r"&#(?=[0-9])0*+([0-9]*+);?")
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp".split())
@@ -70,8 +77,57 @@ def named_words(attributes: list[tuple[str, str]]) -> set[str]:
     return found
 
 
+class Ends:
+    """Where the tags of a page end: at the first > outside of quotes, or the first one if quotes leave none.
+
+    A tag is searched by pattern, which reads no further than the tag goes. The first one
+    that quotes leave without an end has the ends after all quotes of the page tabled, so that many such
+    tags don't read the rest of the page each.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.marks, self.ends = source, None, []
+
+    def _table(self) -> None:
+        marks = [(m.start(), m[0]) for m in QUOTES.finditer(self.source)]
+        self.marks = [at for at, _ in marks]
+        # Of each mark: the end of a tag whose first mark it is, -1 if there is none.
+        self.ends = [-1] * (len(marks) + 1)
+        after = {}
+        for k in range(len(marks) - 1, -1, -1):
+            at, mark = marks[k]
+            if mark == ">":
+                self.ends[k] = at
+            else:
+                self.ends[k] = self.ends[after[mark] + 1] if mark in after else -1
+                after[mark] = k
+
+    def find(self, start: int) -> int:
+        """Place of the > that ends a tag whose attributes start here, or -1."""
+        if self.marks is None:
+            if m := ATTRIBUTES.match(self.source, start):
+                return m.end() - 1
+            self._table()
+        end = self.ends[bisect_left(self.marks, start)]
+        return end if end >= 0 else self.source.find(">", start)
+
+
+def decoded(piece: str) -> str:
+    """The text with character references decoded; numbers beyond Unicode are U+FFFD, however long."""
+    if "&" not in piece:
+        return piece
+    try:
+        return html.unescape(piece)
+    except ValueError:
+        return html.unescape(NUMBER.sub(lambda m: f"&#{m[1] or 0};" if len(m[1]) < 8 else "\ufffd", piece))
+
+
 class Page:
-    """Blocks of text in page order, and containers as (path, score, first block, end block, number of the one around it, name)."""
+    """Blocks of text in page order, and containers as (path, score, first block, end block, number of the one around it, name).
+
+    A path is a number: that of the path around it and a label make another. Time and memory are in
+    proportion to the page, whatever its markup.
+    """
 
     def __init__(self, source: str):
         self._read(source)
@@ -85,33 +141,49 @@ class Page:
         """Read the page; shown says which of the elements that are left out by name are not."""
         self.shown = shown
         # Elements that are left out by name: size of the text that is no link, whether a discussion, whether they
-        # hold a first heading, article or main element.
+        # hold a first heading, article or main element. While open, what size and heads were at their start.
         self.named: list[list] = []
-        self.inside: list[int] = []
-        self.size = self.never = 0
+        self.size = self.heads = self.never = 0
         self.blocks: list[str] = []
         self.block_links: list[int] = []
-        self.containers: list[list] = [["", 0, 0, 0, -1, ""]]
+        # Paths by number: the one around, and its last label.
+        self.paths: list[tuple[int, str]] = [(-1, "")]
+        self.path_numbers: dict[tuple[int, str], int] = {}
+        self.containers: list[list] = [[0, 0, 0, 0, -1, ""]]
         # Open elements: name, whether left out, whether a link, number of its container or 0, path,
         # whether left out by that name, place among those left out by class, id or role or -1.
         self.open: list[tuple] = []
+        # Of each name the places of its open elements, and the open containers.
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.within: list[int] = []
         self.pieces: list[str] = []
         self.hidden = self.links = self.link_size = 0
-        at = 0
-        while m := TAG.search(source, at):
+        ends, at, look = Ends(source), 0, 0
+        while m := MARKUP.search(source, look):
+            if m[1]:
+                end = source.find("-->", m.end())
+                end = end + 2 if end >= 0 else len(source)
+            else:
+                end = source.find(">", m.end()) if m[2] else ends.find(m.end())
+            if end < 0:
+                # Without a > only a comment is markup, and takes the rest.
+                look = source.find("<!--", m.start())
+                if look < 0:
+                    break
+                continue
             if m.start() > at:
                 self._text(source[at : m.start()])
-            at = m.end()
-            name = (m[2] or "").lower()
-            if not name:
+            at = look = end + 1
+            if not m[4]:
                 continue
-            if m[1]:
+            name, attributes = m[4].lower(), source[m.end() : end]
+            if m[3]:
                 self._close(name)
                 continue
-            self._start(name, m[3])
-            if name in RAW and not m[3].endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(source, at)
-                at = end.end() if end else len(source)
+            self._start(name, attributes)
+            if name in RAW and not attributes.endswith("/"):
+                raw_end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(source, at)
+                at = look = raw_end.end() if raw_end else len(source)
                 self._close(name)
         if at < len(source):
             self._text(source[at:])
@@ -122,10 +194,7 @@ class Page:
 
     def _text(self, raw: str) -> None:
         if not self.never and not self.links:
-            size = len(raw.strip())
-            self.size += size
-            for k in self.inside:
-                self.named[k][0] += size
+            self.size += len(raw.strip())
         if not self.hidden:
             self.pieces.append(raw)
             if self.links:
@@ -135,28 +204,22 @@ class Page:
         """End the block of text collected so far."""
         if self.pieces:
             # References are decoded piece by piece: one can't go across a tag.
-            text = " ".join("".join(html.unescape(p) if "&" in p else p for p in self.pieces).split())
+            text = " ".join("".join(map(decoded, self.pieces)).split())
             if text:
                 self.blocks.append(text)
                 self.block_links.append(min(len(text), self.link_size))
-                score, size = max(0, len(text) - 2 * self.link_size), 2
+                score = max(0, len(text) - 2 * self.link_size)
                 # In full for the nearest container, half and a quarter for those around it.
-                for element in reversed(self.open):
-                    if element[3]:
-                        self.containers[element[3]][1] += score * 2 // size
-                        size *= 2
-                        if size > 8:
-                            break
-                if size <= 8:
-                    self.containers[0][1] += score * 2 // size
+                for number, part in zip([*self.within[:-4:-1], 0], (1, 2, 4)):
+                    self.containers[number][1] += score // part
             self.pieces, self.link_size = [], 0
 
     def _start(self, name: str, attributes: str) -> None:
         if name == "br" or name in VOID:
             if name == "hr":
                 self._block()
-            elif not self.hidden:
-                self.pieces.append(" " if name == "br" else "")
+            elif not self.hidden and name == "br":
+                self.pieces.append(" ")
             return
         if name not in HEAD and self.open and self.open[-1][0] == "head":
             self._pop()
@@ -165,49 +228,53 @@ class Page:
             self._end({"p"}, name)
         if name in ENDS:
             self._end(ENDS[name], name)
-        if name in ("article", "main") and any(e[0] == "nav" for e in self.open):
+        if name in ("article", "main") and self.places["nav"]:
             self._close("nav")
         words = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in NAMED.finditer(attributes)] if "=" in attributes else []
         out, never, inside = name in LEFT_OUT, name in LEFT_OUT, -1
         if not out and name not in ("html", "body", "article", "main") and (left_out := named_words(words)):
             inside = len(self.named)
             out = not self.shown(inside)
-            self.named.append([0, bool(left_out & DISCUSSION_WORDS), False])
-            self.inside.append(inside)
-        if name in ("article", "h1", "main"):
-            for k in self.inside:
-                self.named[k][2] = True
-        path, number = self.open[-1][4] if self.open else "", 0
+            self.named.append([self.size, bool(left_out & DISCUSSION_WORDS), self.heads])
+        self.heads += name in ("article", "h1", "main")
+        path, number = self.open[-1][4] if self.open else 0, 0
         if name in CONTAINER and not self.hidden and not out:
             kind = next((v.split() for k, v in words if k == "class" and v.split()), None)
             label = name + (f".{re.sub(r'[0-9]+', '0', kind[0])}" if kind else "")
-            path = f"{path}>{label}"
+            path = self._path(path, label.replace(">", "0"))
             number = len(self.containers)
-            around = next((e[3] for e in reversed(self.open) if e[3]), 0)
+            around = self.within[-1] if self.within else 0
             self.containers.append([path, 0, len(self.blocks), 0, around, name])
+            self.within.append(number)
+        self.places[name].append(len(self.open))
         self.open.append((name, out, name == "a", number, path, never, inside))
         self.hidden += out
         self.never += never
         self.links += name == "a"
 
+    def _path(self, around: int, label: str) -> int:
+        number = self.path_numbers.setdefault((around, label), len(self.paths))
+        if number == len(self.paths):
+            self.paths.append((around, label))
+        return number
+
+    def _last(self, names) -> int:
+        """Place of the innermost open element of these names, or -1."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
     def _end(self, names: set[str], by: str) -> None:
         """Close the innermost of these elements, if it is open in the same list, table or section."""
-        for k in range(len(self.open) - 1, -1, -1):
-            name = self.open[k][0]
-            if name in names:
-                while len(self.open) > k:
-                    self._pop()
-                return
-            if name in SCOPE and not (name in ("td", "th") and by == "tr"):
-                return
+        k = self._last(names)
+        if k >= 0 and k >= self._last(SCOPE - {"td", "th"} if by == "tr" else SCOPE):
+            while len(self.open) > k:
+                self._pop()
 
     def _close(self, name: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == name:
-                while len(self.open) > k:
-                    self._pop()
-                return
-        if name in BLOCK:
+        k = self._last([name])
+        if k >= 0:
+            while len(self.open) > k:
+                self._pop()
+        elif name in BLOCK:
             self._block()
 
     def _pop(self) -> None:
@@ -215,23 +282,22 @@ class Page:
         if name in BLOCK:
             self._block()
         self.open.pop()
+        self.places[name].pop()
         self.hidden -= out
         self.never -= never
         if inside >= 0:
-            self.inside.pop()
+            found = self.named[inside]
+            found[0], found[2] = self.size - found[0], self.heads > found[2]
         self.links -= link
         if number:
             self.containers[number][3] = len(self.blocks)
-
-    def _is_text(self, outer: list, inner: list) -> bool:
-        """Whether outer has text beside inner, at most a third of it links."""
-        beside = [*range(outer[2], inner[2]), *range(inner[3], outer[3])]
-        return 0 < sum(len(self.blocks[k]) for k in beside) >= 3 * sum(self.block_links[k] for k in beside)
+            self.within.pop()
 
     def best(self) -> list:
         """The container with the highest score, the first of equals, widened to those around it with more main text.
 
-        From within an article or main element only to such elements.
+        Its path, score, first block and end block. That text is what is beside it, at most a third of it
+        links. From within an article or main element only to such elements.
         """
         found = max(self.containers, key=lambda c: c[1])
         around, number = [], found[4]
@@ -240,12 +306,28 @@ class Page:
             number = around[-1][4]
         if any(c[5] in ("article", "main") for c in [found, *around]):
             around = [c for c in around if c[5] in ("article", "main")]
-        wide = next((c for c in reversed(around) if self._is_text(c, found)), found)
-        return [wide[0], found[1], *wide[2:]]
+        sizes = [0, *accumulate(map(len, self.blocks))]
+        links = [0, *accumulate(self.block_links)]
+
+        def beside(c: list, of: list[int]) -> int:
+            return of[found[2]] - of[c[2]] + of[c[3]] - of[found[3]]
+
+        wide = next((c for c in reversed(around) if 0 < beside(c, sizes) >= 3 * beside(c, links)), found)
+        return [self.path_text(wide[0]), found[1], *wide[2:]]
+
+    def path_text(self, number: int) -> str:
+        labels = []
+        while number:
+            number, label = self.paths[number]
+            labels.append(f">{label}")
+        return "".join(reversed(labels))
 
     def text(self, path: str | None) -> str:
         """Text of the containers on the path, or of the best one if there is none."""
-        spans = [(a, b) for p, _, a, b, *_ in self.containers if p == path and b > a]
+        number = None if path is None else 0
+        for label in (path or "").split(">")[1:]:
+            number = self.path_numbers.get((number, label))
+        spans = [(c[2], c[3]) for c in self.containers if c[0] == number and c[3] > c[2]]
         if not spans:
             spans = [tuple(self.best()[2:4])]
         out, at = [], 0

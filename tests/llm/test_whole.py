@@ -1,5 +1,7 @@
 """Operators and stages do the whole job: nothing is lost, nothing is left in."""
 
+import time
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
@@ -76,3 +78,55 @@ def test_title_and_lead_of_a_host(spark):
     pages = [(k, "http://h/x", NESTED[0][0]) for k in range(3)]
     found = html_extract.with_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert [r["__text"] for r in found] == [TEXT] * 3
+
+
+def hostile(n: int) -> dict[str, tuple[str, str]]:
+    """Pages of markup that is never ended, or nested or repeated n times, and their text."""
+    return {
+        "tags without end": ("<a " * n, ("<a " * n).strip()),
+        "names without end": ("<a" * n, "<a" * n),
+        "quotes that hide every end": ('<a ">"' * n, '"' * n),
+        "declarations without end": ("<!x " * n, ("<!x " * n).strip()),
+        "comment without end": ("<a <!-- " * n, "<a"),
+        "nested": ("<div class=x>" * n + "text", "text"),
+        "nested with text": ("<div class=x><p>word</p>" * n, "word\n" * (n - 1) + "word"),
+        "nested discussions": ("<div class=comments>x" * n, "x\n" * (n - 1) + "x"),
+        "stray ends": ("<b>" * n + "</i>" * n + "text", "text"),
+        "blocks in open spans": ("<b>" * n + "<h1>x</h1>" * n, "x\n" * (n - 1) + "x"),
+        "items beyond open spans": ("<ul><li>" + "<ul>" + "<b>" * n + "<li>x</li>" * n, "x\n" * (n - 1) + "x"),
+        "script without end": ("text<script " * n + ">", "text"),
+    }
+
+
+@pytest.mark.parametrize("name", sorted(hostile(1)))
+def test_hostile_pages_take_linear_time(name):
+    """Eight times the page takes far less than 64 times as long, and its text is whole."""
+    seconds = []
+    for n in (4_000, 32_000):
+        page, expected = hostile(n)[name]
+        start = time.process_time()
+        read = html_extract.Page(page)
+        assert read.text(None) == expected
+        assert read.text(read.best()[0]) == expected
+        seconds.append(time.process_time() - start)
+    assert seconds[1] < 24 * seconds[0] + 0.3
+
+
+def test_references_to_long_numbers():
+    page = "<p>a &#" + "9" * 9000 + "; b &#" + "0" * 9000 + "65; c &#x41; &amp; &#0;</p>"
+    assert html_extract.Page(page).text(None) == "a \ufffd b A c A & \ufffd"
+
+
+@pytest.mark.parametrize("quoted", ['<p a="x>y">text</p>', "<p a='x>y' b=\">\">text</p>", '<p a="x>text</p>', "<p a=x>text</p>"])
+def test_ends_of_tags_by_pattern_and_by_table(quoted):
+    """The table, made after a tag whose quotes leave no end, gives the same ends."""
+    assert html_extract.Page(quoted).text(None) == "text"
+    ends, again = html_extract.Ends(quoted), html_extract.Ends(quoted)
+    again._table()
+    assert [ends.find(k) for k in range(len(quoted))] == [again.find(k) for k in range(len(quoted))]
+
+
+def test_classes_with_markup_in_them():
+    page = "<div class='a>b'><p>The text of the page.</p></div>"
+    best = html_extract.Page(page).best()
+    assert best[0].count(">") == 1 and html_extract.Page(page).text(best[0]) == "The text of the page."
