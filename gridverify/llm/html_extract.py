@@ -34,9 +34,10 @@ from gridverify.llm.common import free_names, small_batches, staged
 #: Winning paths of up to so many hosts are broadcast; beyond, pages meet them by a salted join.
 BROADCAST_HOSTS, SALTS = 50_000, 32
 
-#: What may begin markup; attributes up to the first > outside of quotes; what decides that.
-MARKUP = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*+))")
-ATTRIBUTES = re.compile(r"""(?:"[^"]*"|'[^']*'|[^'">])*+>""")
+#: What begins markup; the same with the attributes of tags up to the first > outside of quotes; what decides that.
+START = r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*+)"
+MARKUP = re.compile(START + ")")
+WHOLE_TAG = re.compile(START + r"""(?:((?:[^'">]++|"[^"]*"|'[^']*')*+)>)?)""")
 QUOTES = re.compile("""["'>]""")
 #: Decimal references of any length, which Python's own decoding limits.
 NUMBER = re.compile(r"&#(?=[0-9])0*+([0-9]*+);?")
@@ -64,6 +65,7 @@ CONTAINER = frozenset("article center div main section td".split())
 #: Start tags that end an open element of the second kind.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("article div dl main ol section table td th ul".split())
+ROW_SCOPE = SCOPE - {"td", "th"}
 
 
 def named_words(attributes: list[tuple[str, str]]) -> set[str]:
@@ -78,18 +80,11 @@ def named_words(attributes: list[tuple[str, str]]) -> set[str]:
 
 
 class Ends:
-    """Where the tags of a page end: at the first > outside of quotes, or the first one if quotes leave none.
-
-    A tag is searched by pattern, which reads no further than the tag goes. The first one
-    that quotes leave without an end has the ends after all quotes of the page tabled, so that many such
-    tags don't read the rest of the page each.
-    """
+    """Where the tags of a page end: at the first > outside of quotes, or the first one if quotes leave none."""
 
     def __init__(self, source: str):
-        self.source, self.marks, self.ends = source, None, []
-
-    def _table(self) -> None:
-        marks = [(m.start(), m[0]) for m in QUOTES.finditer(self.source)]
+        self.source = source
+        marks = [(m.start(), m[0]) for m in QUOTES.finditer(source)]
         self.marks = [at for at, _ in marks]
         # Of each mark: the end of a tag whose first mark it is, -1 if there is none.
         self.ends = [-1] * (len(marks) + 1)
@@ -104,10 +99,6 @@ class Ends:
 
     def find(self, start: int) -> int:
         """Place of the > that ends a tag whose attributes start here, or -1."""
-        if self.marks is None:
-            if m := ATTRIBUTES.match(self.source, start):
-                return m.end() - 1
-            self._table()
         end = self.ends[bisect_left(self.marks, start)]
         return end if end >= 0 else self.source.find(">", start)
 
@@ -158,13 +149,20 @@ class Page:
         self.within: list[int] = []
         self.pieces: list[str] = []
         self.hidden = self.links = self.link_size = 0
-        ends, at, look = Ends(source), 0, 0
-        while m := MARKUP.search(source, look):
-            if m[1]:
+        # A pattern finds the ends of tags, until quotes leave one without: then all are tabled, as each
+        # such tag would have the rest of the page read.
+        ends, tag, at, look = None, WHOLE_TAG, 0, 0
+        while m := tag.search(source, look):
+            if ends is None and m[4] and m[5] is None:
+                ends, tag = Ends(source), MARKUP
+                continue
+            if m[4]:
+                end = m.end() - 1 if ends is None else ends.find(m.end())
+            elif m[2]:
+                end = source.find(">", m.end())
+            else:
                 end = source.find("-->", m.end())
                 end = end + 2 if end >= 0 else len(source)
-            else:
-                end = source.find(">", m.end()) if m[2] else ends.find(m.end())
             if end < 0:
                 # Without a > only a comment is markup, and takes the rest.
                 look = source.find("<!--", m.start())
@@ -176,10 +174,11 @@ class Page:
             at = look = end + 1
             if not m[4]:
                 continue
-            name, attributes = m[4].lower(), source[m.end() : end]
+            name = m[4].lower()
             if m[3]:
                 self._close(name)
                 continue
+            attributes = m[5] if ends is None else source[m.end() : end]
             self._start(name, attributes)
             if name in RAW and not attributes.endswith("/"):
                 raw_end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(source, at)
@@ -260,18 +259,22 @@ class Page:
 
     def _last(self, names) -> int:
         """Place of the innermost open element of these names, or -1."""
-        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+        last = -1
+        for name in names:
+            if (found := self.places.get(name)) and found[-1] > last:
+                last = found[-1]
+        return last
 
     def _end(self, names: set[str], by: str) -> None:
         """Close the innermost of these elements, if it is open in the same list, table or section."""
         k = self._last(names)
-        if k >= 0 and k >= self._last(SCOPE - {"td", "th"} if by == "tr" else SCOPE):
+        if k >= 0 and (k == len(self.open) - 1 or k >= self._last(ROW_SCOPE if by == "tr" else SCOPE)):
             while len(self.open) > k:
                 self._pop()
 
     def _close(self, name: str) -> None:
-        k = self._last([name])
-        if k >= 0:
+        if found := self.places.get(name):
+            k = found[-1]
             while len(self.open) > k:
                 self._pop()
         elif name in BLOCK:
