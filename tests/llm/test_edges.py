@@ -181,6 +181,7 @@ def test_language_model(spark, docs, none):
     assert found[2][0].n_tokens == found[3][0].n_tokens == found[4][0].n_tokens == 1
     assert found[6][0].n_tokens == 60_001 and found[1][0].score == found[1][1].score
     assert all(r.score < 0 and np.isfinite(r.score) for rs in found.values() for r in rs)
+    assert found[2][0].bits_per_byte == pytest.approx(-found[2][0].score * np.log2(10))
     assert context_mixing.scored(none, F.lit(False)).count() == 0
     untaught = context_mixing.scored(docs, F.lit(True)).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.score < 0 for r in untaught)
@@ -193,19 +194,91 @@ def test_language_model_blocks_do_not_matter(spark, docs, monkeypatch):
     assert one == two
 
 
+def byte_model(symbol):
+    """Codes, log odds, strengths, weights and map that one task learns from a stream."""
+    used = np.bincount(context_mixing._previous(symbol) * 256 + symbol, minlength=1 << 16)
+    learner = context_mixing.Learner(context_mixing.byte_codes(used))
+    learner.see(symbol)
+    zero, one = learner.table.reshape(-1, 2).T.astype(np.float32)
+    odds = context_mixing.stretched(zero, one).astype(np.float16)
+    return learner.codes, odds, context_mixing.strength(zero + one), learner.weights, learner.cells
+
+
+def stream_of(*texts):
+    return np.frombuffer(b"".join(context_mixing.stream([*t.lower().encode().split(), b"\n"]) for t in texts), np.uint8)
+
+
 def test_bits_make_a_distribution():
-    """Of all tokens that go on from a prefix, the probabilities add up to the prefix's."""
-    size, nodes, bits = codes = context_mixing.byte_codes(np.bincount([97, 98, 98, 32], minlength=256))
-    assert sum(0.5**n for n in size.tolist()) == 1
-    table = np.random.default_rng(1).integers(0, 9, (2, context_mixing.SLOTS)).astype(np.float32)
-    weights = np.full((context_mixing.GATES, context_mixing.PREDICTORS), 0.3)
-    cells = np.zeros((2, context_mixing.GATES * context_mixing.CELLS))
-    inside = [bytes([c]) for c in range(256) if c not in b" \n"]
-    score = lambda words: 10 ** context_mixing.token_scores(words, codes, table, weights, cells)
-    # "a" + any byte, then the gap: with all second bytes, at most the chance of an "a" not ended at once.
-    assert score([b"a", *(b"a" + c for c in inside)]).sum() <= 1
-    context, = (score([w])[0] for w in [b"\n"])
-    assert 0 < context < 1
+    """Whatever went before, the probabilities of all bytes that may come next add up to one."""
+    model = byte_model(stream_of(WORDS, WORDS + " x", "gamma alpha beta"))
+    sizes = model[0][0].reshape(256, 256)
+    assert all(sum(0.5**n for n in row.tolist()) == 1 for row in sizes)
+    for before in (b"", b"al", b"alpha b", b"\n", "ü ".encode(), b"x" * 100):
+        after = [context_mixing.byte_scores(np.frombuffer(before + bytes([c]), np.uint8), *model)[-1] for c in range(256)]
+        assert sum(10**x for x in after) == pytest.approx(1, abs=1e-3)
+
+
+def plain_contexts(data, i):
+    """The stretches of bytes that the predictors of byte i see."""
+    start = data.rfind(b"\n", 0, i) + 1
+    begin = max(data.rfind(b" ", start, i) + 1, start, i - context_mixing.TOKEN_BYTES)
+    gap, before = data.rfind(b" ", max(start, i - context_mixing.TOKEN_BYTES), i), None
+    if gap >= 0:
+        before = data[max(data.rfind(b" ", start, gap) + 1, start, gap - context_mixing.TOKEN_BYTES) : gap]
+    return [*(data[max(start, i - k) : i] for k in context_mixing.ORDERS), data[begin:i], (before, data[begin:i])], i - begin
+
+
+def test_bytes_equal_plain(monkeypatch):
+    """Counts by the contexts' bytes themselves, and one bit after the other, without hashes or pieces."""
+    # Enough slots that no two contexts of this text share one.
+    monkeypatch.setattr(context_mixing, "SLOT_BITS", (23,) * 5)
+    monkeypatch.setattr(context_mixing, "OFFSETS", np.arange(6) << 23)
+    monkeypatch.setattr(context_mixing, "SLOTS", 5 << 23)
+    symbol = stream_of(WORDS, "z" * 90 + " beta " + "z" * 70, "", WORDS + " x", "gamma alpha beta " * 5)
+    model = byte_model(symbol)
+    (size, nodes, bits), _, _, weights, cells = model
+    data, seen, walks = symbol.tobytes(), {}, []
+    for i, c in enumerate(data):
+        last = 32 if i == 0 or data[i - 1] == 10 else data[i - 1]
+        found, place = plain_contexts(data, i)
+        walk = [([(k, x, last, int(nodes[last * 256 + c, d])) for k, x in enumerate(found)], bool(bits[last * 256 + c, d])) for d in range(size[last * 256 + c])]
+        walks.append((walk, 0 if place == 0 else 1 if place < 4 else 2))
+        for keys, bit in walk:
+            for key in keys:
+                seen.setdefault(key, [0, 0])[bit] += 1
+    expected = []
+    for walk, place in walks:
+        total = 0
+        for keys, bit in walk:
+            # Log odds travel as half floats; near the border of two cells of the map that decides.
+            x = [np.float32(np.float16(np.log((seen[k][1] + 0.3) / (seen[k][0] + 0.3)))) for k in keys]
+            strong = [sum(seen[k]).bit_length() for k in keys]
+            gate = (min(strong[-1], context_mixing.PAIR_GATES - 1) * context_mixing.TOKEN_GATES + min(strong[-2], 15) // 2) * context_mixing.PLACES + place
+            mixed = sum(w * v for w, v in zip(weights[:, gate], x))
+            p = 1 / (1 + np.exp(-mixed))
+            at = gate * context_mixing.CELLS + int(np.rint(np.clip(mixed, -12, 12) * 32 / 24)) + 16
+            p = 0.5 * p + 0.5 * (cells[1][at] + 20 * p) / (cells[0][at] + cells[1][at] + 20)
+            total += np.log10(p if bit else 1 - p)
+        expected.append(total)
+    got = context_mixing.byte_scores(symbol, *model)
+    assert np.abs(got - expected).max() < 0.001
+    monkeypatch.setattr(context_mixing, "PIECE_BYTES", 7)
+    assert context_mixing.byte_scores(symbol, *model) == pytest.approx(got)
+
+
+def test_order_of_words_matters(spark):
+    """On held-out texts, words in another order cost clearly more; the weights of all contexts are learned."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()
+    model = byte_model(stream_of(*(r.text or "" for r in rows if r.doc_id % 7)))
+    draw = np.random.default_rng(1)
+    loss = []
+    for r in rows:
+        words = (r.text or "").split()
+        if r.doc_id % 7 == 0 and len(words) > 20:
+            mixed = " ".join(draw.permutation(words))
+            loss.append((context_mixing.byte_scores(stream_of(r.text), *model).sum() - context_mixing.byte_scores(stream_of(mixed), *model).sum()) / len(words))
+    assert len(loss) > 50 and np.median(loss) > 0.1
+    assert (np.abs(model[3] - context_mixing.FIRST_WEIGHT).max(axis=1) > 0.05).all()
 
 
 def test_segments_adapt():
