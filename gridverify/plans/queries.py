@@ -31,7 +31,6 @@ from gridverify.operators import (
     temporal,
 )
 from gridverify.plans import roles, verification
-from gridverify.operators.reuse import shared_folder
 from gridverify.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,12 +95,16 @@ def queries() -> dict[str, Query]:
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder for the tables that a query saves and reads again, where all executors reach it."""
-    base = shared_folder(spark)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="saved-")
+    """A new folder for the tables that a query saves and reads again, where all executors reach it.
+
+    That is below the checkpoint folder, whatever its scheme, as Spark itself asks for one that all
+    executors share; a session without one has its warehouse, or a folder of this machine
+    if it runs in one process.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        alone = spark.sparkContext.master.split("[")[0] == "local"
+        base = tempfile.mkdtemp(prefix="saved-") if alone else spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/saved-{uuid.uuid4().hex}"
 
 

@@ -2,6 +2,7 @@
 
 import re
 
+import frames
 import pytest
 from compare import plan
 from pyspark.sql import functions as F
@@ -173,6 +174,31 @@ def test_reuse_takes_shared_folders_only(spark, monkeypatch):
     assert shared("hdfs://name/x", "yarn") and not shared(None, "local")
 
 
+def test_saved_tables_lie_where_all_executors_reach_them(spark, monkeypatch, tmp_path):
+    class Session:
+        def __init__(self, master, **conf):
+            self.conf = {f"spark.{k}": v for k, v in conf.items()}
+            self.conf["spark.sql.warehouse.dir"] = "file:/shared/tables"
+            self.sparkContext = type("C", (), {"master": master})
+
+    folder = lambda *a, **b: queries._folder(Session(*a, **b)).rpartition("/saved-")[0]
+    for master in ("local[4]", "local-cluster[3,2,1000]", "spark://host:7077", "yarn"):
+        assert folder(master, **{"checkpoint.dir": "file:///shared/kept/"}) == "file:///shared/kept"
+        assert folder(master, **{"checkpoint.dir": "hdfs://name/kept"}) == "hdfs://name/kept"
+    for master in ("local-cluster[3,2,1000]", "spark://host:7077", "yarn"):
+        assert folder(master) == "file:/shared/tables"
+    monkeypatch.setattr(queries.tempfile, "mkdtemp", lambda prefix: str(tmp_path / prefix))
+    assert folder("local") == folder("local[4]") == str(tmp_path / "saved-")
+
+    # A session of another master saves rows and reads them again.
+    monkeypatch.setattr(type(spark.sparkContext), "master", property(lambda self: "spark://host:7077"), raising=False)
+    rows = frames.reference(spark, [("2017-10-01", 0, 0, 1.0), ("2017-11-30", 0, 1, 2.0), ("2018-01-01", 0, 0, 4.0)])
+    path = queries._folder(spark)
+    writers.write_grid(rows, path)
+    found = readers.read_months(spark, path, "2017-11", "2018-01").drop("year", "month")
+    assert sorted(r.value for r in found.collect()) == [2.0, 4.0]
+
+
 def test_profile_copies_no_rows(spark):
     assert "Expand" not in plan(quality.profile(roles.everything(spark, SF_DIR)))
     formatted = spark._jvm.PythonSQLUtils.explainString(quality.profile(roles.everything(spark, SF_DIR))._jdf.queryExecution(), "formatted")
