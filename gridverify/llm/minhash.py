@@ -206,28 +206,34 @@ def _entries(held):
 
 
 def _cut_blocks(batches):
-    """Sorted rows (word, n, root, node, largest, sketch): blocks of a word's entries with the bounds of their sizes and roots."""
-    word, held = None, []
+    """Sorted rows (word, n, root, node, largest, sketch): blocks of a word's entries with the bounds of their sizes and roots.
 
-    def made():
+    A block is alone if its word has no other one: words that may go on in another task don't count.
+    """
+    word, held, first, whole = None, [], True, True
+
+    def made(alone=False):
         rows = np.array([r[:4] for r in held], np.int64)
         n, root, _, largest = rows.T
-        block = {"word": word, "id": int(rows[0, 2]), "low": int(n.min()), "high": int(n.max()), "largest": int(largest.max()), "rows": rows.tobytes()}
+        block = {"word": word, "id": int(rows[0, 2]), "low": int(n.min()), "high": int(n.max()), "largest": int(largest.max()), "alone": alone, "rows": rows.tobytes()}
         block |= {"root_low": int(root.min()), "root_high": int(root.max()), "sketches": b"".join(r[4] for r in held)}
         return pa.RecordBatch.from_pylist([block], schema=_BLOCK)
 
     for batch in batches:
         for w, *row in zip(*(c.to_pylist() for c in batch.columns)):
-            if held and (w != word or len(held) >= BLOCK):
+            if held and w != word:
+                yield made(whole and not first)
+                held, first, whole = [], False, True
+            elif len(held) >= BLOCK:
                 yield made()
-                held = []
+                held, whole = [], False
             word = w
             held.append(row)
     if held:
         yield made()
 
 
-_BLOCK = pa.schema([(c, pa.int64()) for c in ("word", "id", "low", "high", "largest", "root_low", "root_high")] + [("rows", pa.binary()), ("sketches", pa.binary())])
+_BLOCK = pa.schema([(c, pa.int64()) for c in ("word", "id", "low", "high", "largest", "root_low", "root_high")] + [("alone", pa.bool_()), ("rows", pa.binary()), ("sketches", pa.binary())])
 
 
 def _compare_blocks(limit: int | None):
@@ -277,16 +283,19 @@ def crowd_pairs(crowd: DataFrame, limit: int | None = None) -> DataFrame:
     entries = crowd.select("node", "root", "words", "sketch").mapInArrow(_entries(held), "word long, node long, root long, n long, largest long, sketch binary")
     order = ["word", "n", "root", "node"]
     cut = staged(entries, "crowd-entries").repartitionByRange(*order).sortWithinPartitions(*order).select(*order, "largest", "sketch")
-    kind = "word long, id long, low long, high long, largest long, root_low long, root_high long, rows binary, sketches binary"
+    kind = "word long, id long, low long, high long, largest long, root_low long, root_high long, alone boolean, rows binary, sketches binary"
     blocks = staged(cut.mapInArrow(_cut_blocks, kind), "crowd-blocks")
     a, b = blocks.alias("a"), blocks.alias("b")
     apart = (F.col("a.root_low") != F.col("b.root_high")) | (F.col("a.root_high") != F.col("b.root_low"))
     fits = (F.col("a.largest") >= F.col("b.low")) & (F.col("b.largest") >= F.col("a.low"))
     fits &= (F.col("a.high") * 100 >= F.col("b.low") * LEAST) & (F.col("b.high") * 100 >= F.col("a.low") * LEAST)
-    ordered = F.struct("a.low", "a.id") <= F.struct("b.low", "b.id")
-    both = a.join(b, F.col("a.word") == F.col("b.word")).where(apart & fits & ordered)
-    pairs = both.select((F.col("a.id") == F.col("b.id")).alias("same"), "a.rows", "a.sketches", F.col("b.rows").alias("r"), F.col("b.sketches").alias("s"))
-    return pairs.mapInArrow(_compare_blocks(limit), "a long, b long")
+    ordered = F.struct("a.low", "a.id") < F.struct("b.low", "b.id")
+    # A block is compared with itself where it lies; only words of several blocks are joined.
+    several = ~F.col("a.alone") & ~F.col("b.alone")
+    both = a.join(b, F.col("a.word") == F.col("b.word")).where(several & apart & fits & ordered)
+    pairs = both.select(F.lit(False).alias("same"), "a.rows", "a.sketches", F.col("b.rows").alias("r"), F.col("b.sketches").alias("s"))
+    own = blocks.where("root_low != root_high").select(F.lit(True).alias("same"), "rows", "sketches", F.col("rows").alias("r"), F.col("sketches").alias("s"))
+    return own.union(pairs).mapInArrow(_compare_blocks(limit), "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -345,8 +354,8 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
             break
         whole = sets_of(crowd.select("node")).join(crowd, "node").join(distinct.select("node", "sketch"), "node")
         more = alike(staged(crowd_pairs(staged(whole, "minhash-crowd"), limit).distinct(), "minhash-close"))
-        links = staged(links.union(more), "minhash-links")
-        linked = staged(components(links), "minhash-roots")
+        if not more.isEmpty():
+            linked = staged(components(linked.toDF("a", "b").union(more)), "minhash-roots")
 
     groups = distinct.select("d1", "d2", "first", "node").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = groups.groupBy("root").agg(F.min("first").alias("best"))

@@ -3,9 +3,10 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from gridverify.llm import minhash
+from gridverify.llm import components, minhash
 from gridverify.llm.common import staged
 from plain import lower
 
@@ -120,3 +121,43 @@ def test_sketches_estimate_and_prefixes_are_exact():
     far = [np.unique(draw.integers(0, 1 << 63, 300).astype(np.uint64)) for _ in range(2)]
     bits = [np.frombuffer(minhash.odd_sketch(minhash.minima(x)), np.uint8).reshape(1, -1) for x in far]
     assert minhash.differing_bits(*bits)[0] > minhash.MOST_BITS
+
+
+def test_rounds_of_components(spark, monkeypatch):
+    """A ring and a comb need fewer stored tables than one round more than the smallest would take; roots as by hand."""
+    ring = [(i, (i * 7 + 1) % 300) for i in range(300)]
+    comb = [(1000 + i, 1001 + i) for i in range(200)] + [(1000 + i, 5000 + i) for i in range(201)]
+    links = spark.createDataFrame([*ring, *comb, *comb[::-1], (9, 9)], "a long, b long").repartition(5, "a")
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in [*ring, *comb]:
+        if a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    names = []
+    monkeypatch.setattr(components, "staged", lambda df, name: names.append(name) or staged(df, name))
+    found = components.components(links).collect()
+    assert len(found) == len({r.node for r in found}) and {r.node: r.root for r in found} == {x: find(x) for x in root}
+    # A table of links, and the check that they are stars, after at most two rounds of four tables.
+    assert len(names) <= 10
+    monkeypatch.setattr(components, "LINKS", 16)
+    assert {(r.node, r.root) for r in components.components(links).collect()} == {(x, find(x)) for x in root}
+
+
+def test_stars_by_hand():
+    u, v = components.stars(np.array([5, 3, 9, 20, 30]), np.array([3, 7, 7, 21, 30]))
+    assert sorted(zip(u.tolist(), v.tolist())) == [(5, 3), (7, 3), (9, 3), (21, 20)]
+
+
+def test_blocks_that_are_alone():
+    """Words of one block, away from a task's ends, need no join; all blocks of the others do."""
+    rows = [(w, n, w, n, 9, b"x") for w, size in ((1, 1), (2, 3), (3, minhash.BLOCK), (4, minhash.BLOCK + 1), (5, 2), (6, 1)) for n in range(size)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["word", "n", "root", "node", "largest", "sketch"])
+    halves = [batch.slice(0, 300), batch.slice(300)]
+    found = [(r["word"], len(r["rows"]) // 32, r["alone"]) for b in minhash._cut_blocks(halves) for r in b.to_pylist()]
+    assert found == [(1, 1, False), (2, 3, True), (3, minhash.BLOCK, True), (4, minhash.BLOCK, False), (4, 1, False), (5, 2, True), (6, 1, False)]
