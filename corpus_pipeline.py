@@ -44,8 +44,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with size, shard and slot: eight shards of nearly equal bytes."""
-    found = sharding.sharded(docs, SHARDS)
+    """The documents with size, shard and slot: eight shards of nearly equal bytes, each in the order of the mix."""
+    found = sharding.sharded(docs, SHARDS, in_order=True)
     size, shard, slot = free_names(docs.columns, ["shard_bytes", "shard", "shard_slot"])
     return found.select("row.*", F.col("size").alias(size), F.col("shard").alias(shard), F.col("slot").alias(slot))
 

@@ -6,7 +6,9 @@ dealt to the ranges between them. A key that fills whole quantiles on its own is
 a range of its own. Ranges are measured exactly, those that hold too much are
 subdivided, by key or, where one key is too much for a shard, by row, and
 runs of neighbouring ranges become shards. Equal texts therefore stay in one
-shard unless they are more than a shard's part of all bytes.
+shard unless they are more than a shard's part of all bytes. Within a shard rows are
+numbered by range, or in the order of the table: each stretch of rows is
+counted per shard, and its rows follow those of the stretches before.
 
 Edge cases: a null text has no bytes and is a text of its own; sizes are never 0,
 so a table of empty texts is shared out as well; repeated rows and ids, null ones
@@ -18,15 +20,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from gridverify.llm.common import broadcast, received
+from gridverify.llm.common import broadcast, received, staged
 
 #: Ranges to begin with: one for so many rows, within these bounds. Sampled keys per range.
 RANGE_ROWS, RANGES, SAMPLES = 20_000, (1024, 16_384), 12
+#: Neighbouring rows that are numbered together in the order of the table, as a power of two.
+STRETCH_BITS = 12
 
 
 def _splitters(rows: DataFrame, total: int, ranges: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,11 +77,32 @@ def _assign(units: list, shards: int) -> dict[tuple, tuple[int, int]]:
     return out
 
 
+def _order(documents: DataFrame) -> tuple[Column, Column]:
+    """A row's stretch and its place there, in the order in which the rows were written, or else come."""
+
+    def stretch(part: Column, file: Column, row: Column) -> Column:
+        return F.struct(part.alias("part"), file.alias("file"), F.shiftright(row, STRETCH_BITS).alias("stretch"))
+
+    try:
+        # Readers take files by size: the order of their rows is that of the tasks that wrote them.
+        about = documents.metadataColumn("_metadata")
+        part = F.regexp_extract(about["file_name"], r"^part-(\d{1,9})", 1).try_cast("long")
+        found = stretch(F.coalesce(part, F.lit(-1)), about["file_path"], about["row_index"]), about["row_index"]
+        documents.select(*found)
+        return found
+    except AnalysisException:
+        place = F.monotonically_increasing_id()
+        return stretch(F.lit(0), F.lit(""), place), place
+
+
 def sharded(
     documents: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text_col: str = "text",
-    ranges: int | None = None,
+    ranges: int | None = None, in_order: bool = False,
 ) -> DataFrame:
-    """Columns ``row`` (the document), ``id``, ``size``, ``crc``, ``shard`` and ``slot``, which counts from 0 in each shard."""
+    """Columns ``row`` (the document), ``id``, ``size``, ``crc``, ``shard`` and ``slot``, which counts from 0 in each shard.
+
+    ``in_order`` numbers the rows of a shard as they follow each other in the table.
+    """
     spark = documents.sparkSession
     text = F.col(text_col).cast("string")
     rows = documents.select(
@@ -86,6 +112,7 @@ def sharded(
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("crc"),
         F.xxhash64(text.isNull(), text).alias("key"),
         F.monotonically_increasing_id().alias("at"),
+        *([c.alias(name) for c, name in zip(_order(documents), ("stretch", "place"))] if in_order else []),
     )
     light = rows.drop("row", "crc")
     n, total = light.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -122,6 +149,15 @@ def sharded(
     places = _assign(units, shards)
     known = T.StructType().add("range", "integer").add("piece", "integer").add("shard", "integer").add("before", "long")
     table = spark.createDataFrame(_rows(measured, places, whole), known)
+    if in_order:
+        shard_of = F.broadcast(table.drop("before"))
+        counts = dealt(light).join(shard_of, ["range", "piece"]).groupBy("shard", "stretch").agg(F.count("*").alias("n"))
+        running = W.Window.partitionBy("shard").orderBy("stretch").rowsBetween(W.Window.unboundedPreceding, -1)
+        before = staged(counts.select("shard", "stretch", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("before")), "shard-order")
+        inside = W.Window.partitionBy("shard", "stretch").orderBy("place")
+        found = dealt(rows).join(shard_of, ["range", "piece"]).withColumn("number", F.row_number().over(inside) - 1)
+        found = found.join(before, ["shard", "stretch"])
+        return found.select("row", "id", "size", "crc", "shard", (F.col("before") + F.col("number")).alias("slot"))
     inside = W.Window.partitionBy("range", "piece").orderBy("key", "id", "at")
     return (
         dealt(rows).withColumn("number", F.row_number().over(inside) - 1)

@@ -6,7 +6,8 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from gridverify.llm import html_extract, pfair
+from gridverify.llm import html_extract, pfair, sharding
+from gridverify.llm.common import staged
 
 
 def test_pipeline_mix_keeps_every_document(spark):
@@ -132,3 +133,26 @@ def test_classes_with_markup_in_them():
     page = "<div class='a>b'><p>The text of the page.</p></div>"
     best = html_extract.Page(page).best()
     assert best[0].count(">") == 1 and html_extract.Page(page).text(best[0]) == "The text of the page."
+
+
+@pytest.mark.parametrize("stored", [True, False])
+def test_shards_follow_the_mix(spark, monkeypatch, stored):
+    """Slots of each shard go on in the order of the schedule, whether the mix is stored between or not."""
+    monkeypatch.setattr(sharding, "STRETCH_BITS", 4)
+    source = F.when(F.col("id") < 300, "few").when(F.col("id") % 50 == 0, None).otherwise("many")
+    text = F.repeat(F.lit("word "), (F.col("id") % 7).cast("int"))
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(text, (F.col("id") % 900).cast("string")).alias("text"), source.alias("source"), F.lit(1).alias("_metadata"))
+    docs = staged(docs, "mix-test")
+    mix = corpus_pipeline.mixing(spark, docs, "")
+    place = {r.doc_id: i for i, r in enumerate(mix.select("doc_id").collect())}
+    if stored:
+        mix = staged(mix, "mix-test")
+    rows = corpus_pipeline.sharding_stage(spark, mix, "").collect()
+    assert sorted(r.doc_id for r in rows) == list(range(3000))
+    for s in range(8):
+        mine = sorted((r for r in rows if r.shard == s), key=lambda r: r.shard_slot)
+        assert [r.shard_slot for r in mine] == list(range(len(mine))) and len(mine) > 100
+        places = [place[r.doc_id] for r in mine]
+        assert places == sorted(places)
+        # At first a shard has about the sixth of the few that the mix has.
+        assert 0.08 < sum(r.source == "few" for r in mine[:100]) / 100 < 0.28
