@@ -1,0 +1,74 @@
+"""The context mixing model's loops over bits, on small streams."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+
+from gridverify.llm import context_mixing
+from test_edges import byte_model, plain_contexts, stream_of
+
+TEXT = "a b a b i a b the of a b the of the i a b " + "z" * 80 + " of " + "z" * 31 + " of " + "y" * 32 + " i of " + "y" * 33 + " x"
+
+
+def numbered(texts):
+    """Tokens' numbers and, of each number, its bytes in the stream."""
+    tokens = [w for t in texts for w in [*t.encode().split(), context_mixing.END]]
+    numbers = {w: i for i, w in enumerate(dict.fromkeys(tokens))}
+    each = np.array([len(w) + (w != context_mixing.END) for w in numbers])
+    return np.array([numbers[w] for w in tokens], np.uint32), each
+
+
+def test_tokens_of_a_kind_are_scored_once():
+    texts = [TEXT, "", "", "a", "a b the", TEXT] * 6
+    symbol, (flat, each) = stream_of(*texts), numbered(texts)
+    codes, odds, seen, *rest = byte_model(symbol)
+    whole = context_mixing.byte_scores(symbol, codes, odds, seen, *rest)
+    first, kinds = context_mixing.first_of(flat, each)
+    size = each[flat]
+    starts = np.cumsum(size) - size
+    fresh = np.zeros(len(flat), bool)
+    fresh[first] = True
+    wanted = np.repeat(fresh, size)
+    # Copies of a text cost nothing, and two texts that differ share most of their tokens.
+    assert wanted.sum() < len(symbol) / 8
+    some = context_mixing.byte_scores(symbol, codes, context_mixing.together(odds, seen), None, *rest, wanted)
+    assert not some[~wanted].any()
+    np.testing.assert_array_equal(some[wanted], whole[wanted])
+    assert np.add.reduceat(some, starts)[first][kinds] == pytest.approx(np.add.reduceat(whole, starts), rel=1e-12)
+
+
+def test_tokens_of_a_kind_follow_the_same_bytes():
+    draw = np.random.default_rng(3)
+    texts = [" ".join(draw.choice(["a", "b", "ab", "abc", "abcd", "abcde"], draw.integers(0, 30))) for _ in range(300)]
+    (flat, each), data = numbered(texts), stream_of(*texts).tobytes()
+    first, kinds = context_mixing.first_of(flat, each)
+    size = each[flat]
+    starts = np.cumsum(size) - size
+    near = [tuple(plain_contexts(data, i)[0]) + (data[i : i + n],) for i, n in zip(starts.tolist(), size.tolist())]
+    assert all(near[i] == near[first[k]] for i, k in enumerate(kinds.tolist()))
+    assert all(kinds[i] == k for k, i in enumerate(first.tolist()))
+
+
+@pytest.mark.parametrize("piece", [1 << 15, 40])
+def test_contexts_equal_plain(piece):
+    """Hashes of two bytes are equal where the bytes that a predictor sees are, and places are right."""
+    draw = np.random.default_rng(5)
+    symbol = np.append(stream_of(TEXT, "", "", "a", TEXT), draw.choice(np.frombuffer(b"ab \nc", np.uint8), 900))
+    data, found, places = symbol.tobytes(), [], []
+    for i in range(0, len(symbol), piece):
+        first = max(0, i - context_mixing.LOOK_BACK)
+        hashes, place = context_mixing.contexts(symbol[first : i + piece], i - first)
+        found.append(hashes)
+        places.append(place)
+    found, places = np.concatenate(found, axis=1), np.concatenate(places)
+    plain = [plain_contexts(data, i) for i in range(len(data))]
+    for k in range(context_mixing.PREDICTORS):
+        pairs = {(h, x[k]) for h, (x, _) in zip(found[k].tolist(), plain)}
+        assert len(pairs) == len({h for h, _ in pairs}) == len({x for _, x in pairs})
+    assert places.tolist() == [0 if p == 0 else 1 if p < 4 else 2 for _, p in plain]
+
+
+def test_strength_is_the_number_of_bits():
+    seen = np.array([*range(70_000), 1 << 24, (1 << 31) - 1])
+    assert context_mixing.strength(seen.astype(np.float32)).tolist() == [min(int(n).bit_length(), 15) for n in seen]
